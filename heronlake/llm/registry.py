@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from heronlake.llm import best_fit_packing, chat_format, piece_codec
+from heronlake.llm import best_fit_packing, chat_format, piece_codec, simhash_neardup
 
 QUERIES = {
+    "op3_simhash_neardup": simhash_neardup.op3_simhash_neardup,
     "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_chat_format": chat_format.op10_chat_format,
