@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from heronlake.llm import best_fit_packing, chat_format, piece_codec, simhash_neardup
+from heronlake.llm import best_fit_packing, chat_format, piece_codec, quality_rules, simhash_neardup
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_simhash_neardup": simhash_neardup.op3_simhash_neardup,
     "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_chat_format": chat_format.op10_chat_format,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
+}
