@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from heronlake.llm import best_fit_packing, chat_format, piece_codec, quality_rules, simhash_neardup
+from heronlake.llm import best_fit_packing, chat_format, language_id, piece_codec, quality_classifier, quality_rules, simhash_neardup
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_simhash_neardup": simhash_neardup.op3_simhash_neardup,
     "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
