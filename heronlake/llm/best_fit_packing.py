@@ -57,6 +57,14 @@ class WordCoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
+    @staticmethod
+    def _stem(word: str) -> tuple[str, ...]:
+        """A word's parts that are coded apart and shared by many words: small letters, and one last stop or comma after a letter."""
+        if "Σ" in word or "İ" in word:  # their small letters depend on what stands around
+            return (word,)
+        low = word.lower()
+        return (low[:-1], low[-1]) if len(low) > 1 and low[-1] in ".," and low[-2].isalpha() and low[-2].isascii() else (low,)
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         split, whole = [], {}
         for k, t in enumerate(texts):
@@ -69,9 +77,12 @@ class WordCoder:
         if len(self.words) > MAX_WORDS:
             self.words.clear()
         met.difference_update(self.words)
-        fresh = list(met)
+        stems = {w: self._stem(w) for w in met}
+        fresh = list({p for x in stems.values() for p in x}.difference(self.words))
         for w, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
             self.words[w] = self._bytes(e.ids)
+        for w, parts in stems.items():
+            self.words[w] = b"".join(self.words[p] for p in parts)
         known = self.words.__getitem__
         return [whole[k] if k in whole else b"".join(map(known, words)) for k, words in enumerate(split)]
 

@@ -150,3 +150,20 @@ def op2_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = predict(docs, learn(docs, fold("doc_id", 5) != 0))
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "similarity")
+
+
+def keep(docs: DataFrame, profiles: Profiles, min_similarity: float) -> DataFrame:
+    """The rows of docs whose text is in one of the profiles' languages, in one pass over them."""
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    def make():
+        own = shared.value
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            good = [lang != "und" and near >= min_similarity for lang, _, near in map(own.predict, texts)]
+            return batch.filter(pa.array(good))
+
+        return step
+
+    return map_batches(docs, make, docs.schema)

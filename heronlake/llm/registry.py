@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from heronlake.llm import best_fit_packing, chat_format, language_id, piece_codec, quality_classifier, quality_rules, simhash_neardup
+from heronlake.llm import best_fit_packing, chat_format, language_id, line_dedup, piece_codec, quality_classifier, quality_rules, simhash_neardup, url_filters
 
 QUERIES = {
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op6_url_filters": url_filters.op6_url_filters,
     "op2_language_id": language_id.op2_language_id,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -14,5 +16,7 @@ QUERIES = {
     "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLES: dict[str, str] = {
+    "op4_line_dedup": line_dedup.OP4_SQL,
+    "op6_url_filters": url_filters.OP6_SQL,
     "op1_quality_rules": quality_rules.OP1_SQL,
 }
