@@ -1,6 +1,9 @@
-"""All queries of the reference's own operators, and their DuckDB oracles."""
+"""All queries of the engine's own operators, and their DuckDB oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from heronlake.plans import chunk_queries, retrieval_queries, state_queries
+
+_MODULES = (retrieval_queries, chunk_queries, state_queries)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
