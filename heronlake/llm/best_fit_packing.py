@@ -34,7 +34,7 @@ from heronlake.llm.common import Written, map_batches, table
 LENGTH = 2048
 END_ID = 0
 SALTS = 64
-#: Words that a worker remembers at most; the table starts anew when it is full.
+#: A worker remembers the words of its last tables, two of about so many words each.
 MAX_WORDS = 600_000
 
 
@@ -53,6 +53,7 @@ class WordCoder:
         if self.library.encode("a b\nc", add_special_tokens=False).ids != [i for w in "abc" for i in self.library.encode(w, add_special_tokens=False).ids]:
             raise ValueError("this vocabulary keeps white space")
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
@@ -75,7 +76,10 @@ class WordCoder:
             split.append(t.replace("\n", " ").split(" "))
         met = set().union(*split)
         if len(self.words) > MAX_WORDS:
-            self.words.clear()
+            self.words, self.older = {}, self.words
+        met.difference_update(self.words)
+        for w in met.intersection(self.older):
+            self.words[w] = self.older[w]
         met.difference_update(self.words)
         stems = {w: self._stem(w) for w in met}
         fresh = list({p for x in stems.values() for p in x}.difference(self.words))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from heronlake.llm import best_fit_packing, chat_format, language_id, line_dedup, piece_codec, quality_classifier, quality_rules, simhash_neardup, url_filters
+from heronlake.llm import best_fit_packing, chat_format, language_id, line_dedup, media_copies, piece_codec, quality_classifier, quality_rules, simhash_neardup, url_filters
 
 QUERIES = {
-    "op4_line_dedup": line_dedup.op4_line_dedup,
-    "op6_url_filters": url_filters.op6_url_filters,
-    "op2_language_id": language_id.op2_language_id,
-    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_language_id": language_id.op2_language_id,
     "op3_simhash_neardup": simhash_neardup.op3_simhash_neardup,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
+    "op6_url_filters": url_filters.op6_url_filters,
+    "op7_media_copies": media_copies.op7_media_copies,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_chat_format": chat_format.op10_chat_format,
 }
