@@ -126,7 +126,8 @@ def judged(docs: DataFrame) -> DataFrame:
     df = df.withColumn("clean_text", F.when(whole, text).otherwise(F.array_join("_left", "\n")))
     enough = (_chars(F.col("clean_text")) >= KEPT_SHARE * F.col("word_chars")) & (_count(F.col("clean_text"), WORD) >= MIN_WORDS)
     verdict = ~F.col("base_failed") & (whole | enough)
-    return df.select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "clean_text")
+    # inlined as one struct: a filter on the verdict then stays above, instead of repeating all of the rules below
+    return df.select(*kept, F.inline(F.array(F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "clean_text"))))
 
 
 def _any(text: Column, parts: list[str]) -> Column:
