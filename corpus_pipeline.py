@@ -12,9 +12,14 @@ from heronlake.llm.common import Written, fold, table
 MIN_SIMILARITY = 0.2
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """docs with all columns also in one struct, so that no name of theirs meets an operator's own."""
+    return docs.withColumn("document", F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, with their texts as they are (lines are only judged here)."""
-    return quality_rules.judged(docs).where("kept").select(*docs.columns)
+    return quality_rules.judged(_wrapped(docs).select("document", "text")).where("kept").select("document.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +30,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the repeated places of cross-site lines; n_chars follows the text."""
-    out = line_dedup.dedup(docs).withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = line_dedup.dedup(_wrapped(docs).select("document", "doc_id", "source", "text"))
+    text = F.col("clean_text")
+    return out.select(F.col("document").withField("text", text).withField("n_chars", F.length(text).cast("long")).alias("document")).select("document.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

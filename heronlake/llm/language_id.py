@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import fold, map_batches, table
+from heronlake.llm.common import Written, fold, map_batches, table
 
 PROFILE = 400
 DOCUMENT = 300
 PER_LANGUAGE = 1000
 PART = 1 << 20
+#: Ids of the sample that are sent to all tasks; with more languages they are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 
 @functools.cache
@@ -103,9 +105,15 @@ class Profiles:
 
 def learn(docs: DataFrame, learnable, per_language: int = PER_LANGUAGE) -> Profiles:
     """Profiles from the learnable rows of docs (doc_id, text, lang)."""
-    ids = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("n", first).where(F.col("n") <= per_language).select("doc_id").distinct()
+    known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    # a threshold on the uniform hash leaves about 1.5 * per_language ids a language, so that no language's ids meet in one task
+    share = F.least(F.lit(1.0), F.lit(1.5 * per_language + 50) / F.col("n"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(-(2.0**63)) + share * F.lit(2.0**64)).alias("most"))
+    few = known.join(sizes, "lang").where(F.col("h").cast("double") <= F.col("most"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = Written(few.withColumn("k", first).where(F.col("k") <= per_language).select("doc_id").distinct(), "chosen").df
+    if chosen.count() <= MOST_BROADCAST:
+        chosen = F.broadcast(chosen)
     rows = docs.where(learnable & F.col("lang").isNotNull()).join(chosen, "doc_id", "left_semi").select("lang", "text")
 
     def make():

@@ -152,7 +152,8 @@ class PieceCodec:
         """Text of ids: pieces and bytes in a row, without the mark that stands before a text."""
         raw = b"".join(map(self.spelled.__getitem__, ids))
         text = raw.decode("utf-8", "heronlake-byte")
-        return text[1:] if ids and ids[0] in self.marked else text
+        first = next((i for i in ids if self.spelled[i]), 0)  # control ids have no text
+        return text[1:] if first in self.marked else text
 
 
 _codecs: dict[str, PieceCodec] = {}

@@ -95,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable, sample: int = SAMPLE) -
     """Model from labelled rows. docs: doc_id, text; labels: doc_id, label (0 or 1)."""
     known = labels.where(F.col("label").isin(0, 1) & learnable).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(chosen, "doc_id").select("doc_id", "text", "label")
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most `sample` ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
