@@ -223,7 +223,7 @@ def model_search_ilike(spark, sf):
 e AS (SELECT a.*, s.chunk_set_id FROM a LEFT JOIN (SELECT o_custkey, o_orderkey AS chunk_set_id FROM orders WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) s ON s.o_custkey = a.document_id),
 d AS (SELECT e.kb_id, e.document_id, e.chunk_set_id, l.c, CASE WHEN l.c % 13 <> 0 THEN l.f END AS f, l.c % 13 <> 0 AS found, l.q FROM e LEFT JOIN (SELECT l_orderkey, l_orderkey * 10 + l_linenumber AS c, max(l_returnflag) AS f, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2) l ON l.l_orderkey = e.chunk_set_id)
 SELECT kb_id, count(DISTINCT document_id) AS document_count, count(c) AS chunk_count, count(*) FILTER (f = 'R') AS manual_edit_count, count(*) FILTER (found AND q <= 5) AS disabled_chunk_count,
-count(*) FILTER (chunk_set_id IS NULL) AS missing_chunk_set_count, count(*) FILTER (c IS NOT NULL AND NOT found) AS missing_revision_count, any_value(i.n) AS indexed_count
+count(*) FILTER (chunk_set_id IS NULL) AS missing_chunk_set_count, count(*) FILTER (c IS NOT NULL AND NOT found) AS missing_revision_count, coalesce(any_value(i.n), 0) AS indexed_count
 FROM d LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1) i ON i.c_nationkey = d.kb_id GROUP BY kb_id""")
 def generation_stats(spark, sf):
     c, o, line = (table(spark, sf, n) for n in ("customer", "orders", "lineitem"))
