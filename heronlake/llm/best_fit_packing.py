@@ -35,7 +35,7 @@ LENGTH = 2048
 END_ID = 0
 SALTS = 64
 #: A worker remembers the words of its last tables, two of about so many words each.
-MAX_WORDS = 600_000
+MAX_WORDS = 900_000
 
 
 class WordCoder:
