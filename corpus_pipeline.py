@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronlake.llm import best_fit_packing, language_id, line_dedup, quality_rules, simhash_neardup
+from heronlake.llm import best_fit_packing, language_id, line_dedup, quality_rules
+from heronlake.llm import near_copies as copies
 from heronlake.llm.common import Written, fold, table
 
 #: A document nearer than this to no language profile at all is rejected by the language stage.
@@ -36,9 +37,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
-    kept = simhash_neardup.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more), one row: that of the smallest id, or of a null id if there is no other."""
+    return copies.one_of_each(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
