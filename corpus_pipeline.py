@@ -18,9 +18,15 @@ def _wrapped(docs: DataFrame) -> DataFrame:
     return docs.withColumn("document", F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
+def _with_text(df: DataFrame) -> DataFrame:
+    """The columns of the struct, with clean_text as text."""
+    text = F.col("clean_text")
+    return df.select(F.col("document").withField("text", text).withField("n_chars", F.length(text).cast("long")).alias("document")).select("document.*")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, with their texts as they are (lines are only judged here)."""
-    return quality_rules.judged(_wrapped(docs).select("document", "text")).where("kept").select("document.*")
+    """Documents that the quality rules keep, without their failing lines; n_chars follows the text."""
+    return _with_text(quality_rules.judged(_wrapped(docs).select("document", "text")).where("kept"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the repeated places of cross-site lines; n_chars follows the text."""
     out = line_dedup.dedup(_wrapped(docs).select("document", "doc_id", "source", "text"))
-    text = F.col("clean_text")
-    return out.select(F.col("document").withField("text", text).withField("n_chars", F.length(text).cast("long")).alias("document")).select("document.*")
+    return _with_text(out)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

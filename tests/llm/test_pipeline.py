@@ -49,3 +49,10 @@ def test_near_copies_keep_links_within_hot_keys(spark, monkeypatch):
                 root = [min(a, b) if r in (a, b) else r for r in root]
     assert 1 < len(set(root)) < 90
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, frame(spark, rows), "").collect()) == sorted(set(root))
+
+
+def test_quality_takes_failing_lines_out_of_kept_documents(spark):
+    body = [f"this is line {k}, " + " ".join(f"with{k} word{j}{k}" for j in range(6)) + ", and here it ends." for k in range(6)]
+    rows = [(1, "\n".join([*body[:3], "Home | News | About | Contact", *body[3:], "All rights reserved by nobody at all."])), (2, "\n".join(body)), (3, "Home | News | About")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality(spark, frame(spark, rows), "").collect()}
+    assert got == {1: ("\n".join(body), len("\n".join(body))), 2: ("\n".join(body), len("\n".join(body)))}
