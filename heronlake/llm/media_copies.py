@@ -29,13 +29,13 @@ from heronlake.llm.common import Written, map_batches, table
 
 SCALES = (1.0, 1.25, 1.6)
 ANCHORS = 96
-TABLES = 5
+TABLES = 6
 #: Bits of a key: all corners give wide keys; those of coarser scales, whose patches tell more, also narrow ones.
 KEY_BITS, WIDE_KEY_BITS = 56, 96
 MIN_INLIERS = 8
-MAX_DISTANCE = 20
+MAX_DISTANCE = 40
 #: Bytes of tests that the geometric step compares.
-SHORT = 16
+SHORT = 32
 RADIUS = 9
 TOLERANCE = 3.0
 

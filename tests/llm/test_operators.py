@@ -284,3 +284,13 @@ def test_png_filters():
         png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 9, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
         assert (media_copies.decode(png) == a).all()
     assert (media_copies.decode(b"P5\n7 9\n255\n" + a.astype(np.uint8).tobytes()) == a).all()
+
+
+def test_media_tests_and_tables_are_whole():
+    p, t = media_copies.describe(media_copies.decode(media_copies.render([i * 0.01 * (-1) ** i for i in range(64)])))
+    corners, tests = p[:8, :2].copy(), t[:8].copy()
+    other = tests.copy()
+    other[:, 16:] ^= 255  # half of the 256 tests differ, so no corner is another's copy
+    assert media_copies.SHORT == tests.shape[1] and len(media_copies._key_bits(media_copies.KEY_BITS)) == 6
+    cut = lambda x: np.ascontiguousarray(x[:, : media_copies.SHORT])
+    assert media_copies.consensus(corners, cut(tests), corners, cut(other))[0] == 0
