@@ -56,3 +56,10 @@ def test_quality_takes_failing_lines_out_of_kept_documents(spark):
     rows = [(1, "\n".join([*body[:3], "Home | News | About | Contact", *body[3:], "All rights reserved by nobody at all."])), (2, "\n".join(body)), (3, "Home | News | About")]
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality(spark, frame(spark, rows), "").collect()}
     assert got == {1: ("\n".join(body), len("\n".join(body))), 2: ("\n".join(body), len("\n".join(body)))}
+
+
+def test_near_copies_keep_one_row_of_null_and_repeated_ids(spark):
+    one, two = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(None, one), (None, one), (5, two), (5, two), (None, two), (3, None), (None, "")]
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, frame(spark, rows), "").collect()), key=str)
+    assert got == sorted([(None, one), (5, two), (3, None)], key=str)
