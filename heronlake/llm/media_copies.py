@@ -2,7 +2,7 @@
 
 1. Each image (PNG of 8-bit grey, or binary PGM) gets corners on several scales (Harris response, local maxima), each with an
    orientation (intensity centroid) and 256 binary tests of smoothed pixels, turned by it.
-2. Hamming tables: the strongest ANCHORS corners of an image each give TABLES keys, the values of KEY_BITS fixed bits of their
+2. Hamming tables: all corners of an image each give TABLES keys, the values of KEY_BITS fixed bits of their
    tests. Every image is indexed; a query's keys are joined with them, and the pairs of images that share a key, each once, are candidates.
    Two copies share many corners and need one key in common; recall against brute force is measured in the tests.
 3. Each candidate pair is settled by geometry: corners that are each other's nearest vote for a turn, scale and shift; the vote that most
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from heronlake.llm.common import Written, map_batches, table
 
 SCALES = (1.0, 1.25, 1.6)
-ANCHORS = 96
 TABLES = 6
 #: Bits of a key: all corners give wide keys; those of coarser scales, whose patches tell more, also narrow ones.
 KEY_BITS, WIDE_KEY_BITS = 56, 96
@@ -168,13 +167,13 @@ def _key_bits(n: int) -> np.ndarray:
     return np.stack([np.random.default_rng(100 + k).permutation(256)[:n] for k in range(TABLES)])
 
 
-def keys(corners: np.ndarray, tests: np.ndarray, anchors: int = ANCHORS) -> list[int]:
-    """Table keys of an image's strongest corners: hashes of a table's number and its bits."""
+def keys(corners: np.ndarray, tests: np.ndarray) -> list[int]:
+    """Table keys of an image's corners: hashes of a table's number and its bits."""
     from xxhash import xxh64_intdigest
 
     found: set[int] = set()
-    for n, mine in ((WIDE_KEY_BITS, corners[:anchors, 3] > 0), (KEY_BITS, corners[:anchors, 3] != SCALES[0])):
-        bits = np.unpackbits(tests[:anchors][mine], axis=1)
+    for n, mine in ((WIDE_KEY_BITS, corners[:, 3] > 0), (KEY_BITS, corners[:, 3] != SCALES[0])):
+        bits = np.unpackbits(tests[mine], axis=1)
         found.update(xxh64_intdigest(row.tobytes(), n + k) for k, chosen in enumerate(_key_bits(n)) for row in np.packbits(bits[:, chosen], axis=1))
     return np.sort(np.array(list(found), np.uint64).view(np.int64)).tolist()
 

@@ -294,3 +294,12 @@ def test_media_tests_and_tables_are_whole():
     assert media_copies.SHORT == tests.shape[1] and len(media_copies._key_bits(media_copies.KEY_BITS)) == 6
     cut = lambda x: np.ascontiguousarray(x[:, : media_copies.SHORT])
     assert media_copies.consensus(corners, cut(tests), corners, cut(other))[0] == 0
+
+
+def test_media_crops_of_large_pictures_meet(spark):
+    grey = np.random.default_rng(9).normal(0, 1, (40, 40))
+    grey[20:, 20:] *= 0.5  # a part of low contrast, without any of the strongest corners
+    whole = np.clip(128 + 50 * np.kron(grey, np.ones((8, 8))), 0, 255)
+    rows = [(50, media_copies.encode_png(whole)), (1, media_copies.encode_png(whole[160:])), (2, media_copies.encode_png(whole[160:, 160:]))]
+    got = media_copies.find_copies(spark.createDataFrame(rows, "id long, media binary"), F.col("id") % 50 == 0).collect()
+    assert sorted(r.match_id for r in got) == [1, 2]
