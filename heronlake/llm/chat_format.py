@@ -12,8 +12,8 @@ no control string is left in it, and reading back takes one away. The loss mask
 they stand in the output (without their end marks).
 
 Cases: null or empty text is an empty turn; null role is the empty role; equal scores rank by leaf id; messages
-that repeat an id count once (smallest role and text); messages whose parent is absent are roots; messages in a cycle have
-no root and give no path; an empty table gives an empty result; other columns are ignored. A conversation is one
+that repeat an id count once (smallest role and text); messages whose parent is absent are roots; messages in a cycle, or below
+one, have no root and give no path; an empty table gives an empty result; other columns are ignored. A conversation is one
 row of the result, so one row's memory follows its own length.
 """
 
@@ -75,6 +75,7 @@ def paths(nodes: DataFrame) -> DataFrame:
     known = nodes.select(F.col("node").alias("parent"))
     link = Written(nodes.join(known, "parent", "left_semi").select("node", F.col("parent").alias("above")), "links")
     links = [link]
+    endless = None  # nodes without a root above them
     while not links[-1].df.isEmpty():
         if len(links) > 40:
             raise ValueError("messages form a cycle")  # 2**40 messages above one another
@@ -82,8 +83,11 @@ def paths(nodes: DataFrame) -> DataFrame:
         two = one.select(F.col("node").alias("above"), F.col("above").alias("top"))
         links.append(Written(one.join(two, "above").select("node", F.col("top").alias("above")), "links"))
         if len(links) > 2 and _same_size(links):
-            break  # every link left lies on a cycle
+            endless = links.pop().df.select("node")  # no further node has ended: those left lie on a cycle or below one
+            break
     leaves = nodes.select("node").join(link.df.select(F.col("above").alias("node")).distinct(), "node", "left_anti")
+    if endless is not None:
+        leaves = leaves.join(endless, "node", "left_anti")
     found = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     for k in range(len(links) - 1, -1, -1):
         wider = found.join(links[k].df, "node").select("leaf", F.col("above").alias("node"), (F.col("up") + F.lit(1 << k)).alias("up"))
