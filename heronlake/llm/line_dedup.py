@@ -4,12 +4,12 @@ Lines (split at line feeds, trimmed of ASCII spaces, of MIN_WORDS words or more)
 sketch of each line's sites is built in every task and merged by aggregation, so a line that half of
 all documents share costs one sketch a task. A line whose estimate is clear of the threshold is settled; those near it get exact
 distinct counts. Lines on MIN_SITES sites or more are boilerplate: all their places but the first (smallest
-document id, then line number) are removed, so that no text leaves the corpus altogether.
+document id, null ids last, then line number) are removed, so that no text leaves the corpus altogether.
 
 Joins are equi-joins on line hashes between written tables, where Spark splits a hot line's rows.
 
 Cases: null text stays null and has no lines; a null site counts as none; empty and short lines are never removed; rows that
-repeat an id and text lose the same lines; an empty table gives an empty result; columns of the input
+repeat an id (or its absence) and text lose the same lines; an empty table gives an empty result; columns of the input
 with the names of results are left out. The removed line numbers of a document follow its own length.
 """
 
@@ -37,9 +37,14 @@ def lines(docs: DataFrame, site: str) -> DataFrame:
     return rows.select("doc_id", "same", "n", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "site")
 
 
+def _place() -> Column:
+    """A line's place, which is never null and sorts by document id, null ids last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same", "n")
+
+
 def boilerplate(found: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(h1, h2, first): lines on min_sites sites or more, and the place of each that stays."""
-    spread = found.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min(F.struct("doc_id", "same", "n")).alias("first"))
+    spread = found.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min(_place()).alias("first"))
     margin = max(2.0, 4 * 1.04 / 2 ** (LG_K / 2) * min_sites)
     guess = F.hll_sketch_estimate("sketch")
     likely = Written(spread.withColumn("sites", guess).where(F.col("sites") >= min_sites - margin).select("h1", "h2", "first", (F.col("sites") > min_sites + margin).alias("clear")), "likely-lines")
@@ -54,10 +59,9 @@ def dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) ->
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in [*added, "_same", "_gone"]))
     found = Written(lines(docs, site), "lines").df
     marks = Written(boilerplate(found, min_sites), "boilerplate").df
-    here = F.struct("doc_id", "same", "n")
-    gone = found.join(marks, ["h1", "h2"]).where(here != F.col("first")).groupBy("doc_id", "same").agg(F.collect_set("n").alias("gone"))
+    gone = found.join(marks, ["h1", "h2"]).where(_place() != F.col("first")).groupBy("doc_id", "same").agg(F.collect_set("n").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("same").alias("_hash"), F.col("gone").alias("_gone"))
-    out = docs.withColumn("_same", F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("_same") == F.col("_hash")), "left").drop("_same", "_doc", "_hash")
+    out = docs.withColumn("_same", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_same") == F.col("_hash")), "left").drop("_same", "_doc", "_hash")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("_gone", k)), "\n")
     n_lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0)).cast("long")
     return out.withColumn("clean_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).withColumn("n_lines", n_lines).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).drop("_gone")
