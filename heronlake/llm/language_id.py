@@ -30,7 +30,7 @@ PROFILE = 400
 DOCUMENT = 300
 PER_LANGUAGE = 1000
 PART = 1 << 20
-#: Ids of the sample that are sent to all tasks; with more languages they are joined by a shuffle.
+#: Rows (ids of the sample, or counts of languages) that are sent to all tasks; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
 
 
@@ -109,6 +109,9 @@ def learn(docs: DataFrame, learnable, per_language: int = PER_LANGUAGE) -> Profi
     # a threshold on the uniform hash leaves about 1.5 * per_language ids a language, so that no language's ids meet in one task
     share = F.least(F.lit(1.0), F.lit(1.5 * per_language + 50) / F.col("n"))
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(-(2.0**63)) + share * F.lit(2.0**64)).alias("most"))
+    sizes = Written(sizes, "sizes").df
+    if sizes.count() <= MOST_BROADCAST:  # one row a language: the other side isn't shuffled by language
+        sizes = F.broadcast(sizes)
     few = known.join(sizes, "lang").where(F.col("h").cast("double") <= F.col("most"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = Written(few.withColumn("k", first).where(F.col("k") <= per_language).select("doc_id").distinct(), "chosen").df
