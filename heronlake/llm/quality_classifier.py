@@ -8,7 +8,7 @@ The model is fitted on a bounded sample: the SAMPLE labelled rows of the trainin
 hashes, in that order, EPOCHS times, in one task (the updates are sequential). Its size is fixed by BUCKETS.
 
 Cases: null or empty text scores the model's bias; null labels are not learnt; where a document has several labels the
-smallest counts; without a training row every score is 0.5; repeated rows give repeated results; an empty table gives
+smallest counts, where an id has several texts the smallest is learnt; without a training row every score is 0.5; repeated rows give repeated results; an empty table gives
 an empty result; other columns are not read. A very long text needs memory in proportion to its tokens.
 """
 
@@ -95,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable, sample: int = SAMPLE) -
     """Model from labelled rows. docs: doc_id, text; labels: doc_id, label (0 or 1)."""
     known = labels.where(F.col("label").isin(0, 1) & learnable).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most `sample` ids
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))  # at most `sample` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
