@@ -288,9 +288,9 @@ def search_pages(rows: DataFrame, bands: int, radius: int, page: int) -> DataFra
 
 def compare_blocks(blocks: DataFrame, radius: int) -> DataFrame:
     """Links between different blocks of one group."""
-    left = blocks.select("choice", "grp", F.col("block").alias("x"), F.col("fps").alias("fx"))
-    right = blocks.select("choice", "grp", F.col("block").alias("y"), F.col("fps").alias("fy"))
-    pairs = left.join(right, ["choice", "grp"]).where("x < y").select("x", "y", "fx", "fy").repartition("x", "y")
+    names = blocks.select("choice", "grp", "block")  # names are paired first, so that a hot group's fingerprints don't meet in one task
+    pairs = names.withColumnRenamed("block", "x").join(names.withColumnRenamed("block", "y"), ["choice", "grp"]).where("x < y").select("x", "y")
+    pairs = pairs.join(blocks.select(F.col("block").alias("x"), F.col("fps").alias("fx")), "x").join(blocks.select(F.col("block").alias("y"), F.col("fps").alias("fy")), "y").select("x", "y", "fx", "fy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,8 +303,17 @@ def compare_blocks(blocks: DataFrame, radius: int) -> DataFrame:
     return pairs.mapInArrow(run, LINK_SCHEMA)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, bands: int = BANDS, page: int = PAGE) -> DataFrame:
+def bands_for(many: int, radius: int = RADIUS, page: int = PAGE) -> int:
+    """The fewest bands, BANDS at least, whose chosen bits cut `many` fingerprints into groups of about a page."""
+    bands = max(BANDS, radius + 2)
+    while bands < 4 * radius and many > page << (64 * (bands - radius) // bands):
+        bands += 1
+    return bands
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, bands: int | None = None, page: int = PAGE) -> DataFrame:
     """(a, b): links between distinct fingerprints (fp) that keep every connection within the radius."""
+    bands = bands or bands_for(distinct.count(), radius, page)
     rows = candidate_rows(distinct, bands, radius)
     spark = distinct.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
