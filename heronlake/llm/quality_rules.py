@@ -3,12 +3,15 @@
 Words are runs of characters other than the six ASCII spaces. Each line is held against rules in turn:
 
 * symbols: over a tenth of the characters of its words are among `#*$%&|<>`;
-* shouting: it has a run of exclamation marks after every third word at least, or capitals A-Z but no small
+* shouting: it has a run of exclamation marks after every third word at least, or capitals but no small
   letter (in lines of 5 words or more);
 * navigation: two separators or more (`|`, `»`, `›`, `•`, `·`) among its words, or a line without any end of sentence
-  (`.!?:;…` or closing quotes or brackets) in which no word but the first starts with a small letter;
+  (one of ENDS) in which no word but the first starts with a small letter; lines with letters of a script without case are not
+  judged by this second test;
 * boilerplate: it holds one of PHRASES.
 
+Letters are Unicode's: capital (Lu), small (Ll), without case (Lo).
+
 Failing lines are removed. A document is rejected if the base rules fail it, if the lines left hold less than
 KEPT_SHARE of its word characters, or fewer than MIN_WORDS words.
 
@@ -38,11 +41,14 @@ SYMBOLS = "#*$%&|<>"
 SPLIT = r"[\x20\x09-\x0D]+"
 BARS = "|»›•·"
 #: Last characters of a closed line.
-ENDS = ".!?:;…\"')]”’»"
+ENDS = ".!?:;…\"')]”’»。！？：；」』）》】।؟"
 #: Lower-case phrases of boilerplate lines.
 PHRASES = [
     "all rights reserved", "licensed under", "is licensed", "terms of use", "terms of service", "privacy policy", "cookie policy", "cookies", "enable javascript", "copyright ©", "copyright (c)",
     "click here", "sign up", "log in", "subscribe to", "share this", "read more",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "jetzt anmelden", "weiterlesen", "tous droits réservés", "conditions générales", "politique de confidentialité",
+    "mentions légales", "cliquez ici", "lire la suite", "todos los derechos reservados", "términos de uso", "política de privacidad", "aviso legal", "haga clic", "leer más",
+    "版权所有", "隐私政策", "все права защищены",
 ]
 
 
@@ -87,8 +93,8 @@ def line_fails(line: Column, symbols: Column, shouts: Column, bars: Column, phra
     """
     end = F.substring(F.rtrim(line, F.lit(SPACES)), -1, 1)
     unclosed = (end != "") & (F.instr(F.lit(ENDS), end) == 0)
-    titled = ~line.rlike(r"[\x20\x09-\x0D][a-zà-öø-ÿ]")
-    capitals = ~line.rlike("[a-zà-öø-ÿ]") & line.rlike("[A-Z]") & (_count(line, WORD) >= 5)
+    titled = ~line.rlike(r"[\x20\x09-\x0D]\p{Ll}|\p{Lo}")
+    capitals = ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}") & (_count(line, WORD) >= 5)
     marked = (_chars(line) - _chars(line, SYMBOLS)) * 10 > _chars(line)
     shouted = line.contains("!!") & (_count(line, "!{2,}") * 3 >= _count(line, WORD))
     barred = F.length(line) - F.length(F.translate(line, BARS, "")) >= 2
@@ -155,9 +161,9 @@ m AS (SELECT doc_id, line, regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g') A
 f AS (SELECT *, len(bare) > 0 AND (
     len(regexp_extract_all(bare, '[#*$%&|<>]')) * 10 > len(bare)
     OR (len(regexp_extract_all(line, '!{{2,}}')) * 3 >= nw AND len(regexp_extract_all(line, '!{{2,}}')) > 0)
-    OR (nw >= 5 AND regexp_matches(line, '[A-Z]') AND NOT regexp_matches(line, '[a-zà-öø-ÿ]'))
+    OR (nw >= 5 AND regexp_matches(line, '\\p{{Lu}}') AND NOT regexp_matches(line, '\\p{{Ll}}'))
     OR len(regexp_extract_all(line, '[|»›•·]')) >= 2
-    OR (NOT regexp_matches(line, '[.!?:;…\\x22\\x27)\\]”’»][\\x20\\x09-\\x0D]*$') AND NOT regexp_matches(line, '[\\x20\\x09-\\x0D][a-zà-öø-ÿ]'))
+    OR (NOT regexp_matches(line, '[.!?:;…\\x22\\x27)\\]”’»。！？：；」』）》】।؟][\\x20\\x09-\\x0D]*$') AND NOT regexp_matches(line, '[\\x20\\x09-\\x0D]\\p{{Ll}}|\\p{{Lo}}'))
     OR regexp_matches(lower(line), '{"|".join(p.replace("(", chr(92) + "(").replace(")", chr(92) + ")") for p in PHRASES)}')) AS fails FROM m),
 s AS (SELECT doc_id, sum(len(bare)) AS word_chars, sum(nw)::BIGINT AS n_words, coalesce(sum(len(bare)) FILTER (NOT fails), 0) AS left_chars, coalesce(sum(nw) FILTER (NOT fails), 0) AS left_words,
     count(*) FILTER (len(bare) > 0) - count(DISTINCT line) FILTER (len(bare) > 0) AS n_dup_lines FROM f GROUP BY doc_id),
