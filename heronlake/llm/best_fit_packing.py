@@ -16,12 +16,13 @@
 
 Cases: null text counts as empty (one piece, the end id alone); ties rank by document id and piece; rows that repeat a
 document id get one place each; an empty table gives an empty result; other columns are not read; a very long text needs
-memory in proportion to its own length.
+memory in proportion to its own length, beside the word tables of a worker, which are bounded by words and bytes.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -36,6 +37,9 @@ END_ID = 0
 SALTS = 64
 #: A worker remembers the words of its last tables, two of about so many words each.
 MAX_WORDS = 900_000
+#: Bytes that one of the two tables holds at most, and the length of words that are kept.
+MAX_BYTES, LONG = 128 << 20, 64
+STOPS = frozenset(".,")
 
 
 class WordCoder:
@@ -52,19 +56,36 @@ class WordCoder:
         self.special = sorted({t.content[:2] for t in self.library.get_added_tokens_decoder().values()})
         if self.library.encode("a b\nc", add_special_tokens=False).ids != [i for w in "abc" for i in self.library.encode(w, add_special_tokens=False).ids]:
             raise ValueError("this vocabulary keeps white space")
-        self.words: dict[str, bytes] = {}
+        self.words, self.held = self._start(), 0
         self.older: dict[str, bytes] = {}
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+    def _start(self) -> dict[str, bytes]:
+        """A table with the empty word and the two stops that are coded apart."""
+        return {w: self._bytes(self.library.encode(w, add_special_tokens=False).ids) for w in ("", ".", ",")}
 
     @staticmethod
-    def _stem(word: str) -> tuple[str, ...]:
-        """A word's parts that are coded apart and shared by many words: small letters, and one last stop or comma after a letter."""
-        if "Σ" in word or "İ" in word:  # their small letters depend on what stands around
-            return (word,)
-        low = word.lower()
-        return (low[:-1], low[-1]) if len(low) > 1 and low[-1] in ".," and low[-2].isalpha() and low[-2].isascii() else (low,)
+    def _bytes(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
+    @staticmethod
+    def _stems(words: list[str]) -> tuple[list[str], list[str]]:
+        """Words in small letters, and their stems: without one last stop or comma after an ASCII letter. Many words share a stem."""
+        joined = "\n".join(words)
+        low = joined.lower().split("\n")
+        if "Σ" in joined or "İ" in joined:  # their small letters depend on what stands around
+            low = [w if "Σ" in w or "İ" in w else x for w, x in zip(words, low, strict=True)]
+        return low, [x[:-1] if x[-1] in STOPS and x[-2:-1].isascii() and x[-2:-1].isalpha() else x for x in low]
+
+    def _learn(self, met: set[str]) -> None:
+        """Code the words that aren't in the table."""
+        words = list(met)
+        low, stems = self._stems(words)
+        fresh = list(set(stems).difference(self.words))
+        known = self.words
+        known.update(zip(fresh, [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)], strict=True))
+        for w, x, stem in zip(words, low, stems, strict=True):
+            known[w] = known[stem] if len(x) == len(stem) else known[stem] + known[x[-1]]
+        self.held += 5 * len("\n".join(words).encode("utf-8", "replace"))  # a byte has one id at most
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         split, whole = [], {}
@@ -75,20 +96,21 @@ class WordCoder:
                 t = ""
             split.append(t.replace("\n", " ").split(" "))
         met = set().union(*split)
-        if len(self.words) > MAX_WORDS:
-            self.words, self.older = {}, self.words
-        met.difference_update(self.words)
-        for w in met.intersection(self.older):
-            self.words[w] = self.older[w]
+        if len(self.words) > MAX_WORDS or self.held > MAX_BYTES:
+            self.words, self.older, self.held = self._start(), self.words, 0
         met.difference_update(self.words)
-        stems = {w: self._stem(w) for w in met}
-        fresh = list({p for x in stems.values() for p in x}.difference(self.words))
-        for w, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.words[w] = self._bytes(e.ids)
-        for w, parts in stems.items():
-            self.words[w] = b"".join(self.words[p] for p in parts)
+        if self.older:
+            again = met.intersection(self.older)
+            self.words.update(zip(again, map(self.older.__getitem__, again)))
+            met.difference_update(again)
+        if met:
+            self._learn(met)
         known = self.words.__getitem__
-        return [whole[k] if k in whole else b"".join(map(known, words)) for k, words in enumerate(split)]
+        out = [whole[k] if k in whole else b"".join(map(known, words)) for k, words in enumerate(split)]
+        for w in [w for w in met if len(w) > LONG]:  # words that hardly come again aren't kept
+            self.words.pop(w, None)
+            self.words.pop(w.lower(), None)
+        return out
 
 
 _coders: dict[str, WordCoder] = {}
