@@ -4,11 +4,12 @@ A text is normalised as the model says (identity map, one leading mark, spaces a
 piece of the vocabulary can reach across, and each part is merged by an agenda: a heap of adjacent symbol
 pairs ordered by score, then by position. What stays outside the vocabulary is spelled in byte pieces.
 Parts repeat, so each Arrow batch encodes only those that its worker has not met (a bounded table), and
-checks them all at once against the sentencepiece library; a difference raises.
+checks them all at once against the sentencepiece library; decoded texts are checked against it too. A difference raises.
 
 Cases: null text counts as empty; empty text has no ids and decodes to empty; ties between equal scores go
 to the leftmost pair; repeated rows give repeated results; an empty table gives an empty result; other
-columns, whatever their names, are not read. Very long texts need memory in proportion to their own size.
+columns, whatever their names, are not read. Very long texts need memory in proportion to their own size, beside the table of
+parts, which is bounded by parts and bytes.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import codecs
 import hashlib
 import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from heronlake.llm.common import map_batches, table
 
 MARK = "▁"
-#: Parts that a worker remembers at most; the table starts anew when it is full.
-MAX_PARTS = 800_000
+#: Parts and bytes that a worker remembers at most (the table starts anew when it is full), and the length of parts that are kept.
+MAX_PARTS, MAX_BYTES, LONG = 800_000, 128 << 20, 64
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>$")
 
 
@@ -73,6 +75,7 @@ class PieceCodec:
         self.marked = {i for p, i in plain.items() if p[0] == MARK}
         self.order = {p: (-sp.get_score(i), i) for p, i in plain.items()}
         self.parts: dict[str, bytes] = {}
+        self.held = 0
         self.decimal = [str(i) for i in range(n)]
 
     def merge(self, part: str) -> list[int]:
@@ -135,18 +138,21 @@ class PieceCodec:
                 want.append(head[1])
             if self.library.encode("\n" + "".join(f"{p.replace(MARK, ' ')}\n" for p in own), num_threads=1) != want:
                 raise AssertionError(f"ids differ from the library's in one of {own}")
-        for p, ids in zip(fresh, coded, strict=True):
-            self.parts[p] = np.array(ids, np.uint32).tobytes()
+        self.parts.update(zip(fresh, (array("I", ids).tobytes() for ids in coded), strict=True))
+        self.held += 5 * len("".join(fresh).encode("utf-8", "replace"))  # a byte has one id at most
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.split(t or "") for t in texts]
         met = set().union(*split)
-        if len(self.parts) > MAX_PARTS:
-            self.parts.clear()
+        if len(self.parts) > MAX_PARTS or self.held > MAX_BYTES:
+            self.parts, self.held = {}, 0
         met.difference_update(self.parts)
         self.learn(met)
         known = self.parts.__getitem__
-        return [np.frombuffer(b"".join(map(known, parts)), np.uint32) for parts in split]
+        out = [np.frombuffer(b"".join(map(known, parts)), np.uint32) for parts in split]
+        for p in [p for p in met if len(p) > LONG]:  # parts that hardly come again aren't kept
+            del self.parts[p]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces and bytes in a row, without the mark that stands before a text."""
@@ -155,6 +161,13 @@ class PieceCodec:
         first = next((i for i in ids if self.spelled[i]), 0)  # control ids have no text
         return text[1:] if first in self.marked else text
 
+    def decode_batch(self, coded: list[list[int]]) -> list[str]:
+        """Texts of lists of ids, each checked against the library."""
+        out = [self.decode(ids) for ids in coded]
+        if out != self.library.decode(coded):
+            raise AssertionError("a decoded text differs from the library's")
+        return out
+
 
 _codecs: dict[str, PieceCodec] = {}
 
@@ -174,7 +187,7 @@ def encode_column(df: DataFrame, id_col: str, text_col: str, model_file: str) ->
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [x.tolist() for x in own.encode_batch(batch.column(1).to_pylist())]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.string())], [id_col, "ids", "decoded"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(own.decode_batch(ids), pa.string())], [id_col, "ids", "decoded"])
 
         return step
 
@@ -189,12 +202,10 @@ def digest_column(df: DataFrame, model_file: str) -> DataFrame:
         own = codec(model_file)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, coded, decoded = [], [], []
-            for x in own.encode_batch(batch.column(1).to_pylist()):
-                ids = x.tolist()
-                n.append(len(ids))
-                coded.append(hashlib.sha256(",".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+            found = [x.tolist() for x in own.encode_batch(batch.column(1).to_pylist())]
+            n = [len(ids) for ids in found]
+            coded = [hashlib.sha256(",".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest() for ids in found]
+            decoded = [hashlib.sha256(text.encode()).hexdigest() for text in own.decode_batch(found)]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return step
