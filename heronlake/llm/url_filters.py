@@ -4,7 +4,8 @@ The universe of keys is every host of the corpus with its parent domains. The fi
 second the keys that the first takes by mistake; the third the listed keys that the second takes by mistake; and so on
 until none is left. A key of the universe is listed if the number of filters that it passes in a row is odd: no error
 either way, and no join when urls are judged. Filters are built by Spark (bits are or-ed by word) and stand in the plan as constants;
-each is at most MAX_BITS. A list that needs more is judged by an equi-join with the listed keys instead.
+each is at most MAX_BITS. A longer list is cut by a hash of the keys into parts with a cascade each, at most MAX_PARTS (some 13 million listed
+keys of the universe). The filters of a list beyond that would outgrow what a task should be sent; it is judged by an equi-join with the listed keys.
 
 All in DataFrame functions. Keys are combined before they are shuffled, so a host that a third of all pages share costs one row a task.
 
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 from heronlake.llm.common import Written, table
 
 MAX_BITS = 1 << 23
+MAX_PARTS = 16
 BITS_A_KEY = 10
 PROBES = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Domains on the block list.
+#: Domains on the query's block list; hosts of the corpus whose MD5 starts with LISTED_DIGIT stand on it too, so that it grows with the corpus.
+LISTED_DIGIT = "0"
 LISTED = ["casino-win.example.com", "cheap-pills.example.com", "click-bait.example.net", "free-prizes.example.net", "spam-farm.example.org", "tionsh.example.net", "thther.example.org"]
 
 
@@ -77,18 +80,15 @@ class Level:
 
 
 class Cascade:
-    """Exact membership of keys of a universe. universe: (key, listed)."""
+    """Exact membership of keys of a universe that has `many` listed ones. universe: (key, listed)."""
 
-    def __init__(self, universe: DataFrame):
+    def __init__(self, universe: DataFrame, many: int):
         self.levels: list[Level] = []
-        self.fits = True
         mine, other = universe.where("listed").select("key"), universe.where("not listed").select("key")
-        while many := mine.count():
-            if many * BITS_A_KEY > MAX_BITS:
-                self.fits = False
-                return
+        while many:
             self.levels.append(Level(mine, many, len(self.levels)))
             mine, other = Written(other.where(self.levels[-1].has(F.col("key"))), "false-keys").df, mine
+            many = mine.count()
 
     def has(self, key: Column) -> Column:
         out = F.lit(len(self.levels) % 2 == 1)
@@ -97,6 +97,31 @@ class Cascade:
         return out
 
 
+class Cascades:
+    """A cascade for each part of the key space, as many as the listed keys need; fits tells whether MAX_PARTS suffice."""
+
+    def __init__(self, universe: DataFrame):
+        listed = universe.where("listed").count()
+        n = max(1, -(-listed * BITS_A_KEY // MAX_BITS))
+        n = n if n == 1 else n + n // 4 + 1  # room for uneven parts
+        self.fits = n <= MAX_PARTS
+        self.parts: list[Cascade] = []
+        if self.fits:
+            sizes = {r["part"]: r["n"] for r in universe.where("listed").groupBy(self._part(n).alias("part")).agg(F.count("*").alias("n")).collect()}  # at most MAX_PARTS rows
+            self.parts = [Cascade(universe.where(self._part(n) == k), sizes.get(k, 0)) for k in range(n)]
+
+    @staticmethod
+    def _part(n: int) -> Column:
+        return F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(n))
+
+    def has(self, key: Column) -> Column:
+        out = self.parts[-1].has(key)
+        at = F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(len(self.parts)))
+        for k in range(len(self.parts) - 2, -1, -1):
+            out = F.when(at == k, self.parts[k].has(key)).otherwise(out)
+        return out
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict). listed: key, a domain on the block list; it covers its subdomains."""
     host, path = host_and_path(F.col(url_col))
@@ -104,7 +129,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     keys = rows.select("host").distinct().select(F.explode(domains(F.col("host"))).alias("key")).distinct()
     marks = listed.where("key is not null").select("key").distinct().withColumn("listed", F.lit(True))
     universe = Written(keys.join(marks, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "universe")
-    cascade = Cascade(universe.df)
+    cascade = Cascades(universe.df)
     if cascade.fits:
         rows = rows.withColumn("blocked", F.exists(domains(F.col("host")), cascade.has))
     else:
@@ -116,8 +141,10 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
 
 
 def op6_url_filters(spark, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(k,) for k in LISTED], "key string")
-    return judge(table(spark, sf_dir, "pages"), listed, RULES)
+    pages = table(spark, sf_dir, "pages")
+    host = host_and_path(F.col("url"))[0].alias("key")
+    found = pages.select(host).distinct().where((F.col("key") != "") & (F.substring(F.md5(F.col("key").cast("binary")), 1, 1) == LISTED_DIGIT))
+    return judge(pages, found.unionByName(spark.createDataFrame([(k,) for k in LISTED], "key string")), RULES)
 
 
 OP6_SQL = """
@@ -125,7 +152,8 @@ WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r(v, rh, rp) AS (VALUES %s),
 f AS (SELECT page_id, rh || rp AS rule, v FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, rh || rp) = 1),
-b AS (SELECT DISTINCT page_id FROM h JOIN (SELECT unnest(%s) AS k) ON host = k OR ends_with(host, '.' || k))
+k AS (SELECT unnest(%s) AS k UNION SELECT host FROM h WHERE host <> '' AND md5(host)[1] = '%s'),
+b AS (SELECT DISTINCT page_id FROM h JOIN k ON host = k OR ends_with(host, '.' || k))
 SELECT h.page_id, host, path, f.rule AS rule, coalesce(f.v, CASE WHEN b.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM h LEFT JOIN f USING (page_id) LEFT JOIN b USING (page_id)
-""" % (", ".join(str(r) for r in RULES), LISTED)
+""" % (", ".join(str(r) for r in RULES), LISTED, LISTED_DIGIT)
