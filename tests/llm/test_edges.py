@@ -87,8 +87,9 @@ def test_media(spark):
     a = media_copies.render([i * 0.01 * (-1) ** i for i in range(64)])
     rows = [(50, a, "x"), (1, a, "x"), (1, a, "x"), (2, None, "x"), (100, b"", "x"), (3, b"junk", "x"), (4, media_copies.render(None), "x")]
     m = spark.createDataFrame(rows, "id long, media binary, keys string")
-    assert [(r.query_id, r.match_id) for r in media_copies.find_copies(m, F.col("id") % 50 == 0).collect()] == [(50, 1)]
-    assert media_copies.find_copies(m.limit(0), F.col("id") % 50 == 0).count() == 0
+    got = sorted((r.id, r.class_id, r.class_size) for r in media_copies.Copies(m).classes.collect())
+    assert got == [(1, 1, 3), (1, 1, 3), (2, 2, 1), (3, 3, 1), (4, 4, 1), (50, 1, 3), (100, 100, 1)]
+    assert media_copies.Copies(m.limit(0)).classes.count() == 0
 
 
 def test_classifier(spark, docs, none):
