@@ -41,6 +41,8 @@ class Written:
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.schema = df.schema
+        if Scratch.open:
+            Scratch.open[-1].tables.append(self)
 
     @property
     def df(self) -> DataFrame:
@@ -53,6 +55,28 @@ class Written:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Owner of the tables written within it (`with Scratch() as own`): at its end all are deleted but those it is told to keep."""
+
+    open: list[Scratch] = []
+
+    def __init__(self):
+        self.tables: list[Written] = []
+
+    def __enter__(self) -> Scratch:
+        Scratch.open.append(self)
+        return self
+
+    def keep(self, table: Written) -> Written:
+        self.tables.remove(table)
+        return table
+
+    def __exit__(self, *_) -> None:
+        Scratch.open.remove(self)
+        for t in self.tables:
+            t.drop()
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with one set-up a task: make() returns the function of a batch."""
 
