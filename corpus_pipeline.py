@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heronlake.llm import best_fit_packing, language_id, line_dedup, quality_rules
 from heronlake.llm import near_copies as copies
-from heronlake.llm.common import Written, fold, table
+from heronlake.llm.common import Scratch, Written, fold, table
 
 #: A document nearer than this to no language profile at all is rejected by the language stage.
 MIN_SIMILARITY = 0.2
@@ -59,9 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in a row. A stage's own tables, and what the stage before it left, are deleted when its result is written; the last stage's stay for the reader."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = Written(stage(spark, docs, sf_dir), name).df
+        with Scratch() as own:
+            done = own.keep(Written(stage(spark, docs, sf_dir), name))
+        if last is not None:
+            last.drop()
+        docs, last = done.df, done
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
