@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -146,8 +148,91 @@ def millis(text: Column) -> Column:
     return F.timestamp_millis(text.try_cast("bigint"))
 
 
-def display_name(*names: Column, default: str) -> Column:
-    return F.coalesce(*(F.nullif(n, F.lit("")) for n in names), F.lit(default))
+def display_name(*names: Column, default: str = "-") -> Column:
+    """The first name that isn't blank, trimmed, else the default."""
+    return F.coalesce(*(F.nullif(trim_all(n), F.lit("")) for n in names), F.lit(default))
+
+
+def strict_delete_policy(text: Column) -> Column:
+    """`keep` or `remove`, strictly read: null, empty and other values end the query."""
+    read = F.lower(trim_all(F.coalesce(text, F.lit(""))))
+    return F.when(read.isin("keep", "remove"), read).otherwise(F.raise_error(F.concat(F.lit("unknown source delete policy: "), F.coalesce(text, F.lit("null")))).cast("string"))
+
+
+#: Fixed pattern of a time with date, seconds and zone.
+RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+
+
+def rfc3339(text: Column) -> Column:
+    """A time in RFC 3339 form; null for anything else, also for times without a zone."""
+    return F.when(trim_all(text).rlike(RFC3339), F.try_to_timestamp(F.upper(trim_all(text))))
+
+
+#: What users read of job types, generation states, job errors and blockers.
+JOB_LABELS = {"document_parse_start": "导入文件", "document_index": "更新 FAQ", "chunk_revision_index": "修订分块", "index_generation_build": "构建索引版本"}
+JOB_LABEL = "处理任务"
+GENERATION_LABELS = {"building": "构建中", "ready": "待激活", "stale": "已过期", "failed": "构建失败", "retired": "已退役"}
+GENERATION_LABEL, ACTIVE_LABEL = "状态未知", "当前生效"
+JOB_ERRORS = {
+    "invalid_document": "任务参数无效，请检查相关内容。",
+    "validation_error": "任务参数无效，请检查相关内容。",
+    "provider_error": "外部处理服务返回错误，请检查模型或解析配置。",
+    "embedding_error": "外部处理服务返回错误，请检查模型或解析配置。",
+    "parse_error": "外部处理服务返回错误，请检查模型或解析配置。",
+    "enqueue_error": "任务暂未成功进入队列，请稍后重新执行相关操作。",
+    "generation_stale": "内容已更新，此索引版本需要重新构建。",
+}
+JOB_ERROR = "任务执行失败，请检查相关资源后重试。"
+BLOCKER_MESSAGES = {
+    "document_processing_failed": "内容处理失败，请查看任务并重新导入或删除内容。",
+    "generation_build_failed": "索引版本构建失败，请检查模型配置后重新构建。",
+    "generation_stale": "内容已更新，此索引版本已经过期，请重新构建。",
+    "active_model_unavailable": "当前索引使用的模型不可用，请启用模型或构建新的索引版本。",
+}
+BLOCKER_MESSAGE = "此资源当前阻止知识库完成同步，请检查相关配置。"
+
+
+def lookup(value: Column, labels: dict[str, str], default: str) -> Column:
+    """The label of a value, else the default."""
+    table = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    return F.coalesce(F.element_at(table, value), F.lit(default))
+
+
+def job_label(kind: Column) -> Column:
+    return lookup(kind, JOB_LABELS, JOB_LABEL)
+
+
+def generation_label(status: Column, active: Column) -> Column:
+    return F.when(active & (status == "ready"), ACTIVE_LABEL).otherwise(lookup(status, GENERATION_LABELS, GENERATION_LABEL))
+
+
+def job_error(error_class: Column, error: Column) -> Column:
+    """What a user reads of a job's error; empty where there is none. The error itself isn't shown."""
+    none = ~non_blank(error_class) & ~non_blank(error)
+    return F.when(none, "").otherwise(lookup(error_class, JOB_ERRORS, JOB_ERROR))
+
+
+def document_title(fetched: Column, listed: Column, token: Column) -> Column:
+    """A synced document's title: as fetched, else as listed, else its token."""
+    return F.coalesce(F.nullif(trim_all(fetched), F.lit("")), F.nullif(trim_all(listed), F.lit("")), token)
+
+
+def cjk_tokens(text: Column, dictionary: list[str] | None = None) -> Column:
+    """The `cjk` full-text rule: as `simple`, with runs of Han characters cut into the dictionary's words (the longest first) and, between
+    these, into overlapping pairs of characters; a single character stands alone. The dictionary is a parameter of modest size."""
+    words = "|".join(sorted((re.escape(w) for w in dictionary or []), key=lambda w: (-len(w), w)))
+    known = F.array(*map(F.lit, dictionary or [])).cast("array<string>")
+
+    def pairs(run: Column) -> Column:
+        n = F.length(run)
+        return F.when((n < 2) | F.array_contains(known, run), F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(run, i, F.lit(2))))
+
+    def cut(token: Column) -> Column:
+        runs = F.regexp_extract_all(token, F.lit(r"\p{IsHan}+|[^\p{IsHan}]+"), F.lit(0))
+        split = F.flatten(F.transform(runs, lambda r: F.filter(F.split(F.regexp_replace(r, f"({words})", " $1 ") if words else r, " "), lambda x: x != "")))
+        return F.flatten(F.transform(split, lambda r: F.when(r.rlike(r"^\p{IsHan}"), pairs(r)).otherwise(F.array(r))))
+
+    return F.flatten(F.transform(tokens(text), cut))
 
 
 _MARKS = r"([\\`*_{}\[\]<>|~])"

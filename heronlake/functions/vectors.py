@@ -20,3 +20,16 @@ def valid(v: Column, dimension: int) -> Column:
     """Whether a vector has the dimension and only finite numbers."""
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return v.isNotNull() & (F.size(v) == dimension) & ~bad
+
+
+def half(v: Column) -> Column:
+    """A vector whose numbers are rounded to half precision (11 bits of mantissa, ties to even; beyond the largest they are infinite), as doubles."""
+
+    def one(x: Column) -> Column:
+        x = x.cast("double")
+        size = F.abs(x)
+        step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0)))), F.lit(-14)) - 10)
+        near = F.rint(x / step) * step
+        return F.when(F.abs(near) > 65504.0, F.signum(x) * float("inf")).otherwise(near)
+
+    return F.transform(v, one)

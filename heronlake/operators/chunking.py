@@ -7,9 +7,13 @@ second half of its size, or else at its size. Lengths are code points.
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import hashlib
+import itertools
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields
 
@@ -56,51 +60,65 @@ class ChunkingConfig:
         return hashlib.sha256(json.dumps(asdict(self) | {"version": CHUNKER_VERSION}, sort_keys=True).encode()).hexdigest()
 
 
-# --- pure functions on one document -----------------------------------------------------------------------------------
+# --- spans: windows of a text, and what they cover -----------------------------------------------------------------------
 
 
-def preferred_end(text: str, start: int, limit: int) -> int:
-    """Where a window from start to at most limit had better end."""
-    half = start + (limit - start) // 2
-    if (p := text.rfind("\n\n", max(half - 1, 0), limit)) >= 0:
-        return p + 2
-    if (p := text.rfind("\n", half, limit)) >= 0:
-        return p + 1
-    if (p := max(text.rfind(c, half, limit) for c in SENTENCE_ENDS)) >= 0:
-        return p + 1
-    return limit
+class Breaks:
+    """The places of a text where a window had better end, by rank: after paragraphs, after lines, after sentences. Each is found once, in order."""
 
+    def __init__(self, text: str):
+        self.size = len(text)
+        self.ranks = [[m.end() for m in re.finditer(pattern, text)] for pattern in (r"\n(?=\n)", r"\n", f"[{re.escape(SENTENCE_ENDS)}]")]
+        self.ranks[0] = [p + 1 for p in self.ranks[0]]  # a paragraph ends behind both line feeds
 
-def windows(text: str, size: int, overlap: int, heading_end: int = 0) -> Iterator[tuple[int, int]]:
-    """[start, end) of each window; after the first that holds all of a leading heading none goes back into it."""
-    start, n = 0, len(text)
-    while start < n:
-        end = n if start + size > n else preferred_end(text, start, start + size)
-        yield start, end
-        if end == n:
-            return
-        back = end - overlap
-        if 0 < heading_end <= end:
-            back = max(back, heading_end)
-        start = back if back > start else end
+    def before(self, low: int, high: int) -> int:
+        """The last break of the best rank in (low, high], or high."""
+        for places in self.ranks:
+            k = bisect_right(places, high) - 1
+            if k >= 0 and places[k] > low:
+                return places[k]
+        return high
+
+    def windows(self, size: int, overlap: int, heading: int = 0) -> Iterator[tuple[int, int]]:
+        """[start, end) of each window. The next one starts `overlap` before the end, but not within the first `heading` characters once these are covered."""
+        at = 0
+        while at + size <= self.size:
+            end = self.before(at + size // 2, at + size)
+            yield at, end
+            if end == self.size:
+                return
+            again = max(end - overlap, heading if heading <= end else 0)
+            at = again if again > at else end
+        if at < self.size:
+            yield at, self.size
+
+
+def windows(text: str, size: int, overlap: int, heading: int = 0) -> Iterator[tuple[int, int]]:
+    return Breaks(text).windows(size, overlap, heading)
+
+
+#: Coordinates of anchors by which two spans are known to follow each other, the first pair that both have.
+COORDINATES = ("row", "offset", "paragraph", "line")
+#: Fields that must be equal, absence included.
+PLACE = ("source_type", "sheet", "header_row", "table_index")
 
 
 def merge_anchors(left: dict, right: dict) -> dict:
-    """The span of two source anchors; ValueError where they lie in different places."""
-    for name in ("source_type", "sheet", "header_row", "table_index"):
-        a, b = left.get(name), right.get(name)
-        if a is not None and b is not None and a != b:
+    """The span of two source anchors, the first before the second; ValueError where they lie in different places or don't follow each other."""
+    for name in PLACE:
+        if left.get(name) != right.get(name):
             raise ValueError(f"anchors differ in {name}")
-    out = dict(left)
-    for name, value in right.items():
-        if value is None:
-            continue
-        if out.get(name) is None:
-            out[name] = value
-        elif name.endswith("_start"):
-            out[name] = min(out[name], value)
-        elif name.endswith("_end"):
-            out[name] = max(out[name], value)
+    for c in COORDINATES:
+        a, z, b, y = (x.get(f"{c}_{end}") for x in (left, right) for end in ("start", "end"))
+        if None not in (a, z, b, y):
+            if b < a or (c == "row" and b > z + 1):
+                raise ValueError(f"anchors don't follow each other by {c}")
+            break
+    out = {}
+    for name in dict.fromkeys([*left, *right]):
+        given = [x[name] for x in (left, right) if x.get(name) is not None]
+        if given:
+            out[name] = min(given) if name.endswith("_start") else max(given) if name.endswith("_end") else given[0]
     return out
 
 
@@ -151,61 +169,94 @@ def sections(blocks: list[dict], strategy: str) -> list[list[dict]]:
     return out
 
 
-def split_table(header: dict, rows: list[dict], size: int) -> list[dict]:
-    """Rows packed under repeated headers; a single row that is too long stands alone and is marked."""
-    base = {"heading_path": header.get("heading_path", []), "block_kind": "table"}
-    if not rows:
-        return [base | {"content": header["text"], "anchor": header.get("anchor", {}), "oversized": False}]
-    groups: list[list[dict]] = []
-    used = 0
+def span_of(anchors: list[dict]) -> dict:
+    return functools.reduce(merge_anchors, anchors) if anchors else {}
+
+
+def table_pieces(header: dict, rows: list[dict], size: int) -> list[dict]:
+    """Rows packed under repeated headers. A piece takes rows while their running length stays within size; one that doesn't fit even alone is marked."""
+    head, room = header["text"], size - len(header["text"])
+    packs: list[list[dict]] = [[]]
+    left = room
     for r in rows:
-        if groups and used + 2 + len(r["text"]) <= size:
-            groups[-1].append(r)
-            used += 2 + len(r["text"])
-        else:
-            groups.append([r])
-            used = len(header["text"]) + 2 + len(r["text"])
+        need = 2 + len(r["text"])
+        if packs[-1] and need > left:
+            packs.append([])
+            left = room
+        packs[-1].append(r)
+        left -= need
     out = []
-    for g in groups:
-        content = "\n\n".join([header["text"], *(r["text"] for r in g)])
-        anchor = dict(g[0].get("anchor", {}))
-        for r in g[1:]:
-            anchor = merge_anchors(anchor, r.get("anchor", {}))
-        if anchor.get("header_row") is None and header.get("anchor", {}).get("header_row") is not None:
-            anchor["header_row"] = header["anchor"]["header_row"]
-        out.append(base | {"content": content, "anchor": anchor, "oversized": len(content) > size})
+    for pack in packs:
+        content = "\n\n".join([head, *(r["text"] for r in pack)])
+        anchor = span_of([r.get("anchor", {}) for r in pack]) if pack else dict(header.get("anchor", {}))
+        if (n := header.get("anchor", {}).get("header_row")) is not None:
+            anchor.setdefault("header_row", n)
+        out.append({"content": content, "heading_path": header.get("heading_path", []), "anchor": anchor, "oversized": bool(pack) and len(content) > size, "metadata": {"block_kind": "table"}})
     return out
 
 
-def split_section(blocks: list[dict], size: int, overlap: int) -> list[dict]:
-    """Windows over a section's joined blocks."""
-    spans, at = [], 0
-    for b in blocks:
-        spans.append((at, at + len(b["text"]), b))
-        at += len(b["text"]) + 2
+def section_pieces(blocks: list[dict], size: int, overlap: int) -> list[dict]:
+    """Windows over a section's blocks, joined by blank lines; each window knows the blocks that it covers by their intervals."""
     text = "\n\n".join(b["text"] for b in blocks)
-    heading_end = len(blocks[0]["text"]) + (2 if len(blocks) > 1 else 0) if blocks[0]["kind"] == "heading" else 0
+    begins = [0, *itertools.accumulate(len(b["text"]) + 2 for b in blocks[:-1])]
+    ends = [a + len(b["text"]) for a, b in zip(begins, blocks, strict=True)]
+    heading = 0 if blocks[0]["kind"] != "heading" else begins[1] if len(blocks) > 1 else ends[0]
     out = []
-    for start, end in windows(text, size, overlap, heading_end):
-        if content := text[start:end].strip():
-            met = [(a, z, b) for a, z, b in spans if a < end and z > start] or [spans[0]]
-            kinds = {b["kind"] for _, _, b in met}
-            anchor = dict(met[0][2].get("anchor", {}))
-            for _, _, b in met[1:]:
-                anchor = merge_anchors(anchor, b.get("anchor", {}))
-            out.append({"content": content, "heading_path": blocks[0].get("heading_path", []), "anchor": anchor, "block_kind": kinds.pop() if len(kinds) == 1 else "mixed", "oversized": False, "split": any(a < start or z > end for a, z, _ in met)})
+    for start, end in Breaks(text).windows(size, overlap, heading):
+        content = text[start:end].strip()
+        if not content:
+            continue
+        first, last = bisect_right(ends, start), bisect_left(begins, end)
+        met = blocks[first:last]
+        details = {"block_kind": met[0]["kind"] if len(met) == 1 else "mixed"}
+        if met and (begins[first] < start or ends[last - 1] > end):
+            details["anchor_granularity"] = "block"
+            if len(met) == 1 and met[0]["kind"] == "code":
+                details["code_block_sequence"] = met[0].get("sequence", first)
+        out.append({"content": content, "heading_path": blocks[0].get("heading_path", []), "anchor": span_of([b.get("anchor", {}) for b in met]), "oversized": False, "metadata": details})
     return out
 
 
-def shared_edge(left: str, right: str, limit: int) -> int:
-    """The longest end of left, up to limit, that starts right."""
-    return next((n for n in range(min(limit, len(left), len(right)), 0, -1) if left.endswith(right[:n])), 0)
+def border(left: str, right: str, limit: int) -> int:
+    """The length of the longest text, up to limit, that ends left and starts right: the failure function of right's start, run over left's end."""
+    n = min(limit, len(left), len(right))
+    if n <= 0:
+        return 0
+    fail, k = [0], 0
+    for c in right[1:n]:
+        while k and right[k] != c:
+            k = fail[k - 1]
+        k += right[k] == c
+        fail.append(k)
+    k = 0
+    for c in left[-n:]:
+        if k == n:
+            k = fail[k - 1]
+        while k and right[k] != c:
+            k = fail[k - 1]
+        k += right[k] == c
+    return k
+
+
+def joined(left: str, right: str, limit: int) -> str:
+    """Two texts in a row; their common border, up to limit, stands once, and without one a blank line stands between."""
+    n = border(left, right, limit)
+    return left + right[n:] if n else f"{left}\n\n{right}"
 
 
-def merge_overlap(left: str, right: str, limit: int) -> str:
-    """Two texts in a row; what ends one and starts the other, up to limit, stands once."""
-    n = shared_edge(left, right, limit)
-    return left + right[n:] if n else f"{left}\n\n{right}"
+def parents_of(children: list[dict], size: int, overlap: int, lead: int) -> Iterator[tuple[int, int, str]]:
+    """(first, behind the last, content) of each parent: as many children of one heading path in a row as size holds, led by the end of the parent before it."""
+    for _, run in itertools.groupby(range(len(children)), key=lambda k: children[k]["heading_path"]):
+        run, before = list(run), None
+        while run:
+            texts = list(itertools.accumulate((children[k]["content"] for k in run), lambda a, b: joined(a, b, overlap) if len(a) <= size else a))
+            many = max(1, next((n for n, t in enumerate(texts) if len(t) > size), len(run)))
+            content = texts[many - 1]
+            if before is not None:
+                tail = before[max(len(before) - lead, 0) :] if lead else ""
+                content = tail + content[border(tail, content, overlap) :]
+            yield run[0], run[many - 1] + 1, content
+            run, before = run[many:], content
 
 
 def header_of(title: str | None, headings: list[str], sheet: str | None) -> str:
@@ -220,46 +271,35 @@ def header_of(title: str | None, headings: list[str], sheet: str | None) -> str:
 
 def chunk_document(blocks: list[dict], config: ChunkingConfig, title: str | None = None) -> list[dict]:
     """Chunks of one document's blocks (kind, text, heading_path, anchor, table_id)."""
-    size = config.child_chunk_size if config.enable_parent_child else config.chunk_size
-    overlap = config.child_chunk_size // 5 if config.enable_parent_child else config.chunk_overlap
+    nested = config.enable_parent_child
+    size, overlap = (config.child_chunk_size, config.child_chunk_size // 5) if nested else (config.chunk_size, config.chunk_overlap)
     blocks = [b for b in blocks if b["text"]]
-    drafts: list[dict] = []
-    for k, strategy in enumerate(tried := strategies(blocks, config)):
-        try:
-            drafts = []
-            for part in sections(blocks, strategy):
-                drafts += split_table(part[0], part[1:], size) if part[0]["kind"] == "table_header" else split_section(part, size, overlap)
+
+    def by(strategy: str) -> list[dict]:
+        return [p for part in sections(blocks, strategy) for p in (table_pieces(part[0], part[1:], size) if part[0]["kind"] == "table_header" else section_pieces(part, size, overlap))]
+
+    *tried, last = strategies(blocks, config)
+    pieces = None
+    for strategy in tried:
+        with contextlib.suppress(ValueError):  # anchors that don't go together: the next strategy cuts elsewhere
+            pieces = by(strategy)
             break
-        except ValueError:
-            if k == len(tried) - 1:
-                raise
-    for d in drafts:
-        d["context_header"] = header_of(title, d["heading_path"], d["anchor"].get("sheet"))
-    if not config.enable_parent_child:
-        return [d | {"role": "flat", "sequence": k, "parent": None} for k, d in enumerate(drafts)]
+    if pieces is None:
+        pieces = by(last)
+    for k, p in enumerate(pieces):
+        p |= {"context_header": header_of(title, p["heading_path"], p["anchor"].get("sheet")), "role": "child" if nested else "flat", "sequence": k, "parent": None}
+    if not nested:
+        return pieces
     out: list[dict] = []
-    at, last = 0, None
-    while at < len(drafts):
-        merged, end = drafts[at]["content"], at + 1
-        while end < len(drafts) and drafts[end]["heading_path"] == drafts[at]["heading_path"]:
-            wider = merge_overlap(merged, drafts[end]["content"], overlap)
-            if len(wider) > config.parent_chunk_size:
-                break
-            merged, end = wider, end + 1
-        content = merged
-        if last and last["heading_path"] == drafts[at]["heading_path"]:
-            prefix = last["content"][-config.chunk_overlap :] if config.chunk_overlap else ""
-            content = prefix + merged[shared_edge(prefix, merged, overlap) :]
-        parent = drafts[at] | {"content": content, "role": "parent", "sequence": at, "parent": None}
-        out.append(parent)
-        out += [drafts[k] | {"role": "child", "sequence": k, "parent": at} for k in range(at, end)]
-        last, at = parent, end
+    for first, behind, content in parents_of(pieces, config.parent_chunk_size, overlap, config.chunk_overlap):
+        out.append(pieces[first] | {"content": content, "role": "parent"})
+        out += [p | {"parent": first} for p in pieces[first:behind]]
     return out
 
 
 # --- DataFrame operators -----------------------------------------------------------------------------------------------
 
-CHUNK_SCHEMA = "document_id string, chunk_id string, role string, parent_chunk_id string, sequence int, content string, context_header string, embedding_content string, block_kind string, oversized boolean, anchor string"
+CHUNK_SCHEMA = "document_id string, chunk_id string, role string, parent_chunk_id string, sequence int, content string, context_header string, embedding_content string, block_kind string, oversized boolean, anchor string, metadata string"
 
 
 def chunk(parsed: DataFrame, config: ChunkingConfig, id_col: str = "document_id", text_col: str = "text", title_col: str | None = None, blocks_col: str | None = None) -> DataFrame:
@@ -276,7 +316,7 @@ def chunk(parsed: DataFrame, config: ChunkingConfig, id_col: str = "document_id"
                 for c in chunk_document(parts, config, title):
                     name = lambda role, n: hashlib.sha256(f"{doc}\n{key}\n{role}\n{n}".encode()).hexdigest()
                     whole = f"{c['context_header']}\n\n{c['content']}" if c["context_header"] else c["content"]
-                    rows.append((doc, name(c["role"], c["sequence"]), c["role"], name("parent", c["parent"]) if c["parent"] is not None else None, c["sequence"], c["content"], c["context_header"], whole, c["block_kind"], c["oversized"], json.dumps(c["anchor"], sort_keys=True)))
+                    rows.append((doc, name(c["role"], c["sequence"]), c["role"], name("parent", c["parent"]) if c["parent"] is not None else None, c["sequence"], c["content"], c["context_header"], whole, c["metadata"]["block_kind"], c["oversized"], json.dumps(c["anchor"], sort_keys=True), json.dumps(c["metadata"], sort_keys=True)))
             if rows:
                 kinds = [pa.int32() if n == "sequence" else pa.bool_() if n == "oversized" else pa.string() for n in names]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -285,13 +325,22 @@ def chunk(parsed: DataFrame, config: ChunkingConfig, id_col: str = "document_id"
 
 
 def fixed_windows(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Windows of one size and step, natively: id, sequence, content."""
+    """Windows of one size and step, natively: id, sequence, content.
+
+    The text is cut into steps in one pass, and a window is its step with the beginning of those that follow, so the work follows the text's length.
+    """
     from heronlake.functions.text import trim_all
 
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be smaller than the window")
     n, step = F.length(text_col), size - overlap
     many = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / step) + 1).cast("int")
-    cut = docs.where(n > 0).select(id_col, text_col, F.explode(F.sequence(F.lit(0), many - 1)).alias("sequence"))
-    return cut.select(id_col, "sequence", trim_all(F.substr(F.col(text_col), F.col("sequence") * step + 1, F.lit(size))).alias("content")).where("content <> ''")
+    steps = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    window = lambda parts, k: F.substring(F.array_join(F.slice(parts, k + 1, F.lit(-(-size // step))), ""), 1, size)
+    # the steps are bound to a variable, so that they are made once a text
+    windows = F.get(F.transform(F.array(steps), lambda parts: F.transform(F.sequence(F.lit(0), many - 1), lambda k: window(parts, k))), F.lit(0))
+    cut = docs.where(n > 0).select(id_col, F.posexplode(windows).alias("sequence", "content"))
+    return cut.select(id_col, "sequence", trim_all(F.col("content")).alias("content")).where("content <> ''")
 
 
 def faq_chunks(questions: DataFrame, answers: DataFrame, key: str) -> DataFrame:

@@ -49,7 +49,7 @@ def vector_top(entries: DataFrame, vector: Column | list[float], k: int = VECTOR
 
 
 def _blocks(df: DataFrame, id_col: str, groups: list[str]) -> DataFrame:
-    """Unit vectors in blocks: (block, ids, vectors), one kind of group (knowledge base) in a block."""
+    """Unit vectors in blocks: (groups, ids, vectors), one group (knowledge base) and one dimension in a block; vectors without a length or with odd numbers go."""
 
     arrow = [to_arrow_type(df.schema[g].dataType) for g in groups]
 
@@ -58,11 +58,10 @@ def _blocks(df: DataFrame, id_col: str, groups: list[str]) -> DataFrame:
             t = batch.to_pandas()
             t = t[t["embedding"].notna()]
             for key, part in t.groupby(groups, dropna=False) if groups else [((), t)]:
-                for lo in range(0, len(part), BLOCK):
-                    p = part.iloc[lo : lo + BLOCK]
+                for p in [same.iloc[lo : lo + BLOCK] for _, same in part.groupby(part["embedding"].map(len)) for lo in range(0, len(same), BLOCK)]:
                     v = np.array(p["embedding"].tolist(), np.float64)
                     size = np.sqrt((v * v).sum(axis=1))
-                    good = size > 0
+                    good = np.isfinite(size) & (size > 0)
                     if good.any():
                         v = v[good] / size[good, None]
                         row = [*[pa.array([k], a) for k, a in zip(key, arrow, strict=True)], pa.array([p[id_col].to_numpy(np.int64)[good].tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())]
@@ -106,32 +105,55 @@ def vector_top_batch(entries: DataFrame, queries: DataFrame, k: int = VECTOR_K,
     return top(found, ["query_id", *groups], [F.desc(F.round("score", 9)), "entry_id"], k)
 
 
-def postings(entries: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """(keep..., pos, term) of every token of the indexed text."""
-    return entries.select(*keep, F.posexplode(tokens(F.col(text_col))).alias("pos", "term"))
+def query_terms(queries: DataFrame, split: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(query_id, term, n_terms): the distinct terms of each query. queries: query_id, query."""
+    once = queries.select("query_id", F.array_distinct(split(F.col("query"))).alias("terms"))
+    return once.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
 
 
-def keyword_top(entries: DataFrame, queries: DataFrame, k: int = KEYWORD_K, text_col: str = "text", by: str | None = None) -> DataFrame:
-    """Each query's best entries by cover density: query_id, [by], entry_id, score, rank.
+def positions(entries: DataFrame, text_col: str, keep: list[str], split: Callable[[Column], Column] = tokens, only: list[str] | None = None) -> DataFrame:
+    """(keep..., term, tf, positions) of every entry and term of its indexed text; `only` some terms, where few are asked for."""
+    each = entries.select(*keep, F.posexplode(split(F.col(text_col))).alias("pos", "term"))
+    if only is not None:
+        each = each.where(F.col("term").isin(only))
+    return each.groupBy(*keep, "term").agg(F.sort_array(F.collect_list("pos")).alias("positions")).select(*keep, "term", F.size("positions").alias("tf"), "positions")
 
-    An entry must hold every term. Its score sums 0.1 / (1 + noise) over the minimal covers of all terms, where noise is the
-    cover's length less the matched tokens in it. queries: query_id, query.
+
+#: Distinct query terms up to which they go into the plan as a list, so that others are dropped before they are shuffled or read.
+MOST_TERMS = 1000
+
+
+def few_terms(wanted: DataFrame) -> list[str] | None:
+    """The distinct terms asked for, if they are at most MOST_TERMS."""
+    got = [r["term"] for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    return got if len(got) <= MOST_TERMS else None
+
+
+def cover_density(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, score) of entries that hold every term of a query: the sum of 0.1 / (1 + noise) over the minimal covers of all terms, where noise is the cover's length
+    less the matched tokens in it. hits: keys, term, tf, positions, n_terms.
+
+    A one-term query needs only counts; of the others, entries that lack a term go before positions are spread.
     """
-    groups = [by] if by else []
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    wanted = terms.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
-    hits = postings(entries, text_col, ["entry_id", *groups]).join(wanted, "term")
-    keys = ["query_id", *groups, "entry_id"]
+    one = hits.where("n_terms = 1").select(*keys, (F.col("tf") * F.lit(0.1)).alias("score"))
+    many = hits.where("n_terms > 1")
+    whole = many.groupBy(*keys, "n_terms").agg(F.collect_list(F.struct("term", "positions")).alias("terms")).where(F.size("terms") == F.col("n_terms"))
+    each = whole.select(*keys, "n_terms", F.explode("terms").alias("t")).select(*keys, "n_terms", "t.term", F.explode("t.positions").alias("pos"))
     at = Window.partitionBy(*keys).orderBy("pos")
-    every = F.size(F.collect_set("term").over(Window.partitionBy(*keys)))
-    full = hits.withColumn("rn", F.row_number().over(at)).withColumn("met", every).where("met = n_terms")
-    spread = full.withColumn("seen", F.sort_array(F.collect_set("term").over(Window.partitionBy(*keys)))).select(*keys, "pos", "rn", "term", "n_terms", F.explode("seen").alias("want"))
+    spread = each.withColumn("rn", F.row_number().over(at)).join(whole.select(*keys, F.explode(F.transform("terms", lambda x: x["term"])).alias("want")), keys)
     last = F.max(F.when(F.col("term") == F.col("want"), F.struct("pos", "rn"))).over(Window.partitionBy(*keys, "want").orderBy("pos"))
     covers = spread.withColumn("last", last).groupBy(*keys, "pos", "rn", "n_terms").agg(F.min("last").alias("start"), F.count("last").alias("have")).where("have = n_terms")
     least = covers.groupBy(*keys, "start").agg(F.min(F.struct("pos", "rn")).alias("stop"))
     noise = (F.col("stop.pos") - F.col("start.pos")) - (F.col("stop.rn") - F.col("start.rn"))
-    scored = least.groupBy(*keys).agg(F.sum(0.1 / (1 + noise)).alias("score"))
-    return top(scored, ["query_id", *groups], [F.desc(F.round("score", 9)), "entry_id"], k)
+    return one.unionByName(least.groupBy(*keys).agg(F.sum(0.1 / (1 + noise)).alias("score")))
+
+
+def keyword_top(entries: DataFrame, queries: DataFrame, k: int = KEYWORD_K, text_col: str = "text", by: str | None = None, split: Callable[[Column], Column] = tokens) -> DataFrame:
+    """Each query's best entries by cover density: query_id, [by], entry_id, score, rank. Texts are read and split anew; a stored index (index.Postings) spares that."""
+    groups = [by] if by else []
+    wanted = query_terms(queries, split)
+    hits = positions(entries, text_col, ["entry_id", *groups], split, few_terms(wanted)).join(wanted, "term")
+    return top(cover_density(hits, ["query_id", *groups, "entry_id"]), ["query_id", *groups], [F.desc(F.round("score", 9)), "entry_id"], k)
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, rrf_k: int = RRF_K, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -154,8 +176,8 @@ def group_by_parent(hits: DataFrame, parents: DataFrame, keys: tuple[str, ...] =
     return out.select(*keys, "parent_id", F.element_at("c", 1)["entry_id"].alias("entry_id"), (-F.element_at("c", 1)["s"]).alias("score"), F.transform("c", lambda x: x["entry_id"]).alias("matched"))
 
 
-def hybrid(entries: DataFrame, queries: DataFrame, vector_k: int = VECTOR_K, keyword_k: int = KEYWORD_K, final_k: int = FINAL_K, rrf_k: int = RRF_K, by: str | None = None) -> DataFrame:
-    """Hybrid search of a batch: query_id, [by], parent_id, entry_id, score, matched, rank.
+def hybrid(entries: DataFrame, queries: DataFrame, vector_k: int = VECTOR_K, keyword_k: int = KEYWORD_K, final_k: int = FINAL_K, rrf_k: int = RRF_K, by: str | None = None, postings=None) -> DataFrame:
+    """Hybrid search of a batch: query_id, [by], parent_id, entry_id, score, matched, rank. postings: a stored index of the entries' text, if there is one.
 
     entries: entry_id, parent_id, text, embedding, [by]; queries: query_id, query, embedding.
     With `by`, candidates and fusion are per group and the merge is over all (ties: the smaller group, then entry).
@@ -163,7 +185,7 @@ def hybrid(entries: DataFrame, queries: DataFrame, vector_k: int = VECTOR_K, key
     vector_k, keyword_k, final_k, rrf_k = check_options(vector_k, keyword_k, final_k, rrf_k)
     keys = ("query_id", by) if by else ("query_id",)
     v = vector_top_batch(entries, queries, vector_k, by)
-    w = keyword_top(entries, queries, keyword_k, by=by)
+    w = postings.search(queries, keyword_k, by) if postings is not None else keyword_top(entries, queries, keyword_k, by=by)
     grouped = group_by_parent(fuse(v, w, rrf_k, keys), entries.select("entry_id", "parent_id"), keys)
     return top(grouped, ["query_id"], [F.desc(F.round("score", 12)), *([by] if by else []), "entry_id"], final_k)
 

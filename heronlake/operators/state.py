@@ -18,9 +18,22 @@ def stage(entries: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def incomplete(entries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Enabled chunks of published documents that have no complete staging entry."""
-    good = entries.where("state = 'staging' and embedding_ok").select("chunk_id")
-    return chunks.where("enabled").join(good, "chunk_id", "left_anti")
+    """Enabled chunks that have no complete staging entry in their generation. chunks: generation_id, chunk_id, enabled."""
+    good = entries.where("state = 'staging' and embedding_ok").select("generation_id", "chunk_id")
+    return chunks.where("enabled").join(good, ["generation_id", "chunk_id"], "left_anti")
+
+
+def stage_problems(new: DataFrame, dimension: int) -> DataFrame:
+    """(chunk_id, reason) of new staging rows that may not be staged: no lineage, blank text, a bad vector, or a chunk given twice."""
+    from heronlake.functions.text import non_blank
+    from heronlake.functions.vectors import valid
+
+    twice = F.count("*").over(Window.partitionBy("generation_id", "chunk_id")) > 1
+    reason = (
+        F.when(F.col("generation_id").isNull() | F.col("chunk_id").isNull() | F.col("document_id").isNull(), "lineage").when(~non_blank(F.col("search_content")), "blank")
+        .when(~F.coalesce(valid(F.col("embedding"), dimension), F.lit(False)), "vector").when(twice, "twice")
+    )
+    return new.select("chunk_id", reason.alias("reason")).where("reason is not null")
 
 
 def publish(entries: DataFrame, published: DataFrame) -> DataFrame:
@@ -72,14 +85,17 @@ def unused_sets(chunk_sets: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def get_or_create(have: DataFrame, want: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of want whose natural key is new, added once each."""
-    return have.unionByName(want.dropDuplicates(key).join(have.select(*key), key, "left_anti").select(*have.columns))
+    """Rows of want whose natural key is new, added once each (the first by all columns)."""
+    n = F.row_number().over(Window.partitionBy(*key).orderBy(*(c for c in have.columns if c not in key)))
+    return have.unionByName(want.withColumn("_n", n).where("_n = 1").join(have.select(*key), key, "left_anti").select(*have.columns))
 
 
 def upsert(have: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The latest row of each key."""
-    n = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))
-    return have.unionByName(new.select(*have.columns)).withColumn("_n", n).where("_n = 1").drop("_n")
+    """The latest row of each key; at equal times a new row goes before one there is, then the larger by all columns."""
+    rest = [F.desc(c) for c in have.columns if c not in (*key, order)]
+    n = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order), F.desc("_new"), *rest))
+    both = have.withColumn("_new", F.lit(0)).unionByName(new.select(*have.columns).withColumn("_new", F.lit(1)))
+    return both.withColumn("_n", n).where("_n = 1").drop("_n", "_new")
 
 
 def fail_builds(generations: DataFrame, failed: DataFrame) -> DataFrame:
@@ -92,16 +108,26 @@ def fail_builds(generations: DataFrame, failed: DataFrame) -> DataFrame:
 def cleanup_batches(keys: list[DataFrame], size: int = DELETE_BATCH) -> DataFrame:
     """(key, batch) of all object keys, each once, in order; batches of one size.
 
-    Numbered without gathering all keys in a task: keys of one prefix are counted, and each prefix starts where those before it end.
+    Numbered without gathering all keys in a task: keys are sorted into range partitions, and each partition starts where those before it end.
     """
     every = keys[0]
     for k in keys[1:]:
         every = every.unionByName(k)
     once = every.where("key is not null").distinct()
-    part = once.withColumn("p", F.substring("key", 1, 6))  # buckets of a prefix keep the order; one count for each reaches the window
-    sizes = part.groupBy("p").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = F.row_number().over(Window.partitionBy("p").orderBy("key"))
-    return part.withColumn("n", n).join(sizes.select("p", "before"), "p").select("key", F.floor((F.col("before") + F.col("n") - 1) / size).cast("long").alias("batch"))
+    parts = max(int(once.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    part = once.repartitionByRange(parts, "key").withColumn("p", F.spark_partition_id())
+    # partitions hold disjoint ranges of keys, so that a key's range (its smallest and largest) tells its place in any run of the plan
+    ranges = part.groupBy("p").agg(F.min("key").alias("low"), F.count("*").alias("n")).orderBy("low").collect()  # one row a partition
+    lows, before, total = [r["low"] for r in ranges], [], 0
+    for r in ranges:
+        before.append(total)
+        total += r["n"]
+    if not lows:
+        return once.select("key", F.lit(0).cast("long").alias("batch"))
+    at = F.aggregate(F.array(*map(F.lit, lows)), F.lit(-1), lambda acc, low: acc + F.when(F.col("key") >= low, 1).otherwise(0))
+    placed = once.withColumn("r", at)
+    n = F.row_number().over(Window.partitionBy("r").orderBy("key"))
+    return placed.select("key", F.floor((F.get(F.array(*map(F.lit, before)), F.col("r")) + n - 1) / size).cast("long").alias("batch"))
 
 
 def touch(keys: DataFrame, now: Column, seconds: int) -> DataFrame:
@@ -134,25 +160,29 @@ class SnapshotStore:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def current(self) -> str | None:
-        """Name of the current snapshot."""
+    def _marks(self) -> list[tuple[int, str]]:
+        """(turn, snapshot) of all pointers, in order."""
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))] if self._fs.exists(self._path("")) else []
-        marks = sorted(n for n in names if n.startswith("pointer-"))
-        return marks[-1].split("-", 2)[2] if marks else None
+        return sorted((int(n.split("-", 2)[1]), n.split("-", 2)[2]) for n in names if n.startswith("pointer-"))
+
+    def current(self) -> str | None:
+        """Name of the current snapshot: that of the first pointer of the highest turn."""
+        marks = self._marks()
+        return min(n for t, n in marks if t == marks[-1][0]) if marks else None
 
     def write(self, df: DataFrame, name: str, expected: str | None) -> None:
         """Write a snapshot and point to it, if the current one is still the expected one.
 
-        The pointer is an empty file whose creation either succeeds or fails as a whole; of two writers one loses.
+        The pointer is one empty file, made whole or not at all; a writer that dies before leaves nothing that stops the next. Of two
+        writers of one turn, both of whose pointers then stand there, the one whose name sorts first has won, and the other is told so.
         """
         if self.current() != expected:
             raise RuntimeError("the snapshot that this one rests on is not current")
         df.write.mode("errorifexists").parquet(f"{self.root}/{name}")
-        marks = [s.getPath().getName() for s in self._fs.listStatus(self._path("")) if s.getPath().getName().startswith("pointer-")]
-        turn = 1 + max((int(m.split("-")[1]) for m in marks), default=0)
-        if not self._fs.createNewFile(self._path(f"turn-{turn:08d}")):
+        marks = self._marks()
+        turn = marks[-1][0] if marks else 0
+        if self.current() != expected or not self._fs.createNewFile(self._path(f"pointer-{turn + 1:08d}-{name}")) or self.current() != name:
             raise RuntimeError("another writer was faster")
-        self._fs.createNewFile(self._path(f"pointer-{turn:08d}-{name}"))
 
     def read(self) -> DataFrame:
         name = self.current()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,56 +64,131 @@ def generation_stats(documents: DataFrame, chunk_sets: DataFrame, chunks: DataFr
     return one.join(published, "kb_id", "left").withColumn("indexed_count", F.coalesce("indexed_count", F.lit(0)))
 
 
-def tree_paths(nodes: DataFrame) -> DataFrame:
-    """(id, path, depth) of every node under a root. nodes: id, parent_id (null for roots), name, node_type.
+def _view(df: DataFrame) -> str:
+    """df under a view name of its own."""
+    name = f"heronlake_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
+def tree_paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(id, path, depth) of every node under a root, at most max_depth levels down. nodes: id, parent_id (null for roots), name, node_type.
 
-    One self-join a level, at most MAX_DEPTH; each level joins only its own nodes.
+    One join a level; each level joins only its own nodes. Nodes that aren't reached are in tree_problems.
     """
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("_tree_nodes")
-    return spark.sql(f"""
+    view = _view(nodes.select("id", "parent_id", "name"))
+    return nodes.sparkSession.sql(f"""
         WITH RECURSIVE t(id, path, depth) AS (
-            SELECT id, CAST('/' AS STRING), 0 FROM _tree_nodes WHERE parent_id IS NULL
+            SELECT id, CAST('/' AS STRING), 0 FROM {view} WHERE parent_id IS NULL
             UNION ALL
             SELECT n.id, CASE WHEN t.depth = 0 THEN concat('/', n.name) ELSE concat(t.path, '/', n.name) END, t.depth + 1
-            FROM t JOIN _tree_nodes n ON n.parent_id = t.id WHERE t.depth < {MAX_DEPTH})
-        SELECT id, path, depth FROM t""")
+            FROM t JOIN {view} n ON n.parent_id = t.id WHERE t.depth < {max_depth})
+        SELECT id, path, depth FROM t LIMIT ALL""")  # LIMIT ALL lifts Spark's limit on the rows of a recursion
+
+
+def tree_problems(nodes: DataFrame) -> DataFrame:
+    """(id, problem) of the nodes that no path reaches: `orphan` (its parent is absent), or `unreachable` (below an orphan, on or below a cycle, or too deep)."""
+    lost = nodes.select("id", "parent_id").join(tree_paths(nodes).select("id"), "id", "left_anti")
+    parent = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("_there"))
+    return lost.join(parent, "parent_id", "left").select("id", F.when(F.col("_there").isNull(), "orphan").otherwise("unreachable").alias("problem"))
+
+
+def tree_rows(nodes: DataFrame) -> DataFrame:
+    """(id, parent_id, path, depth, place): paths, and each node's place among its siblings by kind (files first), name in any case, and id."""
+    place = F.row_number().over(Window.partitionBy("parent_id").orderBy("node_type", F.lower("name"), "id"))
+    return nodes.withColumn("place", place).join(tree_paths(nodes), "id").select("id", "parent_id", "path", "depth", "place")
+
+
+def deletion_order(nodes: DataFrame, gone: DataFrame) -> DataFrame:
+    """(id, depth, turn) of the nodes to delete, the deepest in turn 0; nodes of one turn don't contain each other. gone: id."""
+    deep = tree_paths(nodes).join(gone.select("id"), "id", "left_semi").select("id", "depth")
+    most = deep.agg(F.max("depth").alias("most"))
+    return deep.crossJoin(F.broadcast(most)).select("id", "depth", (F.col("most") - F.col("depth")).alias("turn"))  # one row
 
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """(id, ancestor) for every node and every node above it (parents first, reach doubled by self-joins)."""
-    links = nodes.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor")).distinct()
-    while True:
-        further = links.alias("a").join(links.alias("b"), F.col("a.ancestor") == F.col("b.id")).select("a.id", "b.ancestor")
-        more = links.unionByName(further).distinct().checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else links.unionByName(further).distinct().cache()
-        if more.count() == links.count():
-            return more
-        links = more
+def child_counts(nodes: DataFrame) -> DataFrame:
+    """(id, n_children) of every folder."""
+    n = nodes.groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("n"))
+    return nodes.where("node_type = 'folder'").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_children"))
 
 
 def creates_cycle(nodes: DataFrame, moves: DataFrame) -> DataFrame:
-    """(move_id, cycle): whether a node would come to lie under itself. moves: move_id, id, new_parent_id."""
-    above = ancestors(nodes).select(F.col("id").alias("new_parent_id"), F.col("ancestor").alias("id"), F.lit(True).alias("under"))
-    out = moves.join(above, ["new_parent_id", "id"], "left")
-    return out.select("move_id", (F.coalesce("under", F.lit(False)) | (F.col("id") == F.col("new_parent_id"))).alias("cycle"))
+    """(move_id, cycle): whether a node would come to lie under itself. moves: move_id, id, new_parent_id.
+
+    Only the ways up from the new parents are walked, each until it meets the moved node or a root.
+    """
+    n, m = _view(nodes.select("id", "parent_id")), _view(moves.select("move_id", "id", "new_parent_id"))
+    met = nodes.sparkSession.sql(f"""
+        WITH RECURSIVE up(move_id, id, above, level) AS (
+            SELECT move_id, id, new_parent_id, 0 FROM {m} WHERE new_parent_id IS NOT NULL
+            UNION ALL
+            SELECT up.move_id, up.id, n.parent_id, up.level + 1 FROM up JOIN {n} n ON n.id = up.above
+            WHERE up.above <> up.id AND n.parent_id IS NOT NULL AND up.level <= {MAX_DEPTH})
+        SELECT move_id FROM up WHERE above = id LIMIT ALL""")
+    return moves.select("move_id").join(met.distinct().withColumn("_met", F.lit(True)), "move_id", "left").select("move_id", F.col("_met").isNotNull().alias("cycle"))
 
 
 def prunable(nodes: DataFrame, missing: DataFrame) -> DataFrame:
-    """Missing folders with nothing under them that is a file or a folder still there. missing: id."""
+    """Missing folders with nothing under them that is a file or a folder still there. missing: id.
+
+    From every node that stays, the way up is walked through missing folders only; these are held.
+    """
     gone = missing.select("id", F.lit(True).alias("gone"))
-    state = nodes.join(gone, "id", "left").select("id", "node_type", F.coalesce("gone", F.lit(False)).alias("gone"))
-    alive = state.where("node_type = 'file' or not gone").select("id")
-    held = ancestors(nodes).join(alive, "id", "left_semi").select(F.col("ancestor").alias("id"))
-    return state.where("gone and node_type = 'folder'").join(held, "id", "left_anti").select("id")
+    state = nodes.join(gone, "id", "left").select("id", "parent_id", "node_type", F.coalesce("gone", F.lit(False)).alias("gone"))
+    folders = state.where("gone and node_type = 'folder'").select("id", "parent_id")
+    f = _view(folders)
+    first = _view(state.where("node_type = 'file' or not gone").select(F.col("parent_id").alias("id")).distinct().join(folders.select("id"), "id", "left_semi"))
+    held = nodes.sparkSession.sql(f"""
+        WITH RECURSIVE held(id, level) AS (
+            SELECT id, 0 FROM {first}
+            UNION ALL
+            SELECT p.id, held.level + 1 FROM held JOIN {f} f ON f.id = held.id JOIN {f} p ON p.id = f.parent_id WHERE held.level <= {MAX_DEPTH})
+        SELECT id FROM held LIMIT ALL""")
+    return folders.select("id").join(held.distinct(), "id", "left_anti")
 
 
-def expectations(entries: DataFrame, documents: DataFrame) -> DataFrame:
-    """(rule, n): how many rows break each integrity rule; all should be 0."""
+def parents_of(remote: DataFrame, known: DataFrame, root: Column) -> DataFrame:
+    """(token, parent_node_id, outcome) of remote nodes: the node of the parent token, the root where there is none, or outcome `failed` if the parent isn't known.
+
+    remote: token, parent_token; known: token, node_id (stored nodes, and folders just written).
+    """
+    k = known.select(F.col("token").alias("parent_token"), F.col("node_id").alias("_node"))
+    top = F.coalesce(F.btrim("parent_token"), F.lit("")) == ""
+    node = F.when(top, root).otherwise(F.col("_node"))
+    return remote.join(k, "parent_token", "left").select("token", node.alias("parent_node_id"), F.when(node.isNull(), "failed").otherwise("ok").alias("outcome"))
+
+
+def tree_rules(nodes: DataFrame) -> dict[str, DataFrame]:
+    """Rows that break a rule of file trees. nodes: kb_id, id, parent_id, name, node_type."""
+    clean = F.btrim(F.coalesce("name", F.lit("")))
+    names = nodes.where("parent_id is not null")
+    return {
+        "one_root_a_base": duplicates(nodes.where("parent_id is null"), ["kb_id"]),
+        "sibling_names_differ": duplicates(names.withColumn("lower_name", F.lower("name")), ["kb_id", "parent_id", "lower_name"]),
+        "name_is_one_segment": names.where((clean == "") | clean.isin(".", "..") | F.col("name").rlike(r"[/\\\x00]")),
+        "parent_is_a_folder": names.join(nodes.where("node_type = 'folder'").select(F.col("id").alias("parent_id")), "parent_id", "left_anti"),
+    }
+
+
+def chunk_rules(chunks: DataFrame, generations: DataFrame) -> dict[str, DataFrame]:
+    """Rows that break a rule of chunks and generations. chunks: chunk_set_id, chunk_id, role, parent_chunk_id, sequence; generations: kb_id, status, chunk_count, indexed_count."""
+    return {
+        "child_has_a_parent": chunks.where("(role = 'child') <> (parent_chunk_id is not null)"),
+        "sequence_is_unique": duplicates(chunks, ["chunk_set_id", "role", "sequence"]),
+        "one_building_generation": duplicates(generations.where("status = 'building'"), ["kb_id"]),
+        "indexed_at_most_chunks": generations.where("indexed_count > chunk_count"),
+    }
+
+
+def expectations(entries: DataFrame, documents: DataFrame, more: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(rule, n): how many rows break each integrity rule; all should be 0. more: further rules, as tree_rules and chunk_rules give them."""
+    more = more or {}
     rules = [
         ("published_entry_is_complete", entries.where("state = 'published' and (embedding is null or published_at is null)")),
         ("one_published_entry_a_chunk", duplicates(entries.where("state = 'published'"), ["generation_id", "chunk_id"])),
         ("entry_has_document", entries.join(documents, "document_id", "left_anti")),
         ("document_name_not_blank", documents.where("trim(coalesce(name, '')) = ''")),
+        *more.items(),
     ]
     out = None
     for name, df in rules:

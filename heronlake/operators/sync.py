@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +68,71 @@ def sync_status(n_failed: Column, n_done: Column) -> Column:
     return F.when(n_failed == 0, "success").when(n_done > 0, "partial").otherwise("failed")
 
 
-def truncated(n_remote: int, n_local: int) -> bool:
+def truncated(n_remote: Column, n_local: Column) -> Column:
     """A listing of less than half of what is known looks cut short."""
     return n_remote * 2 < n_local
 
 
+def run_summary(outcomes: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, n_added, n_updated, n_removed, n_skipped, n_failed, looks_truncated, status) of each sync run.
+
+    outcomes: run_id, action (add, update, remove, skip), success; runs: run_id, n_remote, n_local, complete. A run whose listing is incomplete is partial at best.
+    """
+    good = F.coalesce("success", F.lit(False))
+    each = outcomes.groupBy("run_id").agg(
+        F.count_if((F.col("action") == "add") & good).alias("n_added"), F.count_if((F.col("action") == "update") & good).alias("n_updated"), F.count_if((F.col("action") == "remove") & good).alias("n_removed"),
+        F.count_if(F.col("action") == "skip").alias("n_skipped"), F.count_if((F.col("action") != "skip") & ~good).alias("n_failed"),
+    )
+    names = ["n_added", "n_updated", "n_removed", "n_skipped", "n_failed"]
+    full = runs.join(each, "run_id", "left").select("run_id", "n_remote", "n_local", "complete", *(F.coalesce(c, F.lit(0)).alias(c) for c in names))
+    done = F.col("n_added") + F.col("n_updated") + F.col("n_removed") + F.col("n_skipped")
+    status = F.when(~F.col("complete") & (F.col("n_failed") == 0), "partial").otherwise(sync_status(F.col("n_failed"), done))
+    return full.select("run_id", *names, truncated(F.col("n_remote"), F.col("n_local")).alias("looks_truncated"), status.alias("status"))
+
+
+def latest_edit(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, edit_time): the latest known edit time under each key; null where all are unknown."""
+    return nodes.groupBy(*keys).agg(F.max("edit_time").alias("edit_time"))
+
+
+def due_bases(bases: DataFrame, now: Column) -> DataFrame:
+    """Live bases whose next sync is due: auto_sync is on and next_sync_at, both in the JSON text source_config, is set and not after now. A base without a time is never due."""
+    at = F.try_to_timestamp(F.get_json_object("source_config", "$.next_sync_at"))
+    on = F.get_json_object("source_config", "$.auto_sync").try_cast("boolean")
+    return bases.where("deleted_at is null").withColumn("next_at", at).where(F.coalesce(on, F.lit(False)) & (F.col("next_at") <= now))
+
+
+def with_next_run(bases: DataFrame, cron_col: str, now: Column) -> DataFrame:
+    """bases with next_at: the next minute after now that the cron expression names; null if it is absent, invalid or never. In Arrow batches, one look-up for each distinct expression."""
+    def run(expressions: pd.Series, times: pd.Series) -> pd.Series:
+        known: dict = {}
+        out = []
+        for pair in zip(expressions, times, strict=True):
+            if pair not in known:
+                known[pair] = None if pair[0] is None or pd.isna(pair[1]) else next_cron(pair[0], pair[1].to_pydatetime())
+            out.append(known[pair])
+        return pd.to_datetime(pd.Series(out, dtype="object"))
+
+    return bases.withColumn("next_at", F.pandas_udf(run, "timestamp")(F.col(cron_col), now.cast("timestamp")))
+
+
+def scheduled(bases: DataFrame, active: DataFrame, now: Column, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(admitted, bases): one tick of the scheduler. Due bases are admitted up to the limit of each connection; the admitted ones get their next time, the others stay due.
+
+    bases: kb_id, connection_id, cron, next_at; active: connection_id, n.
+    """
+    ready = bases.where(F.col("next_at") <= now)
+    start = admitted(ready.select(F.col("connection_id").alias("connection"), F.col("kb_id").alias("kb"), "next_at"), active.withColumnRenamed("connection_id", "connection"), limit)
+    started = start.select(F.col("kb").alias("kb_id"), F.lit(True).alias("_started"))
+    moved = with_next_run(bases.join(started, "kb_id", "left_semi").drop("next_at"), "cron", now).select(*bases.columns)
+    return start, bases.join(started, "kb_id", "left_anti").select(*bases.columns).unionByName(moved)
+
+
+def orphaned(latched: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Bases whose force latch is set but that no pending or running job works for: they are dispatched again. latched: kb_id, forced; jobs: kb_id, status."""
+    return latched.where("forced").join(jobs.where("status in ('pending', 'running')").select("kb_id"), "kb_id", "left_anti")
+
+
 def admitted(due: DataFrame, active: DataFrame, limit: int) -> DataFrame:
     """Due knowledge bases that may start now: at most `limit` jobs a connection with those that are active.
 
@@ -99,6 +160,15 @@ def expired(entries: DataFrame, staging_before: Column, retired_before: Column,
     return entries.where(old).orderBy("created_at", "id").limit(batch)
 
 
+def expired_by_budget(entries: DataFrame, generations: DataFrame, bases: DataFrame, staging_before: Column, retired_before: Column, batch: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(entries, generations) of one clean-up: entries as in `expired`; what they leave of the batch goes to retired generations, the oldest first."""
+    rows = expired(entries, staging_before, retired_before, batch)
+    left = rows.agg((F.lit(batch) - F.count("*")).alias("_left"))
+    old = retired_generations(generations, bases, retired_before).orderBy("retired_at", "generation_id").limit(batch)  # a batch at most, so one task ranks it
+    ranked = old.withColumn("_n", F.row_number().over(Window.orderBy("retired_at", "generation_id")))
+    return rows, ranked.crossJoin(F.broadcast(left)).where("_n <= _left").drop("_n", "_left")
+
+
 def retired_generations(generations: DataFrame, bases: DataFrame, before: Column) -> DataFrame:
     """Retired generations that no knowledge base points to."""
     return generations.where((F.col("status") == "retired") & (F.col("retired_at") < before)).join(bases.select(F.col("active_generation_id").alias("generation_id")), "generation_id", "left_anti")

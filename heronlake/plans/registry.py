@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from heronlake.plans import chunk_queries, retrieval_queries, state_queries
+from heronlake.plans import catalog_queries, chunk_queries, lifecycle_queries, retrieval_queries, state_queries, text_queries
 
-_MODULES = (retrieval_queries, chunk_queries, state_queries)
+_MODULES = (retrieval_queries, chunk_queries, text_queries, state_queries, lifecycle_queries, catalog_queries)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from heronlake.functions.text import tokens
 from heronlake.functions.vectors import valid
 from heronlake.operators import retrieval as R
-from heronlake.plans.tables import EDGES, ENTRIES, SEARCH_QUERIES, entries, fused_sql, keyword_sql, search_queries, search_sql, table, vector_sql
+from heronlake.plans.tables import EDGES, ENTRIES, SEARCH_QUERIES, document_postings, entries, entry_postings, fused_sql, keyword_sql, search_queries, search_sql, table, vector_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -43,19 +43,18 @@ def vector_topk_batch(spark, sf):
 SELECT doc_id AS entry_id, round(sum(0.1::DOUBLE), 6) AS score FROM t WHERE term = 'the' GROUP BY 1 ORDER BY count(*) DESC, doc_id LIMIT 30""")
 def keyword_single_term(spark, sf):
     q = spark.createDataFrame([(0, "The")], "query_id long, query string")
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"), "text")
-    return R.keyword_top(d, q, 30).select("entry_id", F.round("score", 6).alias("score"))
+    return document_postings(spark, sf).search(q, 30).select("entry_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {ENTRIES}, {SEARCH_QUERIES}, {keyword_sql()} SELECT query_id, entry_id, round(score, 6) AS score, r AS rank FROM k")
 def keyword_cover_density(spark, sf):
-    return R.keyword_top(entries(spark, sf), search_queries(spark, sf), 30).select("query_id", "entry_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return entry_postings(spark, sf).search(search_queries(spark, sf), 30).select("query_id", "entry_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {ENTRIES}, {SEARCH_QUERIES}, {EDGES}, {vector_sql()}, {keyword_sql()}, {fused_sql()} SELECT query_id, entry_id, round(score, 9) AS score, round(vector_score, 6) AS vector_score, round(keyword_score, 6) AS keyword_score FROM fused")
 def rrf_fusion(spark, sf):
     e, q = entries(spark, sf), search_queries(spark, sf)
-    f = R.fuse(R.vector_top_batch(e, q), R.keyword_top(e, q))
+    f = R.fuse(R.vector_top_batch(e, q), entry_postings(spark, sf).search(q))
     return f.select("query_id", "entry_id", F.round("score", 9).alias("score"), F.round("vector_score", 6).alias("vector_score"), F.round("keyword_score", 6).alias("keyword_score"))
 
 
@@ -68,12 +67,12 @@ def _result(df, *more):
 
 @query(f"{search_sql()} SELECT {_RESULT} FROM res")
 def hybrid_search(spark, sf):
-    return _result(R.hybrid(entries(spark, sf), search_queries(spark, sf)))
+    return _result(R.hybrid(entries(spark, sf), search_queries(spark, sf), postings=entry_postings(spark, sf)))
 
 
 @query(f"{search_sql('kb_id', 50)} SELECT kb_id, {_RESULT} FROM res")
 def multi_kb_search(spark, sf):
-    return _result(R.hybrid(entries(spark, sf), search_queries(spark, sf), final_k=R.MULTI_FINAL_K, by="kb_id"), "kb_id")
+    return _result(R.hybrid(entries(spark, sf), search_queries(spark, sf), final_k=R.MULTI_FINAL_K, by="kb_id", postings=entry_postings(spark, sf)), "kb_id")
 
 
 _SCORER = "(length({t}) * 31 + ascii({t})) % 97 / 97"
@@ -86,7 +85,7 @@ sc AS (SELECT *, round(((length(rerank_text) * 31 + unicode(substr(rerank_text,
 SELECT query_id, parent_id, round(score, 9) AS score, rerank_score, 'rerank' AS stage, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, round(score, 12) DESC, rank) AS final_rank FROM sc QUALIFY final_rank <= 10""")
 def rerank_stage(spark, sf):
     e = entries(spark, sf)
-    res = R.hybrid(e, search_queries(spark, sf), final_k=50)
+    res = R.hybrid(e, search_queries(spark, sf), final_k=50, postings=entry_postings(spark, sf))
     hit = res.select("query_id", "parent_id", F.posexplode("matched").alias("i", "entry_id")).join(e.select("entry_id", "text"), "entry_id")
     texts = hit.groupBy("query_id", "parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]).alias("texts"))
     named = res.join(texts, ["query_id", "parent_id"]).withColumn("rerank_text", R.rerank_text(F.col("texts"), 2000))
@@ -118,6 +117,12 @@ def term_statistics(spark, sf):
     return each.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
+@query(f"WITH {ENTRIES}, {SEARCH_QUERIES}, {keyword_sql()} SELECT query_id, entry_id, round(score, 6) AS score, r AS rank FROM k")
+def keyword_unindexed(spark, sf):
+    """The same without a stored index: texts are split anew."""
+    return R.keyword_top(entries(spark, sf), search_queries(spark, sf), 30).select("query_id", "entry_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("""WITH e AS (SELECT vec_id AS entry_id, label FROM embeddings),
 h AS (SELECT entry_id, d.doc_id, d.lang, CASE WHEN d.doc_id % 4 <> 0 THEN d.doc_id - d.doc_id % 4 END AS parent, d.text, d.source FROM e JOIN documents d ON d.doc_id = e.entry_id)
 SELECT h.entry_id, coalesce(h.parent, h.doc_id) AS chunk_id, coalesce(h.source, '') AS title, length(coalesce(p.text, h.text))::BIGINT AS n_chars FROM h LEFT JOIN documents p ON p.doc_id = h.parent LEFT JOIN labels l ON l.doc_id = h.doc_id WHERE coalesce(l.toxic, 0) = 0""")

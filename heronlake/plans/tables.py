@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_indexes: dict[tuple[str, str, str], object] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, name: str, make) -> object:
+    """A stored index of a table, built once for each application and folder, in the folder that spark.checkpoint.dir names (a local one in local sessions)."""
+    from heronlake.operators.index import Postings
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _indexes:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = f"file://{tempfile.mkdtemp(prefix='heronlake-index-')}"
+        rows, by = make()
+        _indexes[key] = Postings.build(rows, f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}", "text", by)
+    return _indexes[key]
+
+
+def document_postings(spark: SparkSession, sf_dir: str):
+    """The stored inverted index of all documents."""
+    return _index(spark, sf_dir, "document-postings", lambda: (table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), "text"), None))
+
+
+def entry_postings(spark: SparkSession, sf_dir: str):
+    """The stored inverted index of all entries, with their knowledge bases."""
+    return _index(spark, sf_dir, "entry-postings", lambda: (entries(spark, sf_dir), "kb_id"))
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval entries: each vector with its document; four neighbours have one parent; the vector's label is the knowledge base."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -2,7 +2,7 @@
 
 A parser is a function of (content bytes, title) that yields blocks; `parse` joins them by blank lines into a manifest with
 byte spans. The DataFrame operator runs the registry over (document_id, file_type, content) rows in Arrow batches: one pass, no shuffle.
-A document that can't be parsed gives a row with its error instead.
+A document that can't be parsed, whatever is wrong with its bytes, gives a row with its error instead.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import json
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 #: Archive limits and the version of manifests.
 MAX_ENTRIES, MAX_EXPANDED, MAX_XML = 10_000, 512 << 20, 128 << 20
 MANIFEST_VERSION = 1
+csv.field_size_limit(1 << 31)  # a field may be as long as its document
 #: Names of the Markdown file in a converter's result archive, best first.
 RESULT_NAMES = ["full.md", "result.md", "main.md", "content.md"]
 
@@ -327,7 +329,10 @@ def parse_xlsx(content: bytes, title: str = "") -> Iterator[dict]:
                 cells[at] = text
             while cells and not cells[-1].strip():
                 cells.pop()
-            rows.append((int(row.get("r") or place), cells, None, None))
+            number = row.get("r") or str(place)
+            if not number.isdigit():
+                raise ParseError(f"bad row number {number!r}")
+            rows.append((int(number), cells, None, None))
         filled = [k for k, r in enumerate(rows) if r[1]]
         if not filled:
             continue
@@ -394,7 +399,7 @@ def parse_docx(content: bytes, title: str = "") -> Iterator[dict]:
             if level:
                 yield from flush()
                 path = [*((x, y) for x, y in path if x < level), (level, text)]
-                yield block("heading", f"{'#' * min(level, 6)} {_INLINE.sub(chr(92) * 2 + '1', text)}", anchor, [x for _, x in path])
+                yield block("heading", f"{'#' * min(level, 6)} {escape_line(text.replace(chr(10), ' '))}", anchor, [x for _, x in path])
             elif num is not None:
                 if held and held[-1][0] != _attr(num, "val"):
                     yield from flush()
@@ -443,13 +448,21 @@ class Registry:
             self._by[t] = (name, parser)
         return self
 
-    def parse(self, file_type: str, content: bytes, title: str = "") -> tuple[str, list[dict]]:
+    def parse(self, file_type: str, content: bytes, title: str = "") -> tuple[str, list[dict], list[str]]:
+        """Markdown, blocks and warnings. Every fault of the bytes (a damaged archive, bad XML, a number that isn't one) is a ParseError."""
         got = self._by.get(self.normal(file_type))
         if got is None:
             raise ParseError(f"unsupported file type: {file_type}")
-        markdown, blocks = manifest(got[0], list(got[1](content, title)))
+        try:
+            found = list(got[1](content, title))
+        except ParseError:
+            raise
+        except (ValueError, KeyError, IndexError, EOFError, OSError, NotImplementedError, RuntimeError, zipfile.BadZipFile, zlib.error, ElementTree.ParseError) as e:
+            raise ParseError(f"damaged document: {type(e).__name__}: {e}") from e
+        warnings = [w for b in found if b["kind"] == "warning" for w in b["metadata"]["warnings"]]
+        markdown, blocks = manifest(got[0], found)
         check_manifest(markdown, blocks)
-        return markdown, blocks
+        return markdown, blocks, warnings
 
 
 def default_registry() -> Registry:
@@ -457,7 +470,7 @@ def default_registry() -> Registry:
 
 
 def parse(docs: DataFrame, registry: Callable[[], Registry] = default_registry) -> DataFrame:
-    """(document_id, markdown, blocks as JSON, error). docs: document_id, file_type, content (binary), title."""
+    """(document_id, markdown, blocks as JSON, warnings as JSON, error). docs: document_id, file_type, content (binary), title."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = registry()
@@ -465,15 +478,15 @@ def parse(docs: DataFrame, registry: Callable[[], Registry] = default_registry)
             rows = []
             for doc, kind, content, title in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    markdown, blocks = own.parse(kind or "", content or b"", title or "")
-                    rows.append((doc, markdown, json.dumps(blocks, ensure_ascii=False), None))
+                    markdown, blocks, warnings = own.parse(kind or "", content or b"", title or "")
+                    rows.append((doc, markdown, json.dumps(blocks, ensure_ascii=False), json.dumps(warnings), None))
                 except ParseError as e:
-                    rows.append((doc, None, None, str(e)))
+                    rows.append((doc, None, None, None, str(e)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["document_id", "markdown", "blocks", "error"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["document_id", "markdown", "blocks", "warnings", "error"])
 
     given = docs.select(F.col("document_id").cast("string"), "file_type", F.col("content").cast("binary"), "title")
-    return given.mapInArrow(run, "document_id string, markdown string, blocks string, error string")
+    return given.mapInArrow(run, "document_id string, markdown string, blocks string, warnings string, error string")
 
 
 def read_documents(spark, path: str) -> DataFrame:
