@@ -63,3 +63,60 @@ def test_near_copies_keep_one_row_of_null_and_repeated_ids(spark):
     rows = [(None, one), (None, one), (5, two), (5, two), (None, two), (3, None), (None, "")]
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, frame(spark, rows), "").collect()), key=str)
     assert got == sorted([(None, one), (5, two), (3, None)], key=str)
+
+
+def test_run_end_to_end(spark, tmp_path):
+    """All stages on planted cases: what stays, with which text, and what the packing makes of it, by plain Python and the tokenizer's library."""
+    import collections
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    prose = lambda: "\n".join(" ".join(rng.choices(vocabulary, k=12)) + "." for _ in range(8))
+    own = {i: prose() for i in range(40)}
+    shared = "this very line stands on all the sites of ours."
+    given = {i: f"{t}\n{shared}" if i < 10 else t for i, t in own.items()}
+    want = {i: f"{t}\n{shared}" if i == 0 else t for i, t in own.items()}  # its first place stays
+    kept = prose()
+    given |= {100: "too short.", 101: kept.replace("\n", "\nHome | News | About | Contact\n", 1), 300: "\n".join("12345 67890 2468 13579 42." for _ in range(1, 9)).replace("42", "43", 1), 301: None}
+    want[101] = kept
+    words = own[20].split(" ")
+    words[30] = "changed"
+    given |= {200: " ".join(words), 201: own[21]}
+    rows = [(i, t, "en", f"s{i}", None if t is None else len(t)) for i, t in given.items()]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    found = collections.defaultdict(list)
+    places = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        found[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+        places[r.sequence_id].append((r.offset, r.length))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for i, text in want.items():
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        want[i] = [(k, lo, len(ids[lo : lo + 2048]), zlib.crc32(np.array(ids[lo : lo + 2048], "<u4").tobytes())) for k, lo in enumerate(range(0, len(ids), 2048))]
+    assert {i: sorted(p) for i, p in found.items()} == want
+    for spans in places.values():
+        at = 0
+        for o, n in sorted(spans):
+            assert o == at
+            at += n
+        assert at <= 2048
+
+
+def test_tables_of_a_stage_are_deleted(spark, tmp_path):
+    import os
+
+    from heronlake.llm.common import Scratch, Written, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with Scratch() as own:
+        Written(spark.range(3), "inner")
+        kept = own.keep(Written(spark.range(4), "kept"))
+    assert len(set(os.listdir(folder)) - before) == 1 and kept.df.count() == 4
+    kept.drop()
+    assert set(os.listdir(folder)) == before
