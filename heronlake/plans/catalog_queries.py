@@ -26,8 +26,8 @@ def query(sql):
 # Suppliers stand for knowledge bases (the nation is the workspace), parts for models, brands for providers, orders for documents and jobs.
 _KB = """kb AS (SELECT s_nationkey AS workspace_id, s_suppkey AS kb_id, s_name AS name, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey * 2 END AS active_generation_id, CASE WHEN s_suppkey % 7 = 0 THEN 1 END AS deleted_at FROM supplier)"""
 _GEN = """gen AS (SELECT s_nationkey AS workspace_id, s_suppkey AS kb_id, s_suppkey * 2 + g AS generation_id, s_suppkey * 10 + g AS model_id, CASE g WHEN 0 THEN 'ready' ELSE 'stale' END AS status, CASE WHEN s_suppkey % 3 = 0 THEN 64 ELSE 32 END AS dimension FROM supplier, (VALUES (0), (1)) v(g))"""
-_MODEL = """model AS (SELECT p_partkey AS model_id, p_brand AS provider_id, p_name AS model_name, CASE WHEN p_size > 25 THEN 'platform' ELSE 'workspace' END AS scope, p_size % 25 AS workspace_id, CASE WHEN p_retailprice > 1000 THEN 'active' ELSE 'off' END AS status, CASE WHEN p_type LIKE '%STEEL' THEN 'embedding' ELSE 'rerank' END AS model_type FROM part)"""
-_PROVIDER = """provider AS (SELECT p_brand AS provider_id, 'P ' || p_brand AS provider_name, CASE WHEN p_brand LIKE '%1' THEN 'platform' ELSE 'workspace' END AS scope, 3 AS workspace_id, CASE WHEN p_brand LIKE '%5' THEN 'off' ELSE 'active' END AS status FROM part GROUP BY p_brand)"""
+_MODEL = """model AS (SELECT p_partkey AS model_id, p_brand AS provider_id, p_name AS model_name, CASE WHEN p_size > 25 THEN 'platform' ELSE 'workspace' END AS scope, p_size % 25 AS workspace_id, CASE WHEN p_retailprice > 910 THEN 'active' ELSE 'off' END AS status, CASE WHEN p_type = 'LARGE' THEN 'embedding' ELSE 'rerank' END AS model_type FROM part)"""
+_PROVIDER = """provider AS (SELECT p_brand AS provider_id, 'P ' || p_brand AS provider_name, 'workspace' AS scope, CAST(substr(p_brand, 7) AS INTEGER) % 20 AS workspace_id, CASE WHEN p_brand LIKE '%5' THEN 'off' ELSE 'active' END AS status FROM part GROUP BY p_brand)"""
 
 
 def _bases(spark, sf):
@@ -45,13 +45,13 @@ def _models(spark, sf):
     p = table(spark, sf, "part")
     return p.select(
         F.col("p_partkey").alias("model_id"), F.col("p_brand").alias("provider_id"), F.col("p_name").alias("model_name"), F.when(F.col("p_size") > 25, "platform").otherwise("workspace").alias("scope"), (F.col("p_size") % 25).alias("workspace_id"),
-        F.when(F.col("p_retailprice") > 1000, "active").otherwise("off").alias("status"), F.when(F.col("p_type").like("%STEEL"), "embedding").otherwise("rerank").alias("model_type"),
+        F.when(F.col("p_retailprice") > 910, "active").otherwise("off").alias("status"), F.when(F.col("p_type") == "LARGE", "embedding").otherwise("rerank").alias("model_type"),
     )
 
 
 def _providers(spark, sf):
     b = table(spark, sf, "part").select("p_brand").distinct()
-    return b.select(F.col("p_brand").alias("provider_id"), F.concat(F.lit("P "), "p_brand").alias("provider_name"), F.when(F.col("p_brand").like("%1"), "platform").otherwise("workspace").alias("scope"), F.lit(3).alias("workspace_id"), F.when(F.col("p_brand").like("%5"), "off").otherwise("active").alias("status"))
+    return b.select(F.col("p_brand").alias("provider_id"), F.concat(F.lit("P "), "p_brand").alias("provider_name"), F.lit("workspace").alias("scope"), (F.substring("p_brand", 7, 2).cast("int") % 20).alias("workspace_id"), F.when(F.col("p_brand").like("%5"), "off").otherwise("active").alias("status"))
 
 
 @query(f"WITH {_KB} SELECT kb_id, name FROM kb WHERE workspace_id = 3")

@@ -308,13 +308,13 @@ def throttled_touch(spark, sf):
     return K.touch(keys, _at("2020-01-02"), 60)
 
 
-@query("""SELECT user_id AS run_id, count(*) FILTER (event_type = 'click' AND value > 10) AS n_added, count(*) FILTER (event_type = 'purchase' AND value > 10) AS n_updated, count(*) FILTER (event_type = 'signup' AND value > 10) AS n_removed,
-count(*) FILTER (event_type NOT IN ('click', 'purchase', 'signup')) AS n_skipped, count(*) FILTER (event_type IN ('click', 'purchase', 'signup') AND value <= 10) AS n_failed, (user_id % 5) * 2 < user_id % 7 AS looks_truncated,
-CASE WHEN user_id % 6 = 0 AND count(*) FILTER (event_type IN ('click', 'purchase', 'signup') AND value <= 10) = 0 THEN 'partial' WHEN count(*) FILTER (event_type IN ('click', 'purchase', 'signup') AND value <= 10) = 0 THEN 'success'
-WHEN count(*) FILTER (event_type NOT IN ('click', 'purchase', 'signup') OR value > 10) > 0 THEN 'partial' ELSE 'failed' END AS status FROM events GROUP BY user_id""")
+@query("""SELECT user_id AS run_id, count(*) FILTER (event_type = 'click' AND value > 2) AS n_added, count(*) FILTER (event_type = 'purchase' AND value > 2) AS n_updated, count(*) FILTER (event_type = 'signup' AND value > 2) AS n_removed,
+count(*) FILTER (event_type NOT IN ('click', 'purchase', 'signup')) AS n_skipped, count(*) FILTER (event_type IN ('click', 'purchase', 'signup') AND value <= 2) AS n_failed, (user_id % 5) * 2 < user_id % 7 AS looks_truncated,
+CASE WHEN user_id % 6 = 0 AND count(*) FILTER (event_type IN ('click', 'purchase', 'signup') AND value <= 2) = 0 THEN 'partial' WHEN count(*) FILTER (event_type IN ('click', 'purchase', 'signup') AND value <= 2) = 0 THEN 'success'
+WHEN count(*) FILTER (event_type NOT IN ('click', 'purchase', 'signup') OR value > 2) > 0 THEN 'partial' ELSE 'failed' END AS status FROM events GROUP BY user_id""")
 def sync_run_summary(spark, sf):
     e, t = table(spark, sf, "events"), F.col("event_type")
-    outcomes = e.select(F.col("user_id").alias("run_id"), F.when(t == "click", "add").when(t == "purchase", "update").when(t == "signup", "remove").otherwise("skip").alias("action"), (F.col("value") > 10).alias("success"))
+    outcomes = e.select(F.col("user_id").alias("run_id"), F.when(t == "click", "add").when(t == "purchase", "update").when(t == "signup", "remove").otherwise("skip").alias("action"), (F.col("value") > 2).alias("success"))
     runs = e.select(F.col("user_id").alias("run_id")).distinct().select("run_id", (F.col("run_id") % 5).alias("n_remote"), (F.col("run_id") % 7).alias("n_local"), (F.col("run_id") % 6 != 0).alias("complete"))
     return D.run_summary(outcomes, runs)
 
