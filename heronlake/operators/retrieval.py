@@ -195,19 +195,31 @@ def rerank_text(matched_texts: Column, max_chars: int) -> Column:
     return F.substring(F.array_join(F.array_distinct(matched_texts), "\n"), 1, max_chars)
 
 
-def rerank(results: DataFrame, scorer: Callable[[Column], Column], candidate_k: int, final_k: int) -> DataFrame:
+#: Classes of reranker errors after which the fusion order may stand in.
+RECOVERABLE = ("rerank_unavailable", "rerank_rate_limited", "request_timeout", "endpoint_unreachable", "provider_rejected", "invalid_rerank_response")
+
+
+def rerank(results: DataFrame, scorer: Callable[[Column], Column], candidate_k: int, final_k: int, failure_mode: str = "fallback") -> DataFrame:
     """The best candidate_k results (by rank) in the order of a scorer of their rerank_text; a missing score is 0.
 
-    Adds rerank_score and stage; ties keep fusion score, then position. A scorer that gives no score for any candidate of a query
-    leaves the fusion order (stage `rrf_fallback`).
+    Adds candidate_id (opaque, by rank), rerank_score, stage and final_rank; ties keep fusion score, then position. A query fails if its rows name an error class (column
+    rerank_error, where there is one), or if no candidate of it has a score (`invalid_rerank_response`). With failure_mode `fallback` an error of RECOVERABLE leaves its
+    fusion order (stage `rrf_fallback`); any other, or with failure_mode `error`, ends the job.
     """
     if not RERANK_RANGE[0] <= candidate_k <= RERANK_RANGE[1]:
         raise ValueError(f"candidate_k must be {RERANK_RANGE[0]} to {RERANK_RANGE[1]}")
-    got = results.where(F.col("rank") <= candidate_k).withColumn("given", scorer(F.col("rerank_text")))
-    failed = F.count("given").over(Window.partitionBy("query_id")) == 0
-    scored = got.withColumn("stage", F.when(failed, "rrf_fallback").otherwise("rerank")).withColumn("rerank_score", F.coalesce("given", F.lit(0.0)))
-    order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc(F.round("score", 12)), "rank")
-    return scored.withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= final_k).drop("given")
+    if failure_mode not in ("fallback", "error"):
+        raise ValueError("failure_mode must be fallback or error")
+    named = results if "rerank_error" in results.columns else results.withColumn("rerank_error", F.lit(None).cast("string"))
+    got = named.where(F.col("rank") <= candidate_k).withColumn("candidate_id", F.format_string("candidate-%06d", F.col("rank"))).withColumn("given", scorer(F.col("rerank_text")))
+    query = Window.partitionBy("query_id")
+    error = F.coalesce(F.max("rerank_error").over(query), F.when(F.count("given").over(query) == 0, "invalid_rerank_response"))
+    failed = got.withColumn("error", error)
+    soft = F.col("error").isin(*RECOVERABLE) & F.lit(failure_mode == "fallback")
+    stage = F.when(F.col("error").isNull(), "rerank").when(soft, "rrf_fallback").otherwise(F.raise_error(F.concat(F.lit("rerank failed: "), F.col("error"))).cast("string"))
+    scored = failed.withColumn("stage", stage).withColumn("rerank_score", F.when(F.col("stage") == "rerank", F.coalesce("given", F.lit(0.0))).otherwise(0.0))
+    order = query.orderBy(F.desc("rerank_score"), F.desc(F.round("score", 12)), "rank")
+    return scored.withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= final_k).drop("given", "error", "rerank_error")
 
 
 def check_rerank(response: DataFrame, n_candidates: int) -> DataFrame:
@@ -217,11 +229,22 @@ def check_rerank(response: DataFrame, n_candidates: int) -> DataFrame:
     return response.withColumn("twice", twice).where(F.col("twice") | odd | (F.col("index") < 0) | (F.col("index") >= n_candidates)).drop("twice")
 
 
+def active_content(chunks: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Chunks with the content of their active revision; a chunk whose active revision is absent has none. chunks: active_revision_id; revisions: chunk_id, revision_id, content."""
+    own = revisions.select("chunk_id", F.col("revision_id").alias("active_revision_id"), F.col("content").alias("_content"))
+    return chunks.drop("content").join(own, ["chunk_id", "active_revision_id"], "left").withColumnRenamed("_content", "content")
+
+
+def missing_evidence(hits: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Hits for which `evidence` found nothing (a deleted document, a chunk that is gone); empty where the index is sound. A caller that must not lose any checks this."""
+    return hits.join(found.select(*keys), keys, "left_anti")
+
+
 def evidence(hits: DataFrame, entries: DataFrame, chunks: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """Hits with their texts: the parent's where there is one, else the child's; title by the file node's current name.
 
-    entries: entry_id, chunk_id, document_id; chunks: chunk_id, parent_chunk_id, content; documents: document_id, title, deleted_at;
-    nodes: document_id, name. Deleted documents give no evidence.
+    entries: entry_id, chunk_id, document_id; chunks: chunk_id, parent_chunk_id, content (of the active revision, see active_content); documents: document_id,
+    title, deleted_at; nodes: document_id, name. Deleted documents give no evidence (see missing_evidence).
     """
     parent = chunks.select(F.col("chunk_id").alias("parent_chunk_id"), F.col("content").alias("parent_content"))
     child = chunks.select("chunk_id", "parent_chunk_id", "content")

@@ -48,13 +48,16 @@ def generation_stats(documents: DataFrame, chunk_sets: DataFrame, chunks: DataFr
     """By knowledge base: documents, chunks of their effective sets, published entries, manual edits, disabled, missing sets and revisions.
 
     documents: kb_id, document_id, active_revision_id; chunk_sets: chunk_set_id, document_id, revision_id, status, created_at;
-    chunks: chunk_id, chunk_set_id; revisions: chunk_id, edit_source, enabled; entries: kb_id, state.
+    chunks: chunk_id, chunk_set_id, [active_revision_id]; revisions: chunk_id, edit_source, enabled, [revision_id]; entries: kb_id, state. Where
+    chunks name their active revision only that one counts.
     """
+    on = ["chunk_id", "active_revision_id"] if "active_revision_id" in chunks.columns else ["chunk_id"]
+    revisions = revisions.withColumnRenamed("revision_id", "active_revision_id") if len(on) > 1 else revisions
     active = documents.where("active_revision_id is not null").select("kb_id", "document_id", F.col("active_revision_id").alias("revision_id"))
     ready = latest(chunk_sets.where("status = 'ready'"), ["document_id", "revision_id"], [F.desc("created_at"), F.desc("chunk_set_id")])
     effective = active.join(ready.select("document_id", "revision_id", "chunk_set_id"), ["document_id", "revision_id"], "left")
-    rev = revisions.select("chunk_id", "edit_source", "enabled", F.lit(True).alias("found"))
-    detail = effective.join(chunks, "chunk_set_id", "left").join(rev, "chunk_id", "left")
+    rev = revisions.select(*on, "edit_source", "enabled", F.lit(True).alias("found"))
+    detail = effective.join(chunks, "chunk_set_id", "left").join(rev, on, "left")
     one = detail.groupBy("kb_id").agg(
         F.count_distinct("document_id").alias("document_count"), F.count("chunk_id").alias("chunk_count"), F.count_if(F.col("edit_source") == "user").alias("manual_edit_count"),
         F.count_if(~F.col("enabled")).alias("disabled_chunk_count"), F.count_if(F.col("chunk_set_id").isNull()).alias("missing_chunk_set_count"),

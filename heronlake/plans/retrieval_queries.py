@@ -135,3 +135,64 @@ def evidence_join(spark, sf):
     nodes = d.select(F.col("doc_id").alias("document_id"), F.col("source").alias("name"))
     out = R.evidence(e.select("entry_id"), e, chunks, docs, nodes)
     return out.select("entry_id", "chunk_id", "title", F.length("content").cast("long").alias("n_chars"))
+
+
+@query("""WITH r AS (SELECT o_custkey AS query_id, o_orderkey AS entry_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+c AS (SELECT *, CASE WHEN query_id % 4 = 0 THEN 0.0 ELSE (entry_id % 7)::DOUBLE END AS rerank_score, CASE WHEN query_id % 4 = 0 THEN 'rrf_fallback' ELSE 'rerank' END AS stage FROM r WHERE rank <= 50)
+SELECT query_id, entry_id, 'candidate-' || lpad(rank::VARCHAR, 6, '0') AS candidate_id, rerank_score, stage, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS final_rank FROM c QUALIFY final_rank <= 5""")
+def rerank_fallback(spark, sf):
+    o = table(spark, sf, "orders")
+    ranked = R.top(o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("entry_id"), F.col("o_totalprice").alias("p")), ["query_id"], [F.desc("p"), "entry_id"], 1000)
+    error = F.when((F.col("query_id") % 8 == 0) & (F.col("rank") == 1), "request_timeout")
+    text = F.when(F.col("query_id") % 4 == 0, F.lit(None)).otherwise(F.col("entry_id").cast("string"))
+    named = ranked.select("query_id", "entry_id", "rank", (-F.col("rank")).cast("double").alias("score"), text.alias("rerank_text"), error.alias("rerank_error"))
+    out = R.rerank(named, lambda t: (t.cast("long") % 7).cast("double"), 50, 5)
+    return out.select("query_id", "entry_id", "candidate_id", "rerank_score", "stage", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+@query("""SELECT event_id % 50 AS index, event_id AS row_id FROM events WHERE event_id < 60 AND (event_id % 50 < 10 OR event_id % 9 = 0 OR event_id % 50 >= 45)""")
+def rerank_response_check(spark, sf):
+    e, k = table(spark, sf, "events"), F.col("event_id")
+    answer = e.where("event_id < 60").select(k.alias("row_id"), (k % 50).alias("index"), F.when(k % 18 == 0, float("nan")).when(k % 9 == 0, float("inf")).otherwise(0.5).alias("score"))
+    return R.check_rerank(answer, 45).select("index", "row_id")
+
+
+@query("""SELECT l_orderkey AS query_id, count(*) FILTER (l_returnflag = 'R') AS vector, count(*) FILTER (l_returnflag = 'A') AS keyword, count(*) FILTER (l_quantity > 30) AS fused, count(*) FILTER (l_quantity > 40) AS grouped, count(*) AS result FROM lineitem GROUP BY 1""")
+def search_counters(spark, sf):
+    x = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "query_id")
+    out = R.counters(x.where("l_returnflag = 'R'"), x.where("l_returnflag = 'A'"), x.where("l_quantity > 30"), x.where("l_quantity > 40"), x)
+    return out.fillna(0)
+
+
+@query("""SELECT c_custkey AS entry_id, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey * 2 ELSE -1 END AS revision, CASE WHEN c_custkey % 3 = 0 THEN 'none' WHEN c_custkey % 5 = 0 THEN 'deleted' ELSE 'found' END AS kind FROM customer""")
+def evidence_revisions(spark, sf):
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    hits = c.select(k.alias("entry_id"))
+    entries_ = c.select(k.alias("entry_id"), k.alias("chunk_id"), k.alias("document_id"))
+    chunks = c.select(k.alias("chunk_id"), F.lit(None).cast("long").alias("parent_chunk_id"), (k * 2).alias("active_revision_id"))
+    revs = c.where("c_custkey % 3 <> 0").select(k.alias("chunk_id"), F.explode(F.array(k, k * 2)).alias("revision_id")).withColumn("content", F.col("revision_id").cast("string"))
+    named = R.active_content(chunks, revs)
+    docs = c.select(k.alias("document_id"), F.lit("t").alias("title"), F.when((k % 5 == 0) & (k % 3 != 0), 1).alias("deleted_at"))
+    found = R.evidence(hits, entries_, named, docs, docs.select("document_id", F.lit("n").alias("name")))
+    gone = R.missing_evidence(hits, found, ["entry_id"]).withColumn("gone", F.lit(True))
+    all_ = hits.join(named.select(F.col("chunk_id").alias("entry_id"), "content"), "entry_id").join(gone, "entry_id", "left")
+    kind = F.when(F.col("content").isNull(), "none").when(F.col("gone"), "deleted").otherwise("found")
+    return all_.select("entry_id", F.coalesce(F.col("content").cast("long"), F.lit(-1)).alias("revision"), kind.alias("kind"))
+
+
+@query("""SELECT vec_id AS chunk_id, 'n' || vec_id AS document_name, 'rrf' AS ranking_stage, 16 AS n_fields FROM embeddings""")
+def result_fields(spark, sf):
+    from heronlake.operators.access import RESULT_FIELDS, result_rows
+
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("n"), F.col("vec_id").cast("string")).alias("document_name"), F.lit("rrf").alias("ranking_stage"))
+    full = result_rows(e)
+    return full.select("chunk_id", "document_name", "ranking_stage", F.lit(sum(c in full.columns for c in RESULT_FIELDS)).alias("n_fields"))
+
+
+@query("""SELECT page_id, strlen(html)::BIGINT AS n FROM pages WHERE page_id % 3 <> 0 AND strlen(html) <= 1500""")
+def fetch_capped(spark, sf):
+    from heronlake.sources.connector import within_size
+
+    p = table(spark, sf, "pages")
+    contents = p.where("page_id % 3 <> 0").select("page_id", F.encode("html", "UTF-8").alias("content"))
+    return within_size(contents, 1500).select("page_id", F.octet_length("content").cast("long").alias("n"))

@@ -231,8 +231,8 @@ def generation_stats(spark, sf):
     sets = o.select(F.col("o_orderkey").alias("chunk_set_id"), F.col("o_custkey").alias("document_id"), F.lit(1).alias("revision_id"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("pending").alias("status"), F.col("o_orderdate").alias("created_at"))
     key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id")
     line = line.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"), F.max("l_quantity").alias("l_quantity"))
-    chunks = line.select(key, F.col("l_orderkey").alias("chunk_set_id"))
-    revs = line.select(key, F.when(F.col("l_returnflag") == "R", "user").otherwise("system").alias("edit_source"), (F.col("l_quantity") > 5).alias("enabled")).where("chunk_id % 13 <> 0")
+    chunks = line.select(key, F.col("l_orderkey").alias("chunk_set_id"), F.lit(2).alias("active_revision_id"))
+    revs = line.select(key, F.explode(F.array(F.lit(1), F.lit(2))).alias("revision_id"), F.when(F.col("l_returnflag") == "R", "user").otherwise("system").alias("edit_source"), (F.col("l_quantity") > 5).alias("enabled")).where("chunk_id % 13 <> 0")
     entries = c.select(F.col("c_nationkey").alias("kb_id"), F.when(F.col("c_mktsegment") == "BUILDING", "published").otherwise("staging").alias("state"))
     return S.generation_stats(docs, sets, chunks, revs, entries)
 
