@@ -2,7 +2,7 @@
 
 1. Every document is tokenised (whole), closed with the end id and cut into pieces of one sequence's length.
    The pieces (ids stay behind, their lengths and checksums go on) are written once to the shared folder.
-2. Only the histogram of piece lengths goes to the driver: one count for each length and salt, a size that the sequence length bounds.
+2. Only the histogram of piece lengths goes to the driver: one count for each length and salt. A length has a salt for every PER_SALT of its pieces.
 3. The plan is made on the histogram. Large lengths are sorted and cut into groups of equal cardinality, and
    each is rounded up to its group's largest. For these few sizes, configurations (how many of each size fill a
    sequence) are optimised as a linear programme by column generation, whole multiples are taken and the rest
@@ -10,8 +10,8 @@
    largest first, and small lengths go, largest first, to the sequences with the tightest room that holds them.
    The plan lists, for each length, ranges of ranks and the sequences that they fill; its size
    follows the number of lengths and configurations, not of documents.
-4. Each piece gets its rank among those of its length: a row number within (length, salt of the document id) plus the
-   counts of the salts before, so a length that holds a third of all pieces is spread over all salts.
+4. Each piece gets its rank among those of its length: a row number within (length, salt of the document id and piece) plus the
+   counts of the salts before, so a length that holds a third of all pieces is spread over as many tasks as it needs.
    The rank looks up its place in the plan.
 
 Cases: null text counts as empty (one piece, the end id alone); ties rank by document id and piece; rows that repeat a
@@ -34,7 +34,8 @@ from heronlake.llm.common import Written, map_batches, table
 
 LENGTH = 2048
 END_ID = 0
-SALTS = 64
+#: Pieces of one length that one task ranks, about.
+PER_SALT = 200_000
 #: A worker remembers the words of its last tables, two of about so many words each.
 MAX_WORDS = 900_000
 #: Bytes that one of the two tables holds at most, and the length of words that are kept.
@@ -275,34 +276,40 @@ class Plan:
             self._put(length, many, self._new(-(-many // per)), per)
 
 
-def pack(piece_table: DataFrame, length: int = LENGTH, salts: int = SALTS) -> DataFrame:
+def best_plan(counts: dict[int, int], capacity: int = LENGTH) -> Plan:
+    """The plan by linear grouping, or where rounding up loses more than it finds (few pieces) that of best fit alone: the one with fewer sequences."""
+    return min((Plan(counts, capacity), Plan(counts, capacity, small=capacity)), key=lambda p: p.sequences)
+
+
+def pack(piece_table: DataFrame, length: int = LENGTH, per_salt: int = PER_SALT) -> DataFrame:
     """Adds sequence_id and offset to written pieces (doc_id, piece, length, ...)."""
     spark = piece_table.sparkSession
-    salted = piece_table.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    rows = salted.groupBy("length", "salt").count().collect()  # at most length * salts rows
-    counts: dict[int, int] = defaultdict(int)
-    before: dict[tuple[int, int], int] = {}
-    for r in sorted(rows, key=lambda r: (r["length"], r["salt"])):
-        before[r["length"], r["salt"]] = counts[r["length"]]
-        counts[r["length"]] += r["count"]
-    places = sorted(Plan(counts, length).rows)
-    base = np.zeros((length + 1) * salts, np.int64)
-    for (n, s), b in before.items():
-        base[n * salts + s] = b
+    counts = {r["length"]: r["count"] for r in piece_table.groupBy("length").count().collect()}  # at most `length` rows
+    places = sorted(best_plan(counts, length).rows)
+    salts = np.array([-(-counts.get(n, 0) // per_salt) for n in range(length + 1)], np.int64)
+    first = np.concatenate(([0], np.cumsum(salts)))  # where a length's salts begin
+    how_many = F.get(F.array(*(F.lit(max(1, int(s))) for s in salts)), F.col("length").cast("int"))
+    salted = piece_table.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), how_many).cast("int"))
+    base = np.zeros(int(first[-1]) + 1, np.int64)
+    if salts.max(initial=0) > 1:  # ranks of a salt start where those before it end; one row for each PER_SALT pieces
+        at: dict[int, int] = defaultdict(int)
+        for r in sorted(salted.groupBy("length", "salt").count().collect(), key=lambda r: (r["length"], r["salt"])):
+            base[first[r["length"]] + r["salt"]] = at[r["length"]]
+            at[r["length"]] += r["count"]
     wide = 1 << 44
     starts = np.array([n * wide + a for n, a, *_ in places], np.int64)
     place = np.array(places, np.int64).reshape(-1, 6)
-    shared = spark.sparkContext.broadcast((base, starts, place))  # its size follows the sequence length, not the pieces
+    shared = spark.sparkContext.broadcast((first, base, starts, place))  # its size follows the sequence length, and one number for PER_SALT pieces
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
     ranked = salted.withColumn("rank", F.row_number().over(order).cast("long") - 1)
     cols = [c for c in piece_table.columns if c not in ("sequence_id", "offset")]
 
     def make():
-        base, starts, place = shared.value
+        first, base, starts, place = shared.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, salt, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "salt", "rank"))
-            rank = rank + base[n * salts + salt]
+            rank = rank + base[first[n] + salt]
             p = place[np.searchsorted(starts, n * wide + rank, "right") - 1]
             k = rank - p[:, 1]
             return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in cols), pa.array(p[:, 4] + k // p[:, 3]), pa.array(p[:, 5] + k % p[:, 3] * n)], [*cols, "sequence_id", "offset"])

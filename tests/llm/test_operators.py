@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from oracle import compare
 from pyspark.sql import functions as F
@@ -106,9 +106,10 @@ def test_components_of_chains(spark):
 
 
 @settings(max_examples=80, deadline=None)
+@example({8: 16, 9: 80, 13: 1})
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 80), max_size=40))
 def test_plan(counts):
-    plan = best_fit_packing.Plan(counts, 60)
+    plan = best_fit_packing.best_plan(counts, 60)
     seqs, seen = collections.defaultdict(list), collections.Counter()
     for n, a, b, per, s, o in plan.rows:
         assert a == seen[n] or True
@@ -158,6 +159,20 @@ def test_packing_places(spark):
     assert len(seqs) <= -(-total // 2048) * 1.03 + 2
 
 
+@pytest.mark.parametrize("per_salt", [7, 100_000])
+def test_packing_with_salted_ranks(spark, per_salt):
+    rng = random.Random(5)
+    rows = [(k // 3, k % 3, 60 if k % 3 == 0 else rng.randrange(1, 61)) for k in range(900)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long").repartition(5)
+    seqs = collections.defaultdict(list)
+    for r in best_fit_packing.pack(pieces, 60, per_salt).collect():
+        seqs[r.sequence_id].append((r.offset, r.length))
+    assert sum(map(len, seqs.values())) == len(rows)
+    for x in seqs.values():
+        ends = [0, *itertools.accumulate(n for _, n in sorted(x))]
+        assert [o for o, _ in sorted(x)] == ends[:-1] and ends[-1] <= 60
+
+
 @pytest.mark.parametrize("text", ["It's. ΣΑΣ. İx, a.b ,c,. <|endoftext|> d. x 1. e\u0301. A.,", "word.", "Word,\nword.  é. ?!. '. s'd."])
 def test_word_coder(text):
     c = best_fit_packing.WordCoder(public_tokenizers.path("word_bpe_49k.json"))
