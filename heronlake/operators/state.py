@@ -17,12 +17,6 @@ def stage(entries: DataFrame, new: DataFrame) -> DataFrame:
     return entries.where("state <> 'staging'").unionByName(staging).unionByName(new.withColumn("state", F.lit("staging")).select(*entries.columns))
 
 
-def incomplete(entries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Enabled chunks that have no complete staging entry in their generation. chunks: generation_id, chunk_id, enabled."""
-    good = entries.where("state = 'staging' and embedding_ok").select("generation_id", "chunk_id")
-    return chunks.where("enabled").join(good, ["generation_id", "chunk_id"], "left_anti")
-
-
 def stage_problems(new: DataFrame, dimension: int) -> DataFrame:
     """(chunk_id, reason) of new staging rows that may not be staged: no lineage, blank text, a bad vector, or a chunk given twice."""
     from heronlake.functions.text import non_blank
@@ -50,14 +44,6 @@ def publish(entries: DataFrame, published: DataFrame) -> DataFrame:
     return out.select(*(c for c in entries.columns if c not in ("state", "published_at", "retired_at")), state.alias("state"), published_at.alias("published_at"), retired_at.alias("retired_at"))
 
 
-def publish_revision(entries: DataFrame, edits: DataFrame) -> DataFrame:
-    """The same for single chunks; a disabled revision only retires. edits: chunk_id, enabled, at."""
-    out = entries.join(edits.select("chunk_id", "enabled", F.col("at").alias("_at")), "chunk_id", "left")
-    hit = F.col("_at").isNotNull()
-    state = F.when(hit & (F.col("state") == "published"), "retired").when(hit & (F.col("state") == "staging") & F.col("enabled"), "published").otherwise(F.col("state"))
-    return out.select(*(c for c in entries.columns if c != "state"), state.alias("state"))
-
-
 def soft_delete(entries: DataFrame, documents: DataFrame, nodes: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Delete documents: their entries retire, they are marked, their file nodes go. gone: document_id, at."""
     mark = gone.select("document_id", F.col("at").alias("_at"))
@@ -68,17 +54,6 @@ def soft_delete(entries: DataFrame, documents: DataFrame, nodes: DataFrame, gone
     return retired, deleted, nodes.join(mark, "document_id", "left_anti")
 
 
-def activate(bases: DataFrame, generation: DataFrame) -> DataFrame:
-    """Swap the active generation where the new one is ready, rests on the active one and has its content version.
-
-    generation: kb_id, generation_id, base_generation_id, status, content_version.
-    """
-    g = generation.where("status = 'ready'").select("kb_id", F.col("generation_id").alias("_new"), F.col("base_generation_id").alias("_base"), F.col("content_version").alias("_version"))
-    out = bases.join(g, "kb_id", "left")
-    fits = F.col("_base").eqNullSafe(F.col("active_generation_id")) & (F.col("_version") == F.col("content_version")) & F.col("_new").isNotNull()
-    return out.select(*(c for c in bases.columns if c != "active_generation_id"), F.when(fits, F.col("_new")).otherwise(F.col("active_generation_id")).alias("active_generation_id"))
-
-
 def unused_sets(chunk_sets: DataFrame, entries: DataFrame) -> DataFrame:
     """Chunk sets that no live entry refers to."""
     return chunk_sets.join(entries.where("state <> 'retired'").select("chunk_set_id"), "chunk_set_id", "left_anti")
@@ -98,13 +73,6 @@ def upsert(have: DataFrame, new: DataFrame, key: list[str], order: str) -> DataF
     return both.withColumn("_n", n).where("_n = 1").drop("_n", "_new")
 
 
-def fail_builds(generations: DataFrame, failed: DataFrame) -> DataFrame:
-    """Mark failed builds; a ready generation stays ready."""
-    f = failed.select("generation_id", F.lit(True).alias("_f"))
-    out = generations.join(f, "generation_id", "left")
-    return out.select(*(c for c in generations.columns if c != "status"), F.when(F.col("_f") & (F.col("status") != "ready"), "failed").otherwise(F.col("status")).alias("status"))
-
-
 def cleanup_batches(keys: list[DataFrame], size: int = DELETE_BATCH) -> DataFrame:
     """(key, batch) of all object keys, each once, in order; batches of one size.
 
@@ -136,19 +104,6 @@ def touch(keys: DataFrame, now: Column, seconds: int) -> DataFrame:
     return keys.withColumn("last_used_at", F.when(old, now).otherwise(F.col("last_used_at")))
 
 
-def retry_reset(rows: DataFrame, retry: DataFrame, key: str) -> DataFrame:
-    """Failed rows named in retry are pending again."""
-    out = rows.join(retry.select(key, F.lit(True).alias("_r")), key, "left")
-    return out.select(*(c for c in rows.columns if c != "status"), F.when(F.col("_r") & (F.col("status") == "failed"), "pending").otherwise(F.col("status")).alias("status"))
-
-
-def set_config(config: Column, **values: Column) -> Column:
-    """A struct with some fields set."""
-    for name, value in values.items():
-        config = config.withField(name, value)
-    return config
-
-
 class SnapshotStore:
     """Immutable snapshots of a table under one folder, and a pointer to the current one; any Hadoop file system."""
 

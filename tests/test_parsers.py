@@ -193,3 +193,12 @@ def test_result_archives_prefer_named_files():
 def test_registry():
     with pytest.raises(ValueError):
         default_registry().add("again", [".MD"], parse_markdown)
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes(b"# one")
+    (tmp_path / "b.TXT").write_bytes(b"two")
+    (tmp_path / "noext").write_bytes(b"three")
+    docs = parsers.read_documents(spark, str(tmp_path))
+    assert {(r.title, r.file_type) for r in docs.collect()} == {("a.md", "md"), ("b.TXT", "TXT"), ("noext", "")}
+    assert {r.markdown for r in parse(docs).collect()} == {"# one", "two", None}
