@@ -2,7 +2,7 @@
 
 1. Every document is tokenised (whole), closed with the end id and cut into pieces of one sequence's length.
    The pieces (ids stay behind, their lengths and checksums go on) are written once to the shared folder.
-2. Only the histogram of piece lengths goes to the driver: one count for each length and salt. A length has a salt for every PER_SALT of its pieces.
+2. Only the histogram of piece lengths goes to the driver: one count for each length and salt. A length has up to SALTS salts, and more beyond PER_SALT pieces for each.
 3. The plan is made on the histogram. Large lengths are sorted and cut into groups of equal cardinality, and
    each is rounded up to its group's largest. For these few sizes, configurations (how many of each size fill a
    sequence) are optimised as a linear programme by column generation, whole multiples are taken and the rest
@@ -34,8 +34,8 @@ from heronlake.llm.common import Written, map_batches, table
 
 LENGTH = 2048
 END_ID = 0
-#: Pieces of one length that one task ranks, about.
-PER_SALT = 200_000
+#: Salts of a frequent length at least (a rare one has fewer), and pieces of one length that one task ranks at most, about.
+SALTS, PER_SALT = 64, 200_000
 #: A worker remembers the words of its last tables, two of about so many words each.
 MAX_WORDS = 900_000
 #: Bytes that one of the two tables holds at most, and the length of words that are kept.
@@ -286,12 +286,13 @@ def pack(piece_table: DataFrame, length: int = LENGTH, per_salt: int = PER_SALT)
     spark = piece_table.sparkSession
     counts = {r["length"]: r["count"] for r in piece_table.groupBy("length").count().collect()}  # at most `length` rows
     places = sorted(best_plan(counts, length).rows)
-    salts = np.array([-(-counts.get(n, 0) // per_salt) for n in range(length + 1)], np.int64)
+    many = np.array([counts.get(n, 0) for n in range(length + 1)], np.int64)
+    salts = np.maximum(np.minimum(-(-many // SALTS), SALTS), -(-many // per_salt))
     first = np.concatenate(([0], np.cumsum(salts)))  # where a length's salts begin
     how_many = F.get(F.array(*(F.lit(max(1, int(s))) for s in salts)), F.col("length").cast("int"))
     salted = piece_table.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), how_many).cast("int"))
     base = np.zeros(int(first[-1]) + 1, np.int64)
-    if salts.max(initial=0) > 1:  # ranks of a salt start where those before it end; one row for each PER_SALT pieces
+    if salts.max(initial=0) > 1:  # ranks of a salt start where those before it end; at most SALTS rows a length, and one for each PER_SALT pieces
         at: dict[int, int] = defaultdict(int)
         for r in sorted(salted.groupBy("length", "salt").count().collect(), key=lambda r: (r["length"], r["salt"])):
             base[first[r["length"]] + r["salt"]] = at[r["length"]]
