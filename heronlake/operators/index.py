@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronlake.functions.text import tokens
-from heronlake.operators.retrieval import KEYWORD_K, VECTOR_K, _blocks, cover_density, few_terms, positions, query_terms, top
+from heronlake.operators.retrieval import KEYWORD_K, VECTOR_K, _blocks, cover_density, few_terms, query_terms, top
 
 #: Folders of an inverted index; a term lies in one of them.
 BUCKETS = 64
@@ -20,6 +20,29 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def all_positions(entries: DataFrame, text_col: str, keep: list[str], split: Callable[[Column], Column] = tokens) -> DataFrame:
+    """As retrieval.positions, for all terms: an entry's tokens are split natively and gathered by term within its own row, in Arrow batches, without a shuffle."""
+    cols = list(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                rows, terms, places = [], [], []
+                for k, words in enumerate(part.column(len(cols)).to_pylist()):
+                    found: dict[str, list[int]] = {}
+                    for n, w in enumerate(words or ()):
+                        found.setdefault(w, []).append(n)
+                    rows += [k] * len(found)
+                    terms += found
+                    places += found.values()
+                of = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(of) for c in range(len(cols))), pa.array(terms, pa.string()), pa.array(list(map(len, places)), pa.int32()), pa.array(places, pa.list_(pa.int32()))], [*cols, "term", "tf", "positions"])
+
+    kinds = ", ".join(f"`{c}` {entries.schema[c].dataType.simpleString()}" for c in cols)
+    return entries.select(*cols, split(F.col(text_col)).alias("_tokens")).mapInArrow(run, f"{kinds}, term string, tf int, positions array<int>")
+
+
 class Postings:
     """An inverted index on disk: (bucket, term, entry_id, [by], tf, positions), partitioned by bucket and sorted by term.
 
@@ -32,7 +55,7 @@ class Postings:
     @classmethod
     def build(cls, entries: DataFrame, path: str, text_col: str = "text", by: str | None = None, split: Callable[[Column], Column] = tokens) -> Postings:
         """Index entries (entry_id, [by], text). Range partitions cut a frequent term's postings between tasks."""
-        rows = positions(entries, text_col, ["entry_id", *([by] if by else [])], split).withColumn("bucket", _bucket(F.col("term")))
+        rows = all_positions(entries, text_col, ["entry_id", *([by] if by else [])], split).withColumn("bucket", _bucket(F.col("term")))
         parts = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
         rows.repartitionByRange(parts, "bucket", "term", "entry_id").sortWithinPartitions("bucket", "term", "entry_id").write.partitionBy("bucket").parquet(path)
         return cls(entries.sparkSession, path, by, split)
