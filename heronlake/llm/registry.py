@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heronlake.llm import best_fit_packing, chat_format, language_id, line_dedup, media_copies, piece_codec, quality_classifier, quality_rules, simhash_neardup, spelling_variants, token_files, url_filters
+from heronlake.llm import best_fit_packing, chat_format, hard_negatives, language_id, line_dedup, media_copies, piece_codec, quality_classifier, quality_rules, simhash_neardup, spelling_variants, token_files, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_spelling_variants": spelling_variants.op12_spelling_variants,
     "op13_token_files": token_files.op13_token_files,
 }
