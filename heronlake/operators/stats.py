@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronlake.operators.ancestry import creates_cycle, prunable  # noqa: F401  questions about trees are asked here
+
 PAGE_LIMIT = 200
 MAX_DEPTH = 64
 
@@ -115,41 +117,6 @@ def child_counts(nodes: DataFrame) -> DataFrame:
     return nodes.where("node_type = 'folder'").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_children"))
 
 
-def creates_cycle(nodes: DataFrame, moves: DataFrame) -> DataFrame:
-    """(move_id, cycle): whether a node would come to lie under itself. moves: move_id, id, new_parent_id.
-
-    Only the ways up from the new parents are walked, each until it meets the moved node or a root.
-    """
-    n, m = _view(nodes.select("id", "parent_id")), _view(moves.select("move_id", "id", "new_parent_id"))
-    met = nodes.sparkSession.sql(f"""
-        WITH RECURSIVE up(move_id, id, above, level) AS (
-            SELECT move_id, id, new_parent_id, 0 FROM {m} WHERE new_parent_id IS NOT NULL
-            UNION ALL
-            SELECT up.move_id, up.id, n.parent_id, up.level + 1 FROM up JOIN {n} n ON n.id = up.above
-            WHERE up.above <> up.id AND n.parent_id IS NOT NULL AND up.level <= {MAX_DEPTH})
-        SELECT move_id FROM up WHERE above = id LIMIT ALL""")
-    return moves.select("move_id").join(met.distinct().withColumn("_met", F.lit(True)), "move_id", "left").select("move_id", F.col("_met").isNotNull().alias("cycle"))
-
-
-def prunable(nodes: DataFrame, missing: DataFrame) -> DataFrame:
-    """Missing folders with nothing under them that is a file or a folder still there. missing: id.
-
-    From every node that stays, the way up is walked through missing folders only; these are held.
-    """
-    gone = missing.select("id", F.lit(True).alias("gone"))
-    state = nodes.join(gone, "id", "left").select("id", "parent_id", "node_type", F.coalesce("gone", F.lit(False)).alias("gone"))
-    folders = state.where("gone and node_type = 'folder'").select("id", "parent_id")
-    f = _view(folders)
-    first = _view(state.where("node_type = 'file' or not gone").select(F.col("parent_id").alias("id")).distinct().join(folders.select("id"), "id", "left_semi"))
-    held = nodes.sparkSession.sql(f"""
-        WITH RECURSIVE held(id, level) AS (
-            SELECT id, 0 FROM {first}
-            UNION ALL
-            SELECT p.id, held.level + 1 FROM held JOIN {f} f ON f.id = held.id JOIN {f} p ON p.id = f.parent_id WHERE held.level <= {MAX_DEPTH})
-        SELECT id FROM held LIMIT ALL""")
-    return folders.select("id").join(held.distinct(), "id", "left_anti")
-
-
 def parents_of(remote: DataFrame, known: DataFrame, root: Column) -> DataFrame:
     """(token, parent_node_id, outcome) of remote nodes: the node of the parent token, the root where there is none, or outcome `failed` if the parent isn't known.
 

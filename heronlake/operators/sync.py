@@ -155,9 +155,10 @@ def idempotent(requests: DataFrame) -> DataFrame:
 
 
 def expired(entries: DataFrame, staging_before: Column, retired_before: Column, batch: int = 1000) -> DataFrame:
-    """Entries to clean up, oldest first, one batch: staging or failed before one time, retired before another."""
-    old = (F.col("state").isin("staging", "failed") & (F.col("created_at") < staging_before)) | ((F.col("state") == "retired") & (F.col("retired_at") < retired_before))
-    return entries.where(old).orderBy("created_at", "id").limit(batch)
+    """Entries to clean up, oldest first, one batch: staging or failed before one time, retired before another. An entry's age counts from its retirement, or from its creation where it has none."""
+    since = F.coalesce("retired_at", "created_at")
+    old = (F.col("state").isin("staging", "failed") & (F.col("created_at") < staging_before)) | ((F.col("state") == "retired") & (since < retired_before))
+    return entries.where(old).orderBy(since, "id").limit(batch)
 
 
 def expired_by_budget(entries: DataFrame, generations: DataFrame, bases: DataFrame, staging_before: Column, retired_before: Column, batch: int = 1000) -> tuple[DataFrame, DataFrame]:

@@ -283,12 +283,12 @@ def cleanup_delete(spark, sf):
     return e.select(F.lit("entry").alias("kind"), "id").unionByName(g.select(F.lit("generation").alias("kind"), F.col("generation_id").alias("id")))
 
 
-@query("""WITH x AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'retired' ELSE 'published' END AS state, o_orderdate AS d FROM orders), gone AS (SELECT id FROM x WHERE state = 'retired' AND d < TIMESTAMP '1996-01-01' ORDER BY d, id LIMIT 100),
+@query("""WITH x AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'retired' ELSE 'published' END AS state, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate ELSE o_orderdate + to_days((o_orderkey % 400)::INTEGER) END AS d FROM orders), gone AS (SELECT id FROM x WHERE state = 'retired' AND d < TIMESTAMP '1996-01-01' ORDER BY d, id LIMIT 100),
 g AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey % 50, c_custkey) AS n FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 10 <> 0)
 SELECT 'entry' AS kind, id FROM gone UNION ALL SELECT 'generation', id FROM g WHERE n <= 100 - (SELECT count(*) FROM gone)""")
 def cleanup_budget(spark, sf):
     o = table(spark, sf, "orders")
-    e = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "retired").otherwise("published").alias("state"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("retired_at"))
+    e = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "retired").otherwise("published").alias("state"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate") + F.make_dt_interval(days=(F.col("o_orderkey") % 400).cast("int"))).alias("retired_at"))
     k = F.col("c_custkey")
     g = table(spark, sf, "customer").where(k % 2 == 0).select(k.alias("generation_id"), F.lit("retired").alias("status"), F.timestamp_seconds(k % 50).alias("retired_at"))
     b = table(spark, sf, "customer").where(k % 10 == 0).select(k.alias("active_generation_id"))

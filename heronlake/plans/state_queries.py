@@ -109,23 +109,41 @@ def tree_paths(spark, sf):
     return S.tree_paths(_tree(spark, sf))
 
 
-_ABOVE = "up(id, a) AS (SELECT id, parent_id FROM tree WHERE parent_id IS NOT NULL UNION SELECT up.id, t.parent_id FROM up JOIN tree t ON t.id = up.a WHERE t.parent_id IS NOT NULL)"
+# Below the tree hangs a chain of folders as long as there are suppliers: c<k> lies in c<k - 1>, and c0 in the root.
+_DEEP = f"""{_TREE}, deep AS (SELECT * FROM tree UNION ALL SELECT 'c' || s_suppkey, CASE WHEN s_suppkey = 0 THEN 'root' ELSE 'c' || (s_suppkey - 1) END, 'chain', 'folder' FROM supplier)"""
 
 
-@query(f"""WITH RECURSIVE {_TREE}, {_ABOVE}, m AS (SELECT id AS move_id, 'r' || (length(id) % 5) AS id, id AS target FROM tree)
-SELECT move_id, (m.id = target OR EXISTS (SELECT 1 FROM up WHERE up.id = target AND up.a = m.id)) AS cycle FROM m""")
+def _deep(spark, sf):
+    k = F.col("s_suppkey")
+    chain = table(spark, sf, "supplier").select(F.concat(F.lit("c"), k), F.when(k == 0, "root").otherwise(F.concat(F.lit("c"), k - 1)), F.lit("chain"), F.lit("folder"))
+    return _tree(spark, sf).union(chain)
+
+
+@query(f"""WITH RECURSIVE {_DEEP}, up(id, a) AS (SELECT id, parent_id FROM tree WHERE parent_id IS NOT NULL UNION SELECT up.id, t.parent_id FROM up JOIN tree t ON t.id = up.a WHERE t.parent_id IS NOT NULL),
+m AS (SELECT id AS move_id, 'r' || (length(id) % 5) AS id, id AS target FROM tree)
+SELECT move_id, (m.id = target OR EXISTS (SELECT 1 FROM up WHERE up.id = target AND up.a = m.id)) AS cycle FROM m
+UNION ALL SELECT 'down ' || s_suppkey, s_suppkey % 5 < 3 FROM supplier UNION ALL SELECT 'up ' || s_suppkey, false FROM supplier WHERE s_suppkey > 0""")
 def tree_cycle_check(spark, sf):
+    """The tree's nodes under regions; each chain folder under the chain's end (a cycle), under the root or a file's folder (none), and under the folder above it (none)."""
     t = _tree(spark, sf)
+    k = F.col("s_suppkey")
+    s = table(spark, sf, "supplier").select("s_suppkey", F.lit(1).alias("one"))
+    end = s.agg(F.max("s_suppkey").alias("end")).select("end", F.lit(1).alias("one"))
     moves = t.select(F.col("id").alias("move_id"), F.concat(F.lit("r"), (F.length("id") % 5).cast("string")).alias("m"), F.col("id").alias("new_parent_id"))
-    return S.creates_cycle(t, moves.withColumnRenamed("m", "id"))
+    down = s.join(F.broadcast(end), "one").select(F.concat(F.lit("down "), k), F.concat(F.lit("c"), k), F.when(k % 5 < 3, F.concat(F.lit("c"), F.col("end"))).when(k % 5 == 3, F.lit("root")).otherwise("n1"))
+    up = s.where("s_suppkey > 0").select(F.concat(F.lit("up "), k), F.concat(F.lit("c"), k), F.concat(F.lit("c"), k - 1))
+    return S.creates_cycle(_deep(spark, sf), moves.union(down).union(up).withColumnRenamed("m", "id"))
 
 
-@query(f"""WITH RECURSIVE {_TREE}, {_ABOVE}, gone AS (SELECT id FROM tree WHERE id <> 'root' AND (node_type = 'folder' OR length(id) > 2)),
+@query(f"""WITH RECURSIVE {_DEEP}, up(id, a) AS (SELECT id, parent_id FROM tree WHERE parent_id IS NOT NULL UNION SELECT up.id, t.parent_id FROM up JOIN tree t ON t.id = up.a WHERE t.parent_id IS NOT NULL), gone AS (SELECT id FROM tree WHERE id <> 'root' AND (node_type = 'folder' OR length(id) > 2)),
 alive AS (SELECT id FROM tree WHERE (node_type = 'file' AND parent_id IN ('n1', 'n4', 'n7')) OR (node_type = 'folder' AND id NOT IN (SELECT id FROM gone)))
-SELECT id FROM tree WHERE node_type = 'folder' AND id IN (SELECT id FROM gone) AND id NOT IN (SELECT a FROM up JOIN alive USING (id))""")
+SELECT id FROM tree WHERE node_type = 'folder' AND id IN (SELECT id FROM gone) AND id NOT IN (SELECT a FROM up JOIN alive USING (id))
+UNION ALL SELECT 'c' || s_suppkey FROM supplier WHERE s_suppkey > (SELECT max(s_suppkey) - 5 FROM supplier)""")
 def tree_prunable(spark, sf):
-    t = _tree(spark, sf).where("node_type = 'folder' or parent_id in ('n1', 'n4', 'n7')")  # other files are gone already
-    return S.prunable(t, t.where("id <> 'root' and (node_type = 'folder' or length(id) > 2)").select("id"))
+    """All chain folders are missing; a file lies five levels above the chain's end, and holds those above it."""
+    t = _deep(spark, sf).where("node_type = 'folder' or parent_id in ('n1', 'n4', 'n7')")  # other files are gone already
+    file = table(spark, sf, "supplier").agg(F.max("s_suppkey").alias("end")).select(F.lit("held"), F.concat(F.lit("c"), F.col("end") - 5), F.lit("file"), F.lit("file"))
+    return S.prunable(t.union(file), t.where("id <> 'root' and (node_type = 'folder' or length(id) > 2)").select("id"))
 
 
 def _remote(o):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heronlake.operators.ancestry import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,13 +23,8 @@ def _index(spark: SparkSession, sf_dir: str, name: str, make) -> object:
 
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _indexes:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = f"file://{tempfile.mkdtemp(prefix='heronlake-index-')}"
         rows, by = make()
-        _indexes[key] = Postings.build(rows, f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}", "text", by)
+        _indexes[key] = Postings.build(rows, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", "text", by)
     return _indexes[key]
 
 

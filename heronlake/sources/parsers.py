@@ -78,7 +78,7 @@ def _text_of(content: bytes) -> str:
 # --- plain text ----------------------------------------------------------------------------------------------------------
 
 _INLINE = re.compile(r"([\\`*_\[\]<>|~])")
-_MARKER = re.compile(r"( {0,3})(#{1,6}(?:[ \t]|$)|[-+][ \t]|[0-9]{1,9}[.)][ \t]|=+[ \t]*$|(?:[ \t]*-){3}[-\t ]*$)")
+_MARKER = re.compile(r"( {0,3})(#{1,6}(?:[ \t]|$)|[-+](?:[ \t]|$)|[0-9]{1,9}[.)](?:[ \t]|$)|=+[ \t]*$|(?:[ \t]*-){3}[-\t ]*$)")
 
 
 def escape_line(line: str) -> str:
