@@ -6,8 +6,8 @@
 3. The plan is made on the histogram. Large lengths are sorted and cut into groups of equal cardinality, and
    each is rounded up to its group's largest. For these few sizes, configurations (how many of each size fill a
    sequence) are optimised as a linear programme by column generation, whole multiples are taken and the rest
-   is packed by best fit. The slots of each configuration then take actual lengths of their group,
-   largest first, and small lengths go, largest first, to the sequences with the tightest room that holds them.
+   is packed by best fit. The slots of each configuration then take actual lengths, largest first; the last two slots take
+   the pair of lengths that leaves the least room, so what rounding up lost is found again. Small lengths go, largest first, to the sequences with the tightest room that holds them.
    The plan lists, for each length, ranges of ranks and the sequences that they fill; its size
    follows the number of lengths and configurations, not of documents.
 4. Each piece gets its rank among those of its length: a row number within (length, salt of the document id and piece) plus the
@@ -99,11 +99,10 @@ class WordCoder:
         met = set().union(*split)
         if len(self.words) > MAX_WORDS or self.held > MAX_BYTES:
             self.words, self.older, self.held = self._start(), self.words, 0
-        met.difference_update(self.words)
+        met = {w for w in met if w not in self.words}  # set methods would go through the whole table
         if self.older:
-            again = met.intersection(self.older)
-            self.words.update(zip(again, map(self.older.__getitem__, again)))
-            met.difference_update(again)
+            self.words.update([(w, self.older[w]) for w in met if w in self.older])
+            met = {w for w in met if w not in self.words}
         if met:
             self._learn(met)
         known = self.words.__getitem__
@@ -227,8 +226,11 @@ class Plan:
     def _large(self, large: dict[int, int], groups: int) -> None:
         lengths = np.array(sorted(large), np.int64)
         have = np.array([large[n] for n in lengths], np.int64)
-        rank = have[::-1].cumsum()[::-1] - have  # of each length, how many are longer
-        group = rank // max(1, -(-int(have.sum()) // groups))
+        most, group, held = -(-int(have.sum()) // groups), np.zeros(len(lengths), np.int64), 0
+        for i in reversed(range(len(lengths) - 1)):  # from the longest; a frequent length has a group of its own, and so has each where they are few
+            held += have[i + 1]
+            new = len(lengths) <= groups or held + have[i] > most
+            group[i], held = group[i + 1] + new, 0 if new else held
         sizes = [int(lengths[group == g].max()) for g in np.unique(group)]
         counts = [int(have[group == g].sum()) for g in np.unique(group)]
         for config, used in sorted(configurations(sizes, counts, self.capacity), key=lambda x: -x[1]):
@@ -237,28 +239,53 @@ class Plan:
                 self._fill([s for s, k in zip(sizes, config, strict=True) for _ in range(k)], whole, lengths, have)
 
     def _fill(self, slots: list[int], many: int, lengths: np.ndarray, have: np.ndarray) -> None:
-        """A configuration's sequences: each slot takes the largest length left up to its size, the last one up to the room left."""
+        """A configuration's sequences: each slot but the last two takes the largest length left up to its size, and those two take what fills the room best."""
         states = [(self._new(many), self.capacity)]
-        for slot, size in enumerate(slots):
+        for size in slots[:-2]:
             out = []
             for (first, n), room in states:
-                while n:
-                    fit = np.flatnonzero(have[: np.searchsorted(lengths, room if slot == len(slots) - 1 else size, "right")])
-                    if not len(fit):
-                        break
-                    length, take = int(lengths[fit[-1]]), min(n, int(have[fit[-1]]))
-                    at = self.taken[length]
-                    self.rows.append((length, at, at + take, 1, first, self.capacity - room))
-                    self.taken[length] += take
-                    have[fit[-1]] -= take
+                while n and have[: (top := np.searchsorted(lengths, size, "right"))].any():
+                    length = int(lengths[np.flatnonzero(have[:top])[-1]])
+                    take = min(n, int(have[np.searchsorted(lengths, length)]))
+                    self._take(length, take, first, room, lengths, have)
                     out.append(((first, take), room - length))
                     first, n = first + take, n - take
                 if n:
                     out.append(((first, n), room))
             states = out
-        for run, room in states:
-            if room:
-                self.open[room].append(run)
+        for (first, n), room in states:
+            while n and (ends := self._ends(slots[-2:], room, lengths, have)):
+                take = min(n, *(int(have[np.searchsorted(lengths, x)]) // ends.count(x) for x in ends))
+                left = room
+                for x in ends:
+                    self._take(x, take, first, left, lengths, have)
+                    left -= x
+                if left:
+                    self.open[left].append((first, take))
+                first, n = first + take, n - take
+            if n:
+                self.open[room].append((first, n))
+
+    def _take(self, length: int, many: int, first: int, room: int, lengths: np.ndarray, have: np.ndarray) -> None:
+        """One piece of a length for each of `many` sequences, which have `room` left."""
+        at = self.taken[length]
+        self.rows.append((length, at, at + many, 1, first, self.capacity - room))
+        self.taken[length] += many
+        have[np.searchsorted(lengths, length)] -= many
+
+    @staticmethod
+    def _ends(sizes: list[int], room: int, lengths: np.ndarray, have: np.ndarray) -> list[int]:
+        """Lengths for the last one or two slots that leave the least room: the first of two up to its size, the other any. Of equals, those with the largest first one."""
+        left = lengths[(have > 0) & (lengths <= room)]
+        first = left[left <= sizes[0]] if len(sizes) > 1 else left[:0]
+        if not len(first):
+            return [int(left[-1])] if len(left) else []
+        other = np.searchsorted(left, room - first, "right") - 1  # the largest that still fits beside it
+        twice = (other >= 0) & (left[other] == first)
+        other -= twice & (have[np.searchsorted(lengths, first)] < 2)
+        total = first + np.where(other >= 0, left[other], 0)
+        k = len(total) - 1 - int(total[::-1].argmax())
+        return [int(first[k]), *([int(left[other[k]])] if other[k] >= 0 else [])]
 
     def _best_fit(self, length: int, many: int) -> None:
         rooms = sorted(r for r in self.open if r >= length and self.open[r])
@@ -276,16 +303,11 @@ class Plan:
             self._put(length, many, self._new(-(-many // per)), per)
 
 
-def best_plan(counts: dict[int, int], capacity: int = LENGTH) -> Plan:
-    """The plan by linear grouping, or where rounding up loses more than it finds (few pieces) that of best fit alone: the one with fewer sequences."""
-    return min((Plan(counts, capacity), Plan(counts, capacity, small=capacity)), key=lambda p: p.sequences)
-
-
 def pack(piece_table: DataFrame, length: int = LENGTH, per_salt: int = PER_SALT) -> DataFrame:
     """Adds sequence_id and offset to written pieces (doc_id, piece, length, ...)."""
     spark = piece_table.sparkSession
     counts = {r["length"]: r["count"] for r in piece_table.groupBy("length").count().collect()}  # at most `length` rows
-    places = sorted(best_plan(counts, length).rows)
+    places = sorted(Plan(counts, length).rows)
     many = np.array([counts.get(n, 0) for n in range(length + 1)], np.int64)
     salts = np.maximum(np.minimum(-(-many // SALTS), SALTS), -(-many // per_salt))
     first = np.concatenate(([0], np.cumsum(salts)))  # where a length's salts begin

@@ -109,10 +109,10 @@ def test_components_of_chains(spark):
 @example({8: 16, 9: 80, 13: 1})
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 80), max_size=40))
 def test_plan(counts):
-    plan = best_fit_packing.best_plan(counts, 60)
+    plan = best_fit_packing.Plan(counts, 60)
     seqs, seen = collections.defaultdict(list), collections.Counter()
     for n, a, b, per, s, o in plan.rows:
-        assert a == seen[n] or True
+        assert a == seen[n]
         seen[n] += b - a
         for k in range(b - a):
             seqs[s + k // per].append((o + k % per * n, n))
@@ -135,6 +135,16 @@ def test_plan(counts):
     assert len(seqs) <= best * 1.05 + 2
 
 
+@pytest.mark.parametrize("times", [1, 100])
+def test_grouping_needs_no_more_than_best_fit(spark, times):
+    """On the lengths of sf0.1, linear grouping takes no more sequences than best fit of all lengths, and at most 2 in 10,000 over what the tokens fill."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents").repartition(4)
+    counts = {r["length"]: times * r["count"] for r in best_fit_packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")).groupBy("length").count().collect()}
+    grouped = best_fit_packing.Plan(counts).sequences
+    assert grouped <= best_fit_packing.Plan(counts, small=best_fit_packing.LENGTH).sequences
+    assert grouped <= 1.0002 * sum(n * k for n, k in counts.items()) / best_fit_packing.LENGTH + 1
+
+
 def test_packing_ids(spark):
     from tokenizers import Tokenizer
 
