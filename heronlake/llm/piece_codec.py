@@ -146,7 +146,7 @@ class PieceCodec:
         met = set().union(*split)
         if len(self.parts) > MAX_PARTS or self.held > MAX_BYTES:
             self.parts, self.held = {}, 0
-        met.difference_update(self.parts)
+        met = {p for p in met if p not in self.parts}  # set methods would go through the whole table
         self.learn(met)
         known = self.parts.__getitem__
         out = [np.frombuffer(b"".join(map(known, parts)), np.uint32) for parts in split]
