@@ -81,35 +81,88 @@ def activate_generations(bases: DataFrame, generations: DataFrame, chunk_sets: D
     return new_bases, new_generations, new_sets, done.select("request_id", "outcome")
 
 
-def publish_documents(bases: DataFrame, documents: DataFrame, chunks: DataFrame, entries: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(bases, documents, entries, outcomes) after documents are published in their base's active generation.
+#: The counters that a generation keeps of what it holds.
+COUNTERS = ["document_count", "chunk_count", "indexed_count", "manual_edit_count", "disabled_chunk_count"]
 
-    `published` needs the generation to be the active one (else `stale`) and a good staged entry for each enabled chunk of the revision (else `conflict`): then what
-    the document had published retires, what it had staged goes live, its active revision switches, and the base's content version grows by one a document.
-    bases: kb_id, active_generation_id, content_version; documents: document_id, kb_id, active_revision_id; chunks: chunk_id, document_id, revision_id, enabled, role;
-    entries: document_id, generation_id, chunk_id, state, embedding, dimension, search_content, published_at, retired_at; requests: request_id, document_id, revision_id, generation_id, at.
+
+def _chunk_facts(sign: int) -> list[Column]:
+    """What a document's chunks add to the counters (sign 1) or take away (-1)."""
+    one = F.lit(sign).cast("long")
+    return [one.alias("chunk_count"), F.when(F.col("edit_source") == "user", one).otherwise(0).alias("manual_edit_count"), F.when(~F.col("enabled"), one).otherwise(0).alias("disabled_chunk_count")]
+
+
+def publish_documents(bases: DataFrame, documents: DataFrame, generations: DataFrame, chunks: DataFrame, entries: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
+    """Documents are published in their base's active generation: new bases, documents, generations, chunks and entries, and outcomes, by these names.
+
+    Outcomes, the first that holds: `not_found` (the document, its base, or the generation, which must be ready or building); `invalid` (the base has no active
+    generation); `stale` (the request's generation isn't the active one, or has another content version than the base); `invalid` (there must be as many staged entries of the document in the
+    generation as the revision has enabled child or flat chunks, each of one of these and of its chunk revision); `conflict` (a staged entry has no vector of its dimension or no indexed text; a second
+    request for the document); `published`. Then what the document had published in the generation retires, exactly the entries that were checked go live, the revision's chunks switch to
+    their new revisions, the document's active revision switches, and base and generation both count one content version more for each document. The
+    generation's counters move by the differences alone: what its documents' old chunks and entries counted goes, what the new ones count comes.
+
+    bases: kb_id, active_generation_id, content_version; documents: document_id, kb_id, active_revision_id; generations: generation_id, kb_id, status, indexed_content_version and COUNTERS; chunks:
+    chunk_id, document_id, revision_id (the document's revision that they cut), new_revision_id, active_revision_id (of the chunk), enabled, role, edit_source; entries: entry_id, document_id, generation_id,
+    chunk_id, chunk_revision_id, state, embedding, dimension, search_content, published_at, retired_at; requests: request_id, document_id, revision_id, generation_id (null: the active one), at.
     """
-    want = chunks.where("enabled and role in ('child', 'flat')").select("document_id", "revision_id", "chunk_id")
-    have = entries.where("state = 'staging'").where(good_entry()).select("document_id", "generation_id", "chunk_id", F.lit(True).alias("_have")).distinct()
-    r = _turn(requests, ["document_id"]).join(documents.select("document_id", "kb_id"), "document_id", "left").join(bases.select("kb_id", F.col("active_generation_id").alias("_active")), "kb_id", "left")
-    need = r.select("request_id", "document_id", "revision_id", "generation_id").join(want, ["document_id", "revision_id"]).join(have, ["document_id", "generation_id", "chunk_id"], "left")
-    missing = need.groupBy("request_id").agg(F.count_if(F.col("_have").isNull()).alias("_missing"))
-    r = r.join(missing, "request_id", "left")
-    outcome = F.when(F.col("kb_id").isNull(), "not_found").when(~F.col("generation_id").eqNullSafe(F.col("_active")), "stale").when((F.col("_missing") > 0) | (F.col("_turn") > 1), "conflict").otherwise("published")
-    done = r.select("request_id", "kb_id", "document_id", "revision_id", "generation_id", "at", outcome.alias("outcome"))
+    b = bases.select("kb_id", F.col("active_generation_id").alias("_active"), F.col("content_version").alias("_version"), F.lit(True).alias("_base"))
+    g = generations.where("status in ('ready', 'building')").select("generation_id", "kb_id", F.col("indexed_content_version").alias("_indexed"), F.lit(True).alias("_generation"))
+    d = documents.select("document_id", "kb_id", F.col("active_revision_id").alias("_old"))
+    r = _turn(requests, ["document_id"]).join(d, "document_id", "left").join(b, "kb_id", "left")
+    r = r.withColumn("generation_id", F.coalesce("generation_id", "_active")).join(g, ["generation_id", "kb_id"], "left")
+    want = chunks.where("enabled and coalesce(role, 'flat') in ('child', 'flat')").select("document_id", "revision_id", "chunk_id", F.col("new_revision_id").alias("chunk_revision_id"), F.lit(True).alias("_wanted"))
+    asked = r.select("request_id", "document_id", "revision_id", "generation_id")
+    expected = asked.join(want, ["document_id", "revision_id"]).groupBy("request_id").agg(F.count("*").alias("_expected"))
+    staged = asked.join(entries.where("state = 'staging'").select("entry_id", "document_id", "generation_id", "chunk_id", "chunk_revision_id", good_entry().alias("_good")), ["document_id", "generation_id"])
+    held = staged.join(want, ["document_id", "revision_id", "chunk_id", "chunk_revision_id"], "left")
+    found = held.groupBy("request_id").agg(F.count("*").alias("_staged"), F.count_distinct(F.when(F.col("_wanted"), F.col("chunk_id"))).alias("_matched"), F.count_if(~F.coalesce("_good", F.lit(False))).alias("_broken"))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    r = r.join(expected, "request_id", "left").join(found, "request_id", "left")
+    outcome = (
+        F.when(F.col("_base").isNull(), "not_found").when(F.col("_active").isNull(), "invalid").when(F.col("generation_id") != F.col("_active"), "stale").when(F.col("_generation").isNull(), "not_found")
+        .when(~F.col("_indexed").eqNullSafe(F.col("_version")), "stale").when((n("_expected") != n("_staged")) | (n("_expected") != n("_matched")), "invalid")
+        .when((n("_broken") > 0) | (F.col("_turn") > 1), "conflict").otherwise("published")
+    )
+    done = r.select("request_id", "kb_id", "document_id", "revision_id", "generation_id", "_old", "at", outcome.alias("outcome"))
     good = done.where("outcome = 'published'")
     event = good.select("document_id", F.col("revision_id").alias("_revision"), F.col("generation_id").alias("_generation"), F.col("at").alias("_at"))
+
     new_documents = _set(documents.join(event, "document_id", "left"), active_revision_id=F.coalesce("_revision", "active_revision_id")).select(*documents.columns)
-    e = entries.join(event, "document_id", "left")
-    hit = F.col("generation_id").eqNullSafe(F.col("_generation")) & F.col("_at").isNotNull()
-    goes, ends = hit & (F.col("state") == "staging"), hit & (F.col("state") == "published")
+    switches = F.col("_revision") == F.col("revision_id")
+    new_chunks = _set(chunks.join(event, "document_id", "left"), active_revision_id=F.when(switches, F.col("new_revision_id")).otherwise(F.col("active_revision_id"))).select(*chunks.columns)
+    live = held.where("_wanted").join(good.select("request_id"), "request_id", "left_semi").select("entry_id", F.lit(True).alias("_goes"))
+    e = entries.join(event, "document_id", "left").join(live, "entry_id", "left")
+    goes = F.coalesce("_goes", F.lit(False))
+    ends = F.col("generation_id").eqNullSafe(F.col("_generation")) & F.col("_at").isNotNull() & (F.col("state") == "published")
     new_entries = _set(
         e, state=F.when(goes, "published").when(ends, "retired").otherwise(F.col("state")), published_at=F.when(goes, F.col("_at")).otherwise(F.col("published_at")),
-        retired_at=F.when(ends, F.col("_at")).otherwise(F.col("retired_at")),
+        retired_at=F.when(goes, F.lit(None)).when(ends, F.col("_at")).otherwise(F.col("retired_at")),
     ).select(*entries.columns)
+
+    first = good.select("generation_id", F.when(F.col("_old").isNull(), 1).otherwise(0).cast("long").alias("document_count"))
+    before = good.join(chunks, (chunks["document_id"] == good["document_id"]) & (chunks["revision_id"] == good["_old"])).select("generation_id", *_chunk_facts(-1))
+    after = good.join(chunks, (chunks["document_id"] == good["document_id"]) & (chunks["revision_id"] == good["revision_id"])).select("generation_id", *_chunk_facts(1))
+    moved = new_entries.select("entry_id", F.col("state").alias("_now")).join(entries.select("entry_id", "generation_id", "state"), "entry_id").where("(_now = 'published') <> (state = 'published')")
+    indexed = moved.select("generation_id", F.when(F.col("_now") == "published", 1).otherwise(-1).cast("long").alias("indexed_count"))
+    delta = first.unionByName(before, True).unionByName(after, True).unionByName(indexed, True).groupBy("generation_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"_{c}") for c in COUNTERS))
+    steps = good.groupBy("generation_id").agg(F.count("*").alias("_steps"))
+    new_generations = _set(
+        generations.join(delta, "generation_id", "left").join(steps, "generation_id", "left"),
+        indexed_content_version=F.col("indexed_content_version") + F.coalesce("_steps", F.lit(0)), **{c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in COUNTERS},
+    ).select(*generations.columns)
     more = good.groupBy("kb_id").agg(F.count("*").alias("_more"))
     new_bases = _set(bases.join(more, "kb_id", "left"), content_version=F.col("content_version") + F.coalesce("_more", F.lit(0))).select(*bases.columns)
-    return new_bases, new_documents, new_entries, done.select("request_id", "outcome")
+    return {"bases": new_bases, "documents": new_documents, "generations": new_generations, "chunks": new_chunks, "entries": new_entries, "outcomes": done.select("request_id", "outcome")}
+
+
+def recount(generations: DataFrame, documents: DataFrame, chunks: DataFrame, entries: DataFrame) -> DataFrame:
+    """(generation_id and COUNTERS) from the facts themselves: the documents of its base with an active revision, their chunks, and its published entries. Tables as in publish_documents."""
+    active = documents.where("active_revision_id is not null").select("kb_id", "document_id", F.col("active_revision_id").alias("revision_id"))
+    d = active.groupBy("kb_id").agg(F.count("*").alias("document_count"))
+    c = active.join(chunks, ["document_id", "revision_id"]).select("kb_id", *_chunk_facts(1)).groupBy("kb_id").agg(*(F.sum(x).alias(x) for x in COUNTERS if x not in ("document_count", "indexed_count")))
+    e = entries.where("state = 'published'").groupBy("generation_id").agg(F.count("*").alias("indexed_count"))
+    out = generations.select("generation_id", "kb_id").join(d, "kb_id", "left").join(c, "kb_id", "left").join(e, "generation_id", "left")
+    return out.select("generation_id", *(F.coalesce(x, F.lit(0)).alias(x) for x in COUNTERS))
 
 
 def publish_edits(bases: DataFrame, chunks: DataFrame, entries: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -69,6 +69,13 @@ def generation_stats(documents: DataFrame, chunk_sets: DataFrame, chunks: DataFr
     return one.join(published, "kb_id", "left").withColumn("indexed_count", F.coalesce("indexed_count", F.lit(0)))
 
 
+def complete(stats: DataFrame) -> DataFrame:
+    """The rows of generation_stats, but the job ends with an error at a base whose projection is incomplete: chunk sets or revisions are missing, or more is indexed than there are chunks."""
+    bad = (F.col("missing_chunk_set_count") != 0) | (F.col("missing_revision_count") != 0) | (F.col("indexed_count") > F.col("chunk_count"))
+    said = F.format_string("incomplete projection of %s: missing_chunk_sets=%d missing_revisions=%d indexed=%d chunks=%d", F.col("kb_id").cast("string"), *(F.col(c) for c in ("missing_chunk_set_count", "missing_revision_count", "indexed_count", "chunk_count")))
+    return stats.withColumn("chunk_count", F.when(bad, F.raise_error(said).cast("long")).otherwise(F.col("chunk_count")))
+
+
 def _view(df: DataFrame) -> str:
     """df under a view name of its own."""
     name = f"heronlake_{uuid.uuid4().hex}"

@@ -110,37 +110,60 @@ def activate_generation_state(spark, sf):
     return row(b, "base", "kb_id", "active_generation_id").unionByName(row(g, "generation", "generation_id", "status")).unionByName(row(s, "chunk_set", "chunk_set_id", "status"))
 
 
-# Documents are customers, with one chunk for each of their orders; the active generation of a base is its own number.
-_PUB = """doc AS (SELECT c_custkey AS document_id, c_nationkey AS kb_id FROM customer), ent AS (SELECT o_orderkey AS chunk_id, o_custkey AS document_id, c_nationkey AS kb_id, CASE WHEN o_orderkey % 6 = 0 THEN 'published' ELSE 'staging' END AS state, o_orderkey % 61 <> 0 AS good, o_orderkey % 6 <> 0 AND o_orderkey % 10 <> 0 AS enabled FROM orders JOIN customer ON c_custkey = o_custkey),
-done AS (SELECT document_id, kb_id, CASE WHEN document_id % 9 = 0 THEN 'stale' WHEN EXISTS (SELECT 1 FROM ent WHERE ent.document_id = doc.document_id AND enabled AND NOT good) THEN 'conflict' ELSE 'published' END AS outcome FROM doc WHERE document_id % 2 = 0)"""
+# Documents are customers, with one chunk for each of their orders: those divisible by 6 were cut from revision 1, the others from revision 2. A base's active generation is its own number.
+# Staged entries: of some disabled chunks too (100), of a foreign chunk revision (41), without a vector (61); some generations are failed or behind their base.
+_PUB = """doc AS (SELECT c_custkey AS document_id, c_nationkey AS kb_id, CASE WHEN c_custkey % 5 <> 0 THEN 1 END AS old FROM customer),
+ch AS (SELECT o_orderkey AS chunk_id, o_custkey AS document_id, CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 2 END AS revision_id, o_orderkey % 10 <> 0 AS enabled, o_orderkey % 7 = 0 AS edited FROM orders),
+ent AS (SELECT chunk_id, document_id, kb_id, CASE WHEN revision_id = 1 THEN 'published' ELSE 'staging' END AS state, chunk_id % 41 = 0 AS foreign_, chunk_id % 61 <> 0 AS good, enabled FROM ch JOIN doc USING (document_id) WHERE enabled OR chunk_id % 100 = 0),
+gen AS (SELECT n_nationkey AS generation_id, CASE WHEN n_nationkey % 8 = 3 THEN 'failed' ELSE 'ready' END AS status, CASE WHEN n_nationkey % 7 = 5 THEN 0 ELSE 1 END AS indexed FROM nation),
+need AS (SELECT document_id, count(*) AS n FROM ch WHERE revision_id = 2 AND enabled GROUP BY 1),
+have AS (SELECT document_id, count(*) AS n, count(*) FILTER (enabled AND NOT foreign_) AS m, count(*) FILTER (NOT good) AS broken FROM ent WHERE state = 'staging' GROUP BY 1),
+done AS (SELECT doc.*, CASE WHEN doc.document_id % 9 = 0 THEN 'stale' WHEN status = 'failed' THEN 'not_found' WHEN indexed <> 1 THEN 'stale' WHEN coalesce(need.n, 0) <> coalesce(have.n, 0) OR coalesce(need.n, 0) <> coalesce(m, 0) THEN 'invalid'
+WHEN coalesce(broken, 0) > 0 THEN 'conflict' ELSE 'published' END AS outcome FROM doc JOIN gen ON generation_id = kb_id LEFT JOIN need USING (document_id) LEFT JOIN have USING (document_id) WHERE doc.document_id % 2 = 0)"""
 
 
 def _published(spark, sf):
     k = F.col("o_orderkey")
-    c = table(spark, sf, "customer")
-    docs = c.select(F.col("c_custkey").alias("document_id"), F.col("c_nationkey").cast("long").alias("kb_id"), F.lit(1).alias("active_revision_id"))
-    o = table(spark, sf, "orders")
-    chunks = o.select(k.alias("chunk_id"), F.col("o_custkey").alias("document_id"), F.lit(2).alias("revision_id"), ((k % 6 != 0) & (k % 10 != 0)).alias("enabled"), F.lit("child").alias("role"))
-    e = o.join(docs.select(F.col("document_id").alias("o_custkey"), "kb_id"), "o_custkey").select(
-        k.alias("chunk_id"), F.col("o_custkey").alias("document_id"), F.col("kb_id").alias("generation_id"), F.when(k % 6 == 0, "published").otherwise("staging").alias("state"), F.when(k % 61 != 0, F.array(F.lit(1.0))).alias("embedding"), F.lit(1).alias("dimension"),
-        F.lit("t").alias("search_content"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(None).cast("timestamp").alias("retired_at"),
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    docs = c.select(F.col("c_custkey").alias("document_id"), F.col("c_nationkey").cast("long").alias("kb_id"), F.when(F.col("c_custkey") % 5 != 0, 1).alias("active_revision_id"))
+    chunks = o.select(k.alias("chunk_id"), F.col("o_custkey").alias("document_id"), F.when(k % 6 == 0, 1).otherwise(2).alias("revision_id"), (k * 10).alias("new_revision_id"), F.when(k % 6 == 0, k * 10).alias("active_revision_id"), (k % 10 != 0).alias("enabled"), F.lit("child").alias("role"), F.when(k % 7 == 0, "user").otherwise("system").alias("edit_source"))
+    e = o.where("o_orderkey % 10 <> 0 or o_orderkey % 100 = 0").join(docs.select(F.col("document_id").alias("o_custkey"), "kb_id"), "o_custkey").select(
+        k.alias("entry_id"), k.alias("chunk_id"), (k * 10 + F.when(k % 41 == 0, 1).otherwise(0)).alias("chunk_revision_id"), F.col("o_custkey").alias("document_id"), F.col("kb_id").alias("generation_id"), F.when(k % 6 == 0, "published").otherwise("staging").alias("state"),
+        F.when(k % 61 != 0, F.array(F.lit(1.0))).alias("embedding"), F.lit(1).alias("dimension"), F.lit("t").alias("search_content"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(None).cast("timestamp").alias("retired_at"),
     )
-    asked = docs.where("document_id % 2 = 0").select(F.col("document_id").alias("request_id"), "document_id", F.lit(2).alias("revision_id"), F.when(F.col("document_id") % 9 == 0, F.lit(99).cast("long")).otherwise(F.col("kb_id")).alias("generation_id"), _at("2020-01-01").alias("at"))
-    return L.publish_documents(_bases(spark, sf), docs, chunks, e, asked)
+    n = F.col("n_nationkey").cast("long")
+    bare = table(spark, sf, "nation").select(n.alias("generation_id"), n.alias("kb_id"), F.when(n % 8 == 3, "failed").otherwise("ready").alias("status"), F.when(n % 7 == 5, 0).otherwise(1).cast("long").alias("indexed_content_version"))
+    asked = docs.where("document_id % 2 = 0").select(F.col("document_id").alias("request_id"), "document_id", F.lit(2).alias("revision_id"), F.when(F.col("document_id") % 9 == 0, F.lit(99).cast("long")).when(F.col("document_id") % 4 == 0, F.col("kb_id")).alias("generation_id"), _at("2020-01-01").alias("at"))
+    return L.publish_documents(_bases(spark, sf), docs, bare.join(L.recount(bare, docs, chunks, e), "generation_id"), chunks, e, asked)
 
 
 @query(f"WITH {_PUB} SELECT document_id AS request_id, outcome FROM done")
 def publish_document(spark, sf):
-    return _published(spark, sf)[3]
+    return _published(spark, sf)["outcomes"]
 
 
-@query(f"""WITH {_PUB} SELECT doc.document_id, CASE WHEN outcome = 'published' THEN 2 ELSE 1 END AS active_revision_id,
+@query(f"""WITH {_PUB} SELECT doc.document_id, CASE WHEN outcome = 'published' THEN 2 ELSE doc.old END AS active_revision_id,
 count(chunk_id) FILTER (CASE WHEN outcome = 'published' THEN state = 'staging' ELSE state = 'published' END) AS n_published, count(chunk_id) FILTER (outcome = 'published' AND state = 'published') AS n_retired,
-(1 + (SELECT count(*) FROM done d2 WHERE d2.kb_id = doc.kb_id AND d2.outcome = 'published'))::BIGINT AS content_version FROM doc LEFT JOIN done ON done.document_id = doc.document_id LEFT JOIN ent ON ent.document_id = doc.document_id GROUP BY doc.document_id, doc.kb_id, outcome""")
+(1 + (SELECT count(*) FROM done d2 WHERE d2.kb_id = doc.kb_id AND d2.outcome = 'published'))::BIGINT AS content_version FROM doc LEFT JOIN done ON done.document_id = doc.document_id LEFT JOIN ent ON ent.document_id = doc.document_id GROUP BY doc.document_id, doc.kb_id, doc.old, outcome""")
 def publish_document_state(spark, sf):
-    b, d, e, _ = _published(spark, sf)
-    n = e.groupBy("document_id").agg(F.count_if(F.col("state") == "published").alias("p"), F.count_if(F.col("state") == "retired").alias("r"))
-    return d.join(n, "document_id", "left").join(b, "kb_id").select("document_id", "active_revision_id", F.coalesce("p", F.lit(0)).alias("n_published"), F.coalesce("r", F.lit(0)).alias("n_retired"), F.col("content_version").cast("long").alias("content_version"))
+    out = _published(spark, sf)
+    n = out["entries"].groupBy("document_id").agg(F.count_if(F.col("state") == "published").alias("p"), F.count_if(F.col("state") == "retired").alias("r"))
+    return out["documents"].join(n, "document_id", "left").join(out["bases"], "kb_id").select("document_id", "active_revision_id", F.coalesce("p", F.lit(0)).alias("n_published"), F.coalesce("r", F.lit(0)).alias("n_retired"), F.col("content_version").cast("long").alias("content_version"))
+
+
+@query(f"""WITH {_PUB}, act AS (SELECT doc.document_id, doc.kb_id, CASE WHEN outcome = 'published' THEN 2 ELSE doc.old END AS rev, outcome FROM doc LEFT JOIN done USING (document_id)),
+c AS (SELECT kb_id, count(*) AS n, count(*) FILTER (edited) AS m, count(*) FILTER (NOT enabled) AS d FROM act JOIN ch ON ch.document_id = act.document_id AND ch.revision_id = act.rev GROUP BY 1),
+e AS (SELECT ent.kb_id, count(*) AS n FROM ent JOIN act USING (document_id) WHERE CASE WHEN outcome = 'published' THEN state = 'staging' ELSE state = 'published' END GROUP BY 1)
+SELECT generation_id, (indexed + (SELECT count(*) FROM done WHERE done.kb_id = generation_id AND outcome = 'published'))::BIGINT AS indexed_content_version, (SELECT count(*) FROM act WHERE act.kb_id = generation_id AND rev IS NOT NULL) AS document_count,
+coalesce(c.n, 0) AS chunk_count, coalesce(e.n, 0) AS indexed_count, coalesce(c.m, 0) AS manual_edit_count, coalesce(c.d, 0) AS disabled_chunk_count FROM gen LEFT JOIN c ON c.kb_id = generation_id LEFT JOIN e ON e.kb_id = generation_id""")
+def publish_document_counters(spark, sf):
+    """Counters moved by differences; the oracle counts everything anew."""
+    return _published(spark, sf)["generations"].drop("kb_id", "status")
+
+
+@query(f"WITH {_PUB} SELECT chunk_id, CASE WHEN revision_id = 1 OR outcome = 'published' THEN chunk_id * 10 END AS active_revision_id FROM ch LEFT JOIN done USING (document_id)")
+def publish_document_chunks(spark, sf):
+    return _published(spark, sf)["chunks"].select("chunk_id", "active_revision_id")
 
 
 _EDIT = """done AS (SELECT o_orderkey AS chunk_id, CASE WHEN o_orderkey % 8 = 0 THEN 'revision_conflict' WHEN o_orderkey % 9 = 0 THEN 'stale' WHEN o_orderkey % 3 <> 0 AND o_orderkey % 10 = 7 THEN 'conflict' ELSE 'published' END AS outcome, o_orderkey % 3 <> 0 AS enabled FROM orders)"""
