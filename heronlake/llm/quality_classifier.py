@@ -9,7 +9,8 @@ hashes, in that order, EPOCHS times, in one task (the updates are sequential). I
 
 Cases: null or empty text scores the model's bias; null labels are not learnt; where a document has several labels the
 smallest counts, where an id has several texts the smallest is learnt; without a training row every score is 0.5; repeated rows give repeated results; an empty table gives
-an empty result; other columns are not read. A very long text needs memory in proportion to its tokens.
+an empty result; a row without an id is in no fold (not held out, nothing is learnt from it); other columns are not read. A very long text needs
+memory in proportion to its tokens, beside a worker's table of tokens, which is bounded by tokens and bytes.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ BUCKETS = 1 << 20
 SAMPLE = 6000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
-#: Tokens that a worker remembers at most; the table starts anew when it is full.
-MAX_TOKENS = 600_000
+#: Tokens and bytes that a worker remembers at most (the table starts anew when it is full), and the length of tokens that are kept.
+MAX_TOKENS, MAX_BYTES, LONG = 600_000, 96 << 20, 64
 _TOKEN = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 
 
@@ -45,6 +46,7 @@ class Hasher:
 
     def __init__(self):
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def _code(self, token: str) -> int:
         """Upper half: hash of the token; lower half: hash of its shape."""
@@ -54,12 +56,16 @@ class Hasher:
         tokens = _TOKEN.findall(text or "")
         if not tokens:
             return np.empty(0, np.int64)
-        if len(self.known) > MAX_TOKENS:
-            self.known.clear()
+        if len(self.known) > MAX_TOKENS or self.held > MAX_BYTES:
+            self.known, self.held = {}, 0
         known = self.known
-        for t in set(tokens).difference(known):
+        fresh = set(tokens).difference(known)
+        for t in fresh:
             known[t] = self._code(t)
+        self.held += 4 * len("".join(fresh))  # a character has four bytes at most
         code = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+        for t in [t for t in fresh if len(t) > LONG]:  # tokens that hardly come again aren't kept
+            del known[t]
         word, shape = code >> np.uint64(32), code & np.uint64(0xFFFFFFFF)
         pair = np.where(word[:-1] == word[1:], np.uint64(7), (word[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ word[1:] + np.uint64(1))
         shapes = (shape[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ shape[1:] + np.uint64(2)
@@ -137,4 +143,4 @@ def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     found = score(docs, train(docs, labels, fold("doc_id", 3) != 1))
-    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
