@@ -8,7 +8,7 @@ Words are runs of characters other than the six ASCII spaces. Each line is held
 * navigation: two separators or more (`|`, `»`, `›`, `•`, `·`) among its words, or a line without any end of sentence
   (one of ENDS) in which no word but the first starts with a small letter; lines with letters of a script without case are not
   judged by this second test;
-* boilerplate: it holds one of PHRASES.
+* boilerplate: it holds one of PHRASES, and at most PHRASE_WORDS words (longer lines are prose that may say such a thing).
 
 Letters are Unicode's: capital (Lu), small (Ll), without case (Lo).
 
@@ -40,6 +40,8 @@ KEPT_SHARE = 0.7
 SYMBOLS = "#*$%&|<>"
 SPLIT = r"[\x20\x09-\x0D]+"
 BARS = "|»›•·"
+#: Words of a line that a phrase of boilerplate removes, at most.
+PHRASE_WORDS = 30
 #: Last characters of a closed line.
 ENDS = ".!?:;…\"')]”’»。！？：；」』）》】।؟"
 #: Lower-case phrases of boilerplate lines.
@@ -98,7 +100,7 @@ def line_fails(line: Column, symbols: Column, shouts: Column, bars: Column, phra
     marked = (_chars(line) - _chars(line, SYMBOLS)) * 10 > _chars(line)
     shouted = line.contains("!!") & (_count(line, "!{2,}") * 3 >= _count(line, WORD))
     barred = F.length(line) - F.length(F.translate(line, BARS, "")) >= 2
-    phrased = F.exists(F.array(*map(F.lit, PHRASES)), lambda p: F.contains(F.lower(line), p))
+    phrased = F.exists(F.array(*map(F.lit, PHRASES)), lambda p: F.contains(F.lower(line), p)) & (_count(line, WORD) <= PHRASE_WORDS)
     return unclosed & titled | capitals | symbols & marked | shouts & shouted | bars & barred | phrases & phrased
 
 
@@ -164,7 +166,7 @@ f AS (SELECT *, len(bare) > 0 AND (
     OR (nw >= 5 AND regexp_matches(line, '\\p{{Lu}}') AND NOT regexp_matches(line, '\\p{{Ll}}'))
     OR len(regexp_extract_all(line, '[|»›•·]')) >= 2
     OR (NOT regexp_matches(line, '[.!?:;…\\x22\\x27)\\]”’»。！？：；」』）》】।؟][\\x20\\x09-\\x0D]*$') AND NOT regexp_matches(line, '[\\x20\\x09-\\x0D]\\p{{Ll}}|\\p{{Lo}}'))
-    OR regexp_matches(lower(line), '{"|".join(p.replace("(", chr(92) + "(").replace(")", chr(92) + ")") for p in PHRASES)}')) AS fails FROM m),
+    OR nw <= {PHRASE_WORDS} AND regexp_matches(lower(line), '{"|".join(p.replace("(", chr(92) + "(").replace(")", chr(92) + ")") for p in PHRASES)}')) AS fails FROM m),
 s AS (SELECT doc_id, sum(len(bare)) AS word_chars, sum(nw)::BIGINT AS n_words, coalesce(sum(len(bare)) FILTER (NOT fails), 0) AS left_chars, coalesce(sum(nw) FILTER (NOT fails), 0) AS left_words,
     count(*) FILTER (len(bare) > 0) - count(DISTINCT line) FILTER (len(bare) > 0) AS n_dup_lines FROM f GROUP BY doc_id),
 a AS (SELECT s.doc_id, n_words, word_chars::BIGINT AS word_chars, len(regexp_extract_all(d.t, '[#*$%&|<>]'))::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
