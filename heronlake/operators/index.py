@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heronlake.functions.text import tokens
@@ -14,6 +15,8 @@ from heronlake.operators.retrieval import KEYWORD_K, VECTOR_K, _blocks, cover_de
 
 #: Folders of an inverted index; a term lies in one of them.
 BUCKETS = 64
+#: Postings of a block at most.
+BLOCK = 1024
 
 
 def _bucket(term: Column) -> Column:
@@ -21,32 +24,87 @@ def _bucket(term: Column) -> Column:
 
 
 def all_positions(entries: DataFrame, text_col: str, keep: list[str], split: Callable[[Column], Column] = tokens) -> DataFrame:
-    """As retrieval.positions, for all terms: an entry's tokens are split natively and gathered by term within its own row, in Arrow batches, without a shuffle."""
+    """As retrieval.positions, for all terms: an entry's tokens are split natively and gathered by term within its own row, for whole Arrow batches at once, without a shuffle."""
     cols = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                rows, terms, places = [], [], []
-                for k, words in enumerate(part.column(len(cols)).to_pylist()):
-                    found: dict[str, list[int]] = {}
-                    for n, w in enumerate(words or ()):
-                        found.setdefault(w, []).append(n)
-                    rows += [k] * len(found)
-                    terms += found
-                    places += found.values()
-                of = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(of) for c in range(len(cols))), pa.array(terms, pa.string()), pa.array(list(map(len, places)), pa.int32()), pa.array(places, pa.list_(pa.int32()))], [*cols, "term", "tf", "positions"])
+                words = part.column(len(cols))
+                sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                coded = words.flatten().dictionary_encode()
+                term = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                key = row * max(len(coded.dictionary), 1) + term
+                order = np.argsort(key, kind="stable")  # places of a term stay in order
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                ends = np.append(first, len(order))
+                at = order[first]
+                of = pa.array(row[at])
+                places = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(of) for c in range(len(cols))), coded.dictionary.take(pa.array(term[at])), pa.array(np.diff(ends).astype(np.int32)), places], [*cols, "term", "tf", "positions"])
 
     kinds = ", ".join(f"`{c}` {entries.schema[c].dataType.simpleString()}" for c in cols)
     return entries.select(*cols, split(F.col(text_col)).alias("_tokens")).mapInArrow(run, f"{kinds}, term string, tf int, positions array<int>")
 
 
+def write_blocks(postings: DataFrame, path: str, by: str | None = None) -> None:
+    """Store postings (entry_id, [by], term, tf, positions) as blocks, partitioned by bucket.
+
+    A block is one row: up to BLOCK postings of a term (and group), those with the most occurrences first, with its size and its largest and smallest tf, which readers
+    see without reading the postings. Range partitions cut a frequent term between tasks.
+    """
+    groups = [by] if by else []
+    rows = postings.select("entry_id", *groups, "term", "tf", "positions", _bucket(F.col("term")).alias("bucket"), (-F.col("tf")).alias("less"))
+    order = ["bucket", "term", *groups, "less", "entry_id"]
+    parts = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = lambda c: batch.column(batch.schema.get_field_index(c))
+            new = np.zeros(batch.num_rows, bool)
+            for c in ("term", *groups):
+                code = col(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new |= np.diff(code, prepend=code[0] - 1) != 0
+            first = np.flatnonzero(new)
+            sizes = np.diff(np.append(first, batch.num_rows))
+            cuts = np.concatenate([np.arange(a, a + n, BLOCK) for a, n in zip(first, sizes, strict=True)])
+            ends, at = pa.array(np.append(cuts, batch.num_rows).astype(np.int32)), pa.array(cuts)
+            last = pa.array(np.append(cuts[1:], batch.num_rows) - 1)
+            lists = [pa.ListArray.from_arrays(ends, col(c)) for c in ("entry_id", "tf", "positions")]
+            heads = [col(c).take(at) for c in ("bucket", "term", *groups)]
+            n = pa.array(np.diff(np.append(cuts, batch.num_rows)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*heads, n, col("tf").take(at), col("tf").take(last), *lists], ["bucket", "term", *groups, "n", "max_tf", "min_tf", "ids", "tfs", "places"])
+
+    kinds = "".join(f"`{g}` {postings.schema[g].dataType.simpleString()}, " for g in groups)
+    schema = f"bucket int, term string, {kinds}n int, max_tf int, min_tf int, ids array<{postings.schema['entry_id'].dataType.simpleString()}>, tfs array<int>, places array<array<int>>"
+    blocks = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("less").mapInArrow(run, schema)
+    blocks.write.partitionBy("bucket").parquet(path)
+
+
+def exploded(blocks: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep..., entry_id, tf, positions) of all postings in blocks."""
+    each = blocks.select(*keep, F.explode(F.arrays_zip("ids", "tfs", "places")).alias("p"))
+    return each.select(*keep, F.col("p.ids").alias("entry_id"), F.col("p.tfs").alias("tf"), F.col("p.places").alias("positions"))
+
+
+def least_tf(blocks: DataFrame, k: int, groups: list[str]) -> DataFrame:
+    """(term, groups..., least): a tf that k postings of a term reach for certain, by the blocks' heads alone; 0 where there are fewer. No posting below it can be among the first k."""
+    sizes = blocks.groupBy("term", *groups, "min_tf").agg(F.sum("n").alias("n"))  # few rows a term: one for each smallest tf
+    before = F.sum("n").over(Window.partitionBy("term", *groups).orderBy(F.desc("min_tf")))
+    enough = F.when(before >= k, F.col("min_tf"))
+    return sizes.withColumn("enough", enough).groupBy("term", *groups).agg(F.coalesce(F.max("enough"), F.lit(0)).alias("least"))
+
+
 class Postings:
-    """An inverted index on disk: (bucket, term, entry_id, [by], tf, positions), partitioned by bucket and sorted by term.
+    """An inverted index on disk, in blocks (see write_blocks), partitioned by bucket and sorted by term and tf.
 
-    A query reads the buckets of its terms, and in them the row groups that hold these; texts aren't read. Only the text given is indexed.
+    A query reads the buckets of its terms, and in them the row groups that hold these; texts aren't read. Of a one-term query's blocks only those are read and decoded that can hold
+    one of its best k. Only the text given is indexed.
     """
 
     def __init__(self, spark: SparkSession, path: str, by: str | None = None, split: Callable[[Column], Column] = tokens):
@@ -54,26 +112,66 @@ class Postings:
 
     @classmethod
     def build(cls, entries: DataFrame, path: str, text_col: str = "text", by: str | None = None, split: Callable[[Column], Column] = tokens) -> Postings:
-        """Index entries (entry_id, [by], text). Range partitions cut a frequent term's postings between tasks."""
-        rows = all_positions(entries, text_col, ["entry_id", *([by] if by else [])], split).withColumn("bucket", _bucket(F.col("term")))
-        parts = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-        rows.repartitionByRange(parts, "bucket", "term", "entry_id").sortWithinPartitions("bucket", "term", "entry_id").write.partitionBy("bucket").parquet(path)
+        """Index entries (entry_id, [by], text)."""
+        write_blocks(all_positions(entries, text_col, ["entry_id", *([by] if by else [])], split), path, by)
         return cls(entries.sparkSession, path, by, split)
 
+    def blocks(self, few: list[str] | None) -> DataFrame:
+        """The blocks of some terms, or of all."""
+        return of_terms(self.spark, self.spark.read.parquet(self.path), few)
+
     def read(self, wanted: DataFrame) -> DataFrame:
         """Postings of the terms wanted (query_id, term, n_terms), with the query."""
-        rows = self.spark.read.parquet(self.path)
-        few = few_terms(wanted)
-        if few is not None:
-            at = [r["b"] for r in self.spark.createDataFrame([(t,) for t in few], "term string").select(_bucket(F.col("term")).alias("b")).distinct().collect()] if few else []
-            rows = rows.where(F.col("bucket").isin(at) & F.col("term").isin(few))
-        return rows.drop("bucket").join(wanted, "term")
+        return exploded(self.blocks(few_terms(wanted)), ["term", *([self.by] if self.by else [])]).join(wanted, "term")
 
     def search(self, queries: DataFrame, k: int = KEYWORD_K, by: str | None = None) -> DataFrame:
         """As retrieval.keyword_top, from the stored postings."""
-        groups = [by] if by else []
-        hits = self.read(query_terms(queries, self.split))
-        return top(cover_density(hits, ["query_id", *groups, "entry_id"]), ["query_id", *groups], [F.desc(F.round("score", 9)), "entry_id"], k)
+        return block_search(self.spark, self.blocks, queries, k, self.by, by, self.split)
+
+
+def of_terms(spark: SparkSession, blocks: DataFrame, few: list[str] | None) -> DataFrame:
+    if few is None:
+        return blocks.drop("bucket")
+    at = [r["b"] for r in spark.createDataFrame([(t,) for t in few], "term string").select(_bucket(F.col("term")).alias("b")).distinct().collect()] if few else []
+    return blocks.where(F.col("bucket").isin(at) & F.col("term").isin(few)).drop("bucket")
+
+
+def block_search(spark: SparkSession, blocks: Callable[[list[str] | None], DataFrame], queries: DataFrame, k: int, stored_by: str | None, by: str | None, split: Callable, live: Callable[[DataFrame], DataFrame] = lambda df: df, spare: int = 0) -> DataFrame:
+    """The best k of each query (in each `by` group) from blocks. live: keeps the postings that count; spare: how many others there may be at most.
+
+    One-term queries: the heads of the blocks give a tf that the k best reach, and blocks below it are left out. Other queries hold every term, and read all its blocks.
+    """
+    groups, kept = [by] if by else [], [stored_by] if stored_by else []
+    wanted = query_terms(queries, split)
+    few = few_terms(wanted)
+    one, many = wanted.where("n_terms = 1"), wanted.where("n_terms > 1")
+    keys = ["query_id", *groups, "entry_id"]
+    order = [F.desc(F.round("score", 9)), "entry_id"]
+    if few is not None:
+        single = [r["term"] for r in one.select("term").distinct().collect()]  # at most MOST_TERMS, as few_terms has them
+        several = [r["term"] for r in many.select("term").distinct().collect()]
+    else:
+        single = several = None
+    parts = []
+    if single is None or single:
+        needed = needed_blocks(blocks(single), k + spare, groups)
+        hits = live(exploded(needed, ["term", *kept, *(c for c in needed.columns if c == "segment")])).join(one, "term")
+        parts.append(top(hits.select(*keys, (F.col("tf") * F.lit(0.1)).alias("score")), ["query_id", *groups], order, k))
+    if several is None or several:
+        found = blocks(several)
+        hits = live(exploded(found, ["term", *kept, *(c for c in found.columns if c == "segment")])).join(many, "term")
+        parts.append(top(cover_density(hits, keys), ["query_id", *groups], order, k))
+    if not parts:
+        return top(cover_density(exploded(blocks([]), ["term", *kept]).join(wanted, "term"), keys), ["query_id", *groups], order, k)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def needed_blocks(blocks: DataFrame, k: int, groups: list[str]) -> DataFrame:
+    """The blocks of each term (and group) that may hold one of its k postings with the most occurrences."""
+    least = least_tf(blocks.select("term", *groups, "n", "min_tf"), k, groups)
+    on = [F.col("term") == F.col("_term"), *(F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups)]
+    bound = least.select(F.col("term").alias("_term"), *(F.col(g).alias(f"_{g}") for g in groups), "least")
+    return blocks.join(bound, on).where("max_tf >= least").drop("least", "_term", *(f"_{g}" for g in groups))
 
 
 class Cells:

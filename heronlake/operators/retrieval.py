@@ -176,15 +176,15 @@ def group_by_parent(hits: DataFrame, parents: DataFrame, keys: tuple[str, ...] =
     return out.select(*keys, "parent_id", F.element_at("c", 1)["entry_id"].alias("entry_id"), (-F.element_at("c", 1)["s"]).alias("score"), F.transform("c", lambda x: x["entry_id"]).alias("matched"))
 
 
-def hybrid(entries: DataFrame, queries: DataFrame, vector_k: int = VECTOR_K, keyword_k: int = KEYWORD_K, final_k: int = FINAL_K, rrf_k: int = RRF_K, by: str | None = None, postings=None) -> DataFrame:
-    """Hybrid search of a batch: query_id, [by], parent_id, entry_id, score, matched, rank. postings: a stored index of the entries' text, if there is one.
+def hybrid(entries: DataFrame, queries: DataFrame, vector_k: int = VECTOR_K, keyword_k: int = KEYWORD_K, final_k: int = FINAL_K, rrf_k: int = RRF_K, by: str | None = None, postings=None, vectors=None) -> DataFrame:
+    """Hybrid search of a batch: query_id, [by], parent_id, entry_id, score, matched, rank. postings, vectors: stored indexes of the entries' texts and vectors, if there are any.
 
     entries: entry_id, parent_id, text, embedding, [by]; queries: query_id, query, embedding.
     With `by`, candidates and fusion are per group and the merge is over all (ties: the smaller group, then entry).
     """
     vector_k, keyword_k, final_k, rrf_k = check_options(vector_k, keyword_k, final_k, rrf_k)
     keys = ("query_id", by) if by else ("query_id",)
-    v = vector_top_batch(entries, queries, vector_k, by)
+    v = vectors.search(queries, vector_k, by) if vectors is not None else vector_top_batch(entries, queries, vector_k, by)
     w = postings.search(queries, keyword_k, by) if postings is not None else keyword_top(entries, queries, keyword_k, by=by)
     grouped = group_by_parent(fuse(v, w, rrf_k, keys), entries.select("entry_id", "parent_id"), keys)
     return top(grouped, ["query_id"], [F.desc(F.round("score", 12)), *([by] if by else []), "entry_id"], final_k)

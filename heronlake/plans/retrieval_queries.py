@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from heronlake.functions.text import tokens
 from heronlake.functions.vectors import valid
 from heronlake.operators import retrieval as R
-from heronlake.plans.tables import EDGES, ENTRIES, SEARCH_QUERIES, document_postings, entries, entry_postings, fused_sql, keyword_sql, search_queries, search_sql, table, vector_sql
+from heronlake.plans.tables import EDGES, ENTRIES, SEARCH_QUERIES, document_postings, entries, entry_postings, fused_sql, keyword_sql, publication_index, search_queries, search_sql, stored_vectors, table, vector_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -196,3 +196,34 @@ def fetch_capped(spark, sf):
     p = table(spark, sf, "pages")
     contents = p.where("page_id % 3 <> 0").select("page_id", F.encode("html", "UTF-8").alias("content"))
     return within_size(contents, 1500).select("page_id", F.octet_length("content").cast("long").alias("n"))
+
+
+# Entries come in three publications: those whose id % 5 < 4 at first; then the others come, with the text of another document for ids divisible by 7, and ids divisible by 11 go or don't come; then ids divisible by 13 come back with their own.
+_MOVED = """moved AS (SELECT e.vec_id AS entry_id, e.vec_id // 4 AS parent_id, e.label AS kb_id, CASE WHEN e.vec_id % 7 = 0 AND e.vec_id % 13 <> 0 THEN o.text ELSE d.text END AS text, e.embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id
+JOIN documents o ON o.doc_id = e.vec_id - e.vec_id % 2 WHERE e.vec_id % 11 <> 0 OR e.vec_id % 13 = 0)"""
+
+
+def _publications(spark, sf):
+    e = entries(spark, sf).select("entry_id", "kb_id", "text")
+    other = table(spark, sf, "documents").select(F.col("doc_id").alias("_other"), F.col("text").alias("_text"))
+    k = F.col("entry_id")
+    changed = e.join(other, k - k % 2 == F.col("_other")).select("entry_id", "kb_id", F.when(k % 7 == 0, F.col("_text")).otherwise(F.col("text")).alias("text"))
+    none = e.select("entry_id").where("false")
+    return [(e.where("entry_id % 5 < 4"), none), (changed.where("(entry_id % 7 = 0 or entry_id % 5 = 4) and entry_id % 11 <> 0"), e.where("entry_id % 11 = 0").select("entry_id")), (e.where("entry_id % 13 = 0"), none)]
+
+
+@query(f"WITH {ENTRIES.replace('entries AS', 'every AS')}, {_MOVED}, queries AS (SELECT entry_id AS query_id, regexp_extract(text, '^([^ \\n]+[ \\n]+[^ \\n]+)', 1) AS query, embedding FROM every WHERE entry_id % 50 = 0 UNION ALL SELECT -entry_id - 1, regexp_extract(text, '^([^ \\n]+)', 1), embedding FROM every WHERE entry_id % 50 = 0), entries AS (SELECT * FROM moved), {keyword_sql('kb_id')} SELECT query_id, kb_id, entry_id, round(score, 6) AS score, r AS rank FROM k")
+def keyword_after_publications(spark, sf):
+    """Keyword search of an index that followed three publications by segments, the last two merged; one- and two-word queries."""
+    index = publication_index(spark, sf, _publications)
+    q = search_queries(spark, sf)
+    first = q.select((-F.col("query_id") - 1).alias("query_id"), F.regexp_extract("query", r"^([^ \n]+)", 1).alias("query"), "embedding")
+    return index.search(q.unionByName(first), 30, "kb_id").select("query_id", "kb_id", "entry_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(None)
+def vector_index(spark, sf):
+    """Approximate search with a stored index: product-quantised cells, pruned partitions, exact rescoring; its recall against exact search is a test."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("entry_id"), "embedding")
+    q = e.where("entry_id % 50 = 0").select(F.col("entry_id").alias("query_id"), "embedding")
+    return stored_vectors(spark, sf).calibrate(q, R.vector_top_batch(e, q, 30), 30).search(q, 30)

@@ -17,15 +17,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _indexes: dict[tuple[str, str, str], object] = {}
 
 
+def _once(spark: SparkSession, sf_dir: str, name: str, build) -> object:
+    """What build(folder) stores, built once for each application and input, in the folder that spark.checkpoint.dir names (a local one in local sessions)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _indexes:
+        _indexes[key] = build(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
 def _index(spark: SparkSession, sf_dir: str, name: str, make) -> object:
-    """A stored index of a table, built once for each application and folder, in the folder that spark.checkpoint.dir names (a local one in local sessions)."""
+    """The stored inverted index of a table."""
     from heronlake.operators.index import Postings
 
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _indexes:
+    def build(folder: str):
         rows, by = make()
-        _indexes[key] = Postings.build(rows, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", "text", by)
-    return _indexes[key]
+        return Postings.build(rows, folder, "text", by)
+
+    return _once(spark, sf_dir, name, build)
+
+
+def publication_index(spark: SparkSession, sf_dir: str, publications):
+    """The stored index that followed publications(spark, sf_dir), each (entries that came, entries that went)."""
+    from heronlake.operators.live_postings import LivePostings
+
+    def build(folder: str):
+        out = LivePostings(spark, folder, "kb_id")
+        for came, gone in publications(spark, sf_dir):
+            out.apply(came, gone)
+        out.merge()
+        return out
+
+    return _once(spark, sf_dir, "publications", build)
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str):
+    """The stored index of all vectors."""
+    from heronlake.operators.vector_index import VectorIndex
+
+    return _once(spark, sf_dir, "vectors", lambda folder: VectorIndex.build(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entry_id"), "embedding"), folder))
 
 
 def document_postings(spark: SparkSession, sf_dir: str):
