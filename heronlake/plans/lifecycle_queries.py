@@ -142,13 +142,13 @@ def publish_document(spark, sf):
     return _published(spark, sf)["outcomes"]
 
 
-@query(f"""WITH {_PUB} SELECT doc.document_id, CASE WHEN outcome = 'published' THEN 2 ELSE doc.old END AS active_revision_id,
+@query(f"""WITH {_PUB} SELECT doc.document_id, CASE WHEN outcome = 'published' THEN 2 ELSE coalesce(doc.old, 0) END AS active_revision_id,
 count(chunk_id) FILTER (CASE WHEN outcome = 'published' THEN state = 'staging' ELSE state = 'published' END) AS n_published, count(chunk_id) FILTER (outcome = 'published' AND state = 'published') AS n_retired,
 (1 + (SELECT count(*) FROM done d2 WHERE d2.kb_id = doc.kb_id AND d2.outcome = 'published'))::BIGINT AS content_version FROM doc LEFT JOIN done ON done.document_id = doc.document_id LEFT JOIN ent ON ent.document_id = doc.document_id GROUP BY doc.document_id, doc.kb_id, doc.old, outcome""")
 def publish_document_state(spark, sf):
     out = _published(spark, sf)
     n = out["entries"].groupBy("document_id").agg(F.count_if(F.col("state") == "published").alias("p"), F.count_if(F.col("state") == "retired").alias("r"))
-    return out["documents"].join(n, "document_id", "left").join(out["bases"], "kb_id").select("document_id", "active_revision_id", F.coalesce("p", F.lit(0)).alias("n_published"), F.coalesce("r", F.lit(0)).alias("n_retired"), F.col("content_version").cast("long").alias("content_version"))
+    return out["documents"].join(n, "document_id", "left").join(out["bases"], "kb_id").select("document_id", F.coalesce("active_revision_id", F.lit(0)).alias("active_revision_id"), F.coalesce("p", F.lit(0)).alias("n_published"), F.coalesce("r", F.lit(0)).alias("n_retired"), F.col("content_version").cast("long").alias("content_version"))
 
 
 @query(f"""WITH {_PUB}, act AS (SELECT doc.document_id, doc.kb_id, CASE WHEN outcome = 'published' THEN 2 ELSE doc.old END AS rev, outcome FROM doc LEFT JOIN done USING (document_id)),
@@ -161,9 +161,9 @@ def publish_document_counters(spark, sf):
     return _published(spark, sf)["generations"].drop("kb_id", "status")
 
 
-@query(f"WITH {_PUB} SELECT chunk_id, CASE WHEN revision_id = 1 OR outcome = 'published' THEN chunk_id * 10 END AS active_revision_id FROM ch LEFT JOIN done USING (document_id)")
+@query(f"WITH {_PUB} SELECT chunk_id, CASE WHEN revision_id = 1 OR outcome = 'published' THEN chunk_id * 10 ELSE 0 END AS active_revision_id FROM ch LEFT JOIN done USING (document_id)")
 def publish_document_chunks(spark, sf):
-    return _published(spark, sf)["chunks"].select("chunk_id", "active_revision_id")
+    return _published(spark, sf)["chunks"].select("chunk_id", F.coalesce("active_revision_id", F.lit(0)).alias("active_revision_id"))
 
 
 _EDIT = """done AS (SELECT o_orderkey AS chunk_id, CASE WHEN o_orderkey % 8 = 0 THEN 'revision_conflict' WHEN o_orderkey % 9 = 0 THEN 'stale' WHEN o_orderkey % 3 <> 0 AND o_orderkey % 10 = 7 THEN 'conflict' ELSE 'published' END AS outcome, o_orderkey % 3 <> 0 AS enabled FROM orders)"""
