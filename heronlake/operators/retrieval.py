@@ -71,16 +71,17 @@ def _blocks(df: DataFrame, id_col: str, groups: list[str]) -> DataFrame:
     return df.select(id_col, "embedding", *groups).mapInArrow(run, f"{kinds + ', ' if kinds else ''}ids binary, vectors binary")
 
 
-def vector_top_batch(entries: DataFrame, queries: DataFrame, k: int = VECTOR_K, by: str | None = None) -> DataFrame:
+def vector_top_batch(entries: DataFrame, queries: DataFrame, k: int = VECTOR_K, by: str | None = None, granted: DataFrame | None = None) -> DataFrame:
     """Each query's nearest entries by exact cosine (in each `by` group): query_id, [by], entry_id, score, rank.
 
     entries: entry_id, embedding, [by]; queries: query_id, embedding. Both sides go in blocks of vectors; each pair of blocks is one
-    matrix product that yields its best k, so what is shuffled follows queries * blocks * k.
+    matrix product that yields its best k, so what is shuffled follows queries * blocks * k. With granted (query_id, by), queries meet only the blocks of the groups they may
+    read, joined by group and dimension; without, all blocks.
     """
     groups = [by] if by else []
     e = _blocks(entries, "entry_id", groups)
-    q = _blocks(queries, "query_id", []).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    width = [F.col(g) for g in groups]
+    asked = queries if granted is None else queries.select("query_id", "embedding").join(granted.select("query_id", by).distinct(), "query_id")
+    q = _blocks(asked, "query_id", groups if granted is not None else []).withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
     arrow = [to_arrow_type(entries.schema[g].dataType) for g in groups]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +102,12 @@ def vector_top_batch(entries: DataFrame, queries: DataFrame, k: int = VECTOR_K,
                 yield pa.RecordBatch.from_arrays(rows, ["query_id", *groups, "entry_id", "score"])
 
     kinds = "".join(f"{g} {entries.schema[g].dataType.simpleString()}, " for g in groups)
-    found = e.crossJoin(q).select(*width, "ids", "vectors", "q_ids", "q_vectors").mapInArrow(run, f"query_id long, {kinds}entry_id long, score double")
+    if granted is None:
+        pairs = e.crossJoin(q)
+    else:
+        width = lambda ids, vectors: (F.octet_length(vectors) / F.octet_length(ids)).cast("int").alias("_width")
+        pairs = e.select("*", width("ids", "vectors")).join(q.select("*", width("q_ids", "q_vectors")), [by, "_width"])
+    found = pairs.select(*groups, "ids", "vectors", "q_ids", "q_vectors").mapInArrow(run, f"query_id long, {kinds}entry_id long, score double")
     return top(found, ["query_id", *groups], [F.desc(F.round("score", 9)), "entry_id"], k)
 
 
@@ -148,11 +154,13 @@ def cover_density(hits: DataFrame, keys: list[str]) -> DataFrame:
     return one.unionByName(least.groupBy(*keys).agg(F.sum(0.1 / (1 + noise)).alias("score")))
 
 
-def keyword_top(entries: DataFrame, queries: DataFrame, k: int = KEYWORD_K, text_col: str = "text", by: str | None = None, split: Callable[[Column], Column] = tokens) -> DataFrame:
-    """Each query's best entries by cover density: query_id, [by], entry_id, score, rank. Texts are read and split anew; a stored index (index.Postings) spares that."""
+def keyword_top(entries: DataFrame, queries: DataFrame, k: int = KEYWORD_K, text_col: str = "text", by: str | None = None, split: Callable[[Column], Column] = tokens, granted: DataFrame | None = None) -> DataFrame:
+    """Each query's best entries by cover density: query_id, [by], entry_id, score, rank; of the granted groups (query_id, by) alone, if given. Texts are read and split anew; a stored index (index.Postings) spares that."""
     groups = [by] if by else []
     wanted = query_terms(queries, split)
     hits = positions(entries, text_col, ["entry_id", *groups], split, few_terms(wanted)).join(wanted, "term")
+    if granted is not None:
+        hits = hits.join(granted.select("query_id", by).distinct(), ["query_id", by], "left_semi")
     return top(cover_density(hits, ["query_id", *groups, "entry_id"]), ["query_id", *groups], [F.desc(F.round("score", 9)), "entry_id"], k)
 
 
@@ -176,16 +184,19 @@ def group_by_parent(hits: DataFrame, parents: DataFrame, keys: tuple[str, ...] =
     return out.select(*keys, "parent_id", F.element_at("c", 1)["entry_id"].alias("entry_id"), (-F.element_at("c", 1)["s"]).alias("score"), F.transform("c", lambda x: x["entry_id"]).alias("matched"))
 
 
-def hybrid(entries: DataFrame, queries: DataFrame, vector_k: int = VECTOR_K, keyword_k: int = KEYWORD_K, final_k: int = FINAL_K, rrf_k: int = RRF_K, by: str | None = None, postings=None, vectors=None) -> DataFrame:
+def hybrid(entries: DataFrame, queries: DataFrame, vector_k: int = VECTOR_K, keyword_k: int = KEYWORD_K, final_k: int = FINAL_K, rrf_k: int = RRF_K, by: str | None = None, postings=None, vectors=None, granted: DataFrame | None = None) -> DataFrame:
     """Hybrid search of a batch: query_id, [by], parent_id, entry_id, score, matched, rank. postings, vectors: stored indexes of the entries' texts and vectors, if there are any.
 
     entries: entry_id, parent_id, text, embedding, [by]; queries: query_id, query, embedding.
-    With `by`, candidates and fusion are per group and the merge is over all (ties: the smaller group, then entry).
+    With `by`, candidates and fusion are per group and the merge is over all (ties: the smaller group, then entry); granted (query_id, by) names the groups that each query may read.
     """
+    if granted is not None and not by:
+        raise ValueError("grants are for groups")
+    only = lambda df: df if granted is None else df.join(granted.select("query_id", by).distinct(), ["query_id", by], "left_semi")
     vector_k, keyword_k, final_k, rrf_k = check_options(vector_k, keyword_k, final_k, rrf_k)
     keys = ("query_id", by) if by else ("query_id",)
-    v = vectors.search(queries, vector_k, by) if vectors is not None else vector_top_batch(entries, queries, vector_k, by)
-    w = postings.search(queries, keyword_k, by) if postings is not None else keyword_top(entries, queries, keyword_k, by=by)
+    v = only(vectors.search(queries, vector_k, by)) if vectors is not None else vector_top_batch(entries, queries, vector_k, by, granted)
+    w = only(postings.search(queries, keyword_k, by)) if postings is not None else keyword_top(entries, queries, keyword_k, by=by, granted=granted)
     grouped = group_by_parent(fuse(v, w, rrf_k, keys), entries.select("entry_id", "parent_id"), keys)
     return top(grouped, ["query_id"], [F.desc(F.round("score", 12)), *([by] if by else []), "entry_id"], final_k)
 

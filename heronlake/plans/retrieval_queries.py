@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from heronlake.functions.text import tokens
 from heronlake.functions.vectors import valid
 from heronlake.operators import retrieval as R
-from heronlake.plans.tables import EDGES, ENTRIES, SEARCH_QUERIES, document_postings, entries, entry_postings, fused_sql, keyword_sql, publication_index, search_queries, search_sql, stored_vectors, table, vector_sql
+from heronlake.plans.tables import EDGES, ENTRIES, SEARCH_QUERIES, document_postings, entries, entry_postings, fused_sql, grouped_sql, keyword_sql, publication_index, search_queries, search_sql, stored_vectors, table, vector_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -227,3 +227,55 @@ def vector_index(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("entry_id"), "embedding")
     q = e.where("entry_id % 50 = 0").select(F.col("entry_id").alias("query_id"), "embedding")
     return stored_vectors(spark, sf).calibrate(q, R.vector_top_batch(e, q, 30), 30).search(q, 30)
+
+
+# Even bases are of workspace 0, odd ones of workspace 1. Entries divisible by 9 lie in a generation that is no longer active, those divisible by 11 are staged only; base 4 is deleted. Key 1 reads all of
+# workspace 0, key 2 bases 1 and 3 of its own and, in vain, 2. Of the requests one in four asks for a base it may not read, and one in four for none.
+_SCOPED = f"""WITH {ENTRIES.replace('FROM embeddings e', 'FROM (SELECT * FROM embeddings WHERE vec_id % 9 <> 0 AND vec_id % 11 <> 0 AND label <> 4) e')}, every AS (SELECT e.vec_id AS entry_id, d.text, e.embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+{SEARCH_QUERIES.replace('FROM entries', 'FROM every')}, pairs AS (SELECT query_id, unnest(CASE query_id % 200 WHEN 0 THEN [0, 2, 8] WHEN 50 THEN [1, 3] ELSE []::INTEGER[] END) AS kb_id FROM queries),
+sim AS (SELECT q.query_id, e.kb_id, e.entry_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM pairs p JOIN entries e ON e.kb_id = p.kb_id JOIN queries q ON q.query_id = p.query_id),
+{vector_sql('kb_id')}, {keyword_sql('kb_id').replace('k AS (SELECT query_id', 'k0 AS (SELECT query_id')}, k AS (SELECT k0.* FROM k0 JOIN pairs USING (query_id, kb_id)), {fused_sql('kb_id')}, {grouped_sql('kb_id', 50)}"""
+
+
+def _requests(spark, sf):
+    e = entries(spark, sf)
+    k, kb = F.col("entry_id"), F.col("kb_id")
+    generation = F.when(k % 9 == 0, kb + 100).otherwise(kb)
+    stored = e.select((kb % 2).alias("workspace_id"), "kb_id", generation.alias("generation_id"), F.when(k % 11 == 0, "staging").otherwise("published").alias("state"), "entry_id", "parent_id", "text", "embedding")
+    kbs = spark.range(10).select((F.col("id") % 2).cast("int").alias("workspace_id"), F.col("id").cast("int").alias("kb_id"))
+    bases = kbs.select("*", F.col("kb_id").alias("active_generation_id"), F.when(F.col("kb_id") == 4, 1).alias("deleted_at"))
+    generations = kbs.select("*", F.explode(F.array("kb_id", F.col("kb_id") + 100)).alias("generation_id"), F.lit(64).alias("dimension"))
+    grants = spark.createDataFrame([(1, 0, True, []), (2, 1, False, [1, 2, 3])], "key_id int, workspace_id int, unrestricted boolean, kb_ids array<int>")
+    q = F.col("query_id")
+    asked = search_queries(spark, sf).select(
+        q.alias("request_id"), F.when(q % 100 == 0, 1).otherwise(2).alias("key_id"),
+        F.when(q % 200 == 0, F.array(F.lit(2), F.lit(0), F.lit(8), F.lit(2))).when(q % 200 == 50, F.array(F.lit(1), F.lit(3))).when(q % 200 == 100, F.array(F.lit(0), F.lit(1))).otherwise(F.array().cast("array<int>")).alias("kb_ids"), "query", "embedding",
+    )
+    return asked, grants, bases, generations, stored
+
+
+@query(f"{_SCOPED} SELECT kb_id, {_RESULT} FROM res")
+def scoped_search(spark, sf):
+    from heronlake.operators.search import search_requests
+
+    return _result(search_requests(*_requests(spark, sf))[0], "kb_id")
+
+
+@query(f"WITH {ENTRIES} SELECT entry_id AS request_id, CASE entry_id % 200 WHEN 100 THEN 'not_found' WHEN 150 THEN 'invalid' ELSE 'ok' END AS status FROM entries WHERE entry_id % 50 = 0")
+def scoped_search_status(spark, sf):
+    from heronlake.operators.search import search_requests
+
+    return search_requests(*_requests(spark, sf))[1]
+
+
+@query(f"""{_SCOPED},
+mt AS (SELECT query_id, kb_id, parent_id, score, rank, unnest(matched) AS id, generate_subscripts(matched, 1) AS i FROM res),
+tx AS (SELECT query_id, kb_id, parent_id, any_value(score) AS score, rank, substr(string_agg(text, chr(10) ORDER BY i), 1, 2000) AS rerank_text FROM (SELECT mt.*, e.text, row_number() OVER (PARTITION BY query_id, mt.kb_id, mt.parent_id, e.text ORDER BY i) AS once FROM mt JOIN (SELECT entry_id, text FROM entries) e ON e.entry_id = mt.id) WHERE once = 1 GROUP BY query_id, kb_id, parent_id, rank),
+sc AS (SELECT *, round(((length(rerank_text) * 31 + unicode(substr(rerank_text, 1, 1))) % 97)::DOUBLE / 97, 6) AS rerank_score FROM tx)
+SELECT query_id, kb_id, parent_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, round(score, 12) DESC, rank) AS final_rank FROM sc QUALIFY final_rank <= 10""")
+def scoped_rerank(spark, sf):
+    """One rerank over all bases of each request."""
+    from heronlake.operators.search import search_requests
+
+    score = lambda t: F.round(((F.length(t) * 31 + F.ascii(t)) % 97).cast("double") / 97, 6)
+    return search_requests(*_requests(spark, sf), final_k=10, scorer=score)[0].select("query_id", "kb_id", "parent_id", "rerank_score", F.col("final_rank").cast("long").alias("final_rank"))
