@@ -64,20 +64,21 @@ class ChunkingConfig:
 
 
 class Breaks:
-    """The places of a text where a window had better end, by rank: after paragraphs, after lines, after sentences. Each is found once, in order."""
+    """The places of a text where a window had better end, by rank: after paragraphs, after lines, after sentences. They are looked for backwards from a window's end."""
 
     def __init__(self, text: str):
-        self.size = len(text)
-        self.ranks = [[m.end() for m in re.finditer(pattern, text)] for pattern in (r"\n(?=\n)", r"\n", f"[{re.escape(SENTENCE_ENDS)}]")]
-        self.ranks[0] = [p + 1 for p in self.ranks[0]]  # a paragraph ends behind both line feeds
+        self.text, self.size = text, len(text)
 
     def before(self, low: int, high: int) -> int:
         """The last break of the best rank in (low, high], or high."""
-        for places in self.ranks:
-            k = bisect_right(places, high) - 1
-            if k >= 0 and places[k] > low:
-                return places[k]
-        return high
+        text = self.text
+        at = text.rfind("\n\n", max(low - 1, 0), high)  # a paragraph ends behind both line feeds
+        if at >= 0:
+            return at + 2
+        at = text.rfind("\n", low, high)
+        if at < 0:
+            at = max(text.rfind(c, low, high) for c in SENTENCE_ENDS)
+        return at + 1 if at >= 0 else high
 
     def windows(self, size: int, overlap: int, heading: int = 0) -> Iterator[tuple[int, int]]:
         """[start, end) of each window. The next one starts `overlap` before the end, but not within the first `heading` characters once these are covered."""
@@ -218,24 +219,12 @@ def section_pieces(blocks: list[dict], size: int, overlap: int) -> list[dict]:
 
 
 def border(left: str, right: str, limit: int) -> int:
-    """The length of the longest text, up to limit, that ends left and starts right: the failure function of right's start, run over left's end."""
+    """The length of the longest text, up to limit, that ends left and starts right."""
     n = min(limit, len(left), len(right))
-    if n <= 0:
-        return 0
-    fail, k = [0], 0
-    for c in right[1:n]:
-        while k and right[k] != c:
-            k = fail[k - 1]
-        k += right[k] == c
-        fail.append(k)
-    k = 0
-    for c in left[-n:]:
-        if k == n:
-            k = fail[k - 1]
-        while k and right[k] != c:
-            k = fail[k - 1]
-        k += right[k] == c
-    return k
+    at = left.find(right[0], len(left) - n) if n > 0 else -1
+    while at >= 0 and not right.startswith(left[at:]):
+        at = left.find(right[0], at + 1)
+    return len(left) - at if at >= 0 else 0
 
 
 def joined(left: str, right: str, limit: int) -> str:
@@ -247,16 +236,19 @@ def joined(left: str, right: str, limit: int) -> str:
 def parents_of(children: list[dict], size: int, overlap: int, lead: int) -> Iterator[tuple[int, int, str]]:
     """(first, behind the last, content) of each parent: as many children of one heading path in a row as size holds, led by the end of the parent before it."""
     for _, run in itertools.groupby(range(len(children)), key=lambda k: children[k]["heading_path"]):
-        run, before = list(run), None
-        while run:
-            texts = list(itertools.accumulate((children[k]["content"] for k in run), lambda a, b: joined(a, b, overlap) if len(a) <= size else a))
-            many = max(1, next((n for n, t in enumerate(texts) if len(t) > size), len(run)))
-            content = texts[many - 1]
+        run, before, at = list(run), None, 0
+        while at < len(run):
+            content, many = children[run[at]]["content"], 1
+            while at + many < len(run):
+                longer = joined(content, children[run[at + many]]["content"], overlap)
+                if len(longer) > size:
+                    break
+                content, many = longer, many + 1
             if before is not None:
                 tail = before[max(len(before) - lead, 0) :] if lead else ""
                 content = tail + content[border(tail, content, overlap) :]
-            yield run[0], run[many - 1] + 1, content
-            run, before = run[many:], content
+            yield run[at], run[at + many - 1] + 1, content
+            at, before = at + many, content
 
 
 def header_of(title: str | None, headings: list[str], sheet: str | None) -> str:
