@@ -139,19 +139,30 @@ def cover_density(hits: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, score) of entries that hold every term of a query: the sum of 0.1 / (1 + noise) over the minimal covers of all terms, where noise is the cover's length
     less the matched tokens in it. hits: keys, term, tf, positions, n_terms.
 
-    A one-term query needs only counts; of the others, entries that lack a term go before positions are spread.
+    A one-term query needs only counts. Of the others an entry's positions are gathered in its own row and passed once, in order: the last place of each term is kept, and where the
+    earliest of these moves on, a minimal cover ends.
     """
     one = hits.where("n_terms = 1").select(*keys, (F.col("tf") * F.lit(0.1)).alias("score"))
     many = hits.where("n_terms > 1")
     whole = many.groupBy(*keys, "n_terms").agg(F.collect_list(F.struct("term", "positions")).alias("terms")).where(F.size("terms") == F.col("n_terms"))
-    each = whole.select(*keys, "n_terms", F.explode("terms").alias("t")).select(*keys, "n_terms", "t.term", F.explode("t.positions").alias("pos"))
-    at = Window.partitionBy(*keys).orderBy("pos")
-    spread = each.withColumn("rn", F.row_number().over(at)).join(whole.select(*keys, F.explode(F.transform("terms", lambda x: x["term"])).alias("want")), keys)
-    last = F.max(F.when(F.col("term") == F.col("want"), F.struct("pos", "rn"))).over(Window.partitionBy(*keys, "want").orderBy("pos"))
-    covers = spread.withColumn("last", last).groupBy(*keys, "pos", "rn", "n_terms").agg(F.min("last").alias("start"), F.count("last").alias("have")).where("have = n_terms")
-    least = covers.groupBy(*keys, "start").agg(F.min(F.struct("pos", "rn")).alias("stop"))
-    noise = (F.col("stop.pos") - F.col("start.pos")) - (F.col("stop.rn") - F.col("start.rn"))
-    return one.unionByName(least.groupBy(*keys).agg(F.sum(0.1 / (1 + noise)).alias("score")))
+    places = F.array_sort(F.flatten(F.transform("terms", lambda t, i: F.transform(t["positions"], lambda p: F.struct(p.alias("pos"), i.alias("term"))))))
+    unseen = F.array_repeat(F.lit(-1), F.col("n_terms"))
+    begin = F.struct(unseen.alias("last"), unseen.alias("turn"), F.lit(-1).alias("start"), F.lit(0).alias("n"), F.lit(0.0).alias("score"))
+
+    def seen(acc: Column, x: Column) -> Column:
+        """The state with the last place of x's term, and the number of that place among all, moved on."""
+        put = lambda values, new: F.transform(values, lambda v, i: F.when(i == x["term"], new).otherwise(v))
+        return F.struct(put(acc["last"], x["pos"]).alias("last"), put(acc["turn"], acc["n"]).alias("turn"), acc["start"].alias("start"), (acc["n"] + 1).alias("n"), acc["score"].alias("score"))
+
+    def covered(acc: Column, x: Column) -> Column:
+        """The state with the cover that ends here, if it is a new one."""
+        start = F.array_min(acc["last"])
+        noise = (x["pos"] - start) - (acc["n"] - 1 - F.array_min(acc["turn"]))
+        new = (start >= 0) & (start != acc["start"])
+        return F.struct(acc["last"].alias("last"), acc["turn"].alias("turn"), F.when(new, start).otherwise(acc["start"]).alias("start"), acc["n"].alias("n"), (acc["score"] + F.when(new, 0.1 / (1 + noise)).otherwise(0.0)).alias("score"))
+
+    once = lambda acc, x: F.get(F.transform(F.array(seen(acc, x)), lambda now: covered(now, x)), F.lit(0))  # noqa: E731  the new state is computed once
+    return one.unionByName(whole.select(*keys, F.aggregate(places, begin, once)["score"].alias("score")))
 
 
 def keyword_top(entries: DataFrame, queries: DataFrame, k: int = KEYWORD_K, text_col: str = "text", by: str | None = None, split: Callable[[Column], Column] = tokens, granted: DataFrame | None = None) -> DataFrame:
