@@ -276,7 +276,7 @@ def links(classes: DataFrame, rows: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs, of each component of near copies one row: that of the smallest id; null ids come last, and one of several rows of that id stays."""
-    rows = Written(docs.withColumn("row", F.monotonically_increasing_id()).select("row", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")), "rows")
+    rows = Written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")), "rows")
     plain = rows.df.select("row", F.col("document.doc_id").cast("long").alias("doc_id"), F.col("document.text").alias("text"))
     marked = Written(sketches(plain), "sketches")
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
