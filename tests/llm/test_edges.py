@@ -1,7 +1,5 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for each operator and stage."""
 
-import hashlib
-
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -123,4 +121,52 @@ def test_stages(spark, docs, none, tmp_path):
         assert out.columns == docs.columns and out.count() <= len(ROWS), name
         assert stage(spark, none, str(tmp_path)).count() == 0
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, str(tmp_path)).select("doc_id").distinct().collect() if r.doc_id) == [1, 3, 5, 7]
-    assert hashlib.sha256(b"").hexdigest()
+
+
+#: Names that operators and stages use inside.
+INNER = ("row", "document", "same", "key", "node", "best", "fp", "keys", "root", "cell", "salt", "rank", "lang_pred", "score", "clean_text", "base_failed", "a", "b")
+
+
+def test_stages_keep_columns_with_inner_names(spark, tmp_path):
+    """Every stage but the last returns such columns with the values they had."""
+    prose = [f"{PROSE} And this is the text number {k} of them, which has words of its own: {' '.join(f'w{k}x{j}' for j in range(30))}." for k in range(4)]
+    rows = [(k, t, "en", f"s{k}", len(t), *(f"{c}-{k}" for c in INNER)) for k, t in enumerate(prose)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in INNER))
+    given.write.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, given, str(tmp_path))
+        assert out.columns == given.columns, name
+        assert sorted(tuple(r) for r in out.drop("text", "n_chars").collect()) == sorted(tuple(r) for r in given.drop("text", "n_chars").collect()), name
+
+
+def test_a_phrase_in_a_long_line_removes_nothing(spark):
+    """A one-line text of hundreds of words that mentions cookies once is prose; a short line that does is boilerplate."""
+    prose = " ".join(f"the {w} of day {k} were v{k} good and we x{k} ate y{k} them." for k, w in enumerate(["cakes"] * 30 + ["cookies"] + ["pies"] * 30))
+    rows = [(1, prose, "", "", 0), (2, f"{prose}\nWe use cookies here.", "", "", 0)]
+    got = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert got[1].kept and got[1].clean_text == prose and got[2].kept and got[2].clean_text == prose
+
+
+def test_table_of_tokens_is_bounded_by_bytes(monkeypatch):
+    hasher, plain = quality_classifier.Hasher(), quality_classifier.Hasher()
+    monkeypatch.setattr(quality_classifier, "MAX_BYTES", 5_000)
+    for k in range(200):
+        text = " ".join(f"token{k}x{j}" for j in range(20)) + " " + "y" * 100_000
+        assert hasher.features(text).tolist() == plain.features(text).tolist()
+        assert sum(map(len, hasher.known)) < 5_000 and max(map(len, hasher.known)) <= quality_classifier.LONG
+
+
+def test_rows_without_an_id_are_in_no_fold(spark, tmp_path):
+    docs = spark.createDataFrame([(None, PROSE, "en", "a", 1), *((k, f"{PROSE} {k}", "en", "a", 1) for k in range(12))], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, 1, 0), (2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for query in (language_id.op2_language_id, quality_classifier.op8_quality_classifier):
+        got = {r.doc_id: r.held_out for r in query(spark, str(tmp_path)).collect()}
+        assert len(got) == 13 and got[None] is False and set(got.values()) == {True, False}
+
+
+def test_repeated_ids_are_learnt_once(spark):
+    once = spark.createDataFrame([(1, "aa bb", "x"), (2, "cc", "y")], "doc_id long, text string, lang string")
+    twice = once.unionByName(spark.createDataFrame([(1, "zz zz zz zz", "x")] * 50, once.schema))
+    a, b = (language_id.learn(d, F.lit(True)) for d in (once, twice))
+    assert language_id.predict(once, a).collect() == language_id.predict(once, b).collect()
