@@ -26,6 +26,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,14 @@ from heronlake.llm.common import Written, shared_dir, table
 
 END_ID = 0
 #: Ids after which a file is closed, and ids that are decoded at once when files are read back.
-FILE_TOKENS, RUN = 4 << 20, 1 << 20
+FILE_TOKENS, RUN = 2 << 20, 1 << 20
 #: Bits of a continuation bitmap for each count of its directory.
 RANK_BITS = 512
-#: A worker's two tables of words hold about so many words and bytes each; longer words aren't kept.
+#: A worker's table of words holds about so many words and bytes, and starts anew when it is full; longer words aren't kept.
 MAX_WORDS, MAX_BYTES, LONG = 900_000, 128 << 20, 64
 MAGIC = b"HLTOKEN1"
 _IRREGULAR = re.compile("[ \n]{3}")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 class ByteCoder:
@@ -68,7 +70,6 @@ class ByteCoder:
         self.line_feed = len(self._bytes(self.library.encode("\n", add_special_tokens=False).ids))
         self.stops = {s: self._bytes(self.library.encode(s, add_special_tokens=False).ids) for s in ".,"}
         self._start()
-        self.older: dict[str, bytes] = {}
 
     def _start(self) -> None:
         self.words, self.held = {}, 0
@@ -78,10 +79,12 @@ class ByteCoder:
 
     def _learn(self, words: list[str]) -> set[str]:
         """Code parts (without the space before them) that aren't in the table. Gives those whose ids may depend on what stands around."""
-        odd = {w for w in words if (w[:1].isspace() and (w[0] != "\n" or w[1:2].isspace())) or (len(w) > 1 and w[-1].isspace())}
+        odd = set()
+        if _OTHER_SPACE.search("".join(words)):  # without one, parts hold no white space but a first line feed
+            odd = {w for w in words if (w[:1].isspace() and (w[0] != "\n" or w[1:2].isspace())) or (len(w) > 1 and w[-1].isspace())}
         fine = [w for w in words if w not in odd] if odd else words
         stems = [w[:-1] if w[-1:] in self.stops and w[-2:-1].isascii() and w[-2:-1].isalpha() else w for w in fine]
-        fresh = list(set(stems).difference(self.words))
+        fresh = [w for w in set(stems) if w not in self.words]
         coded = self.library.encode_batch_fast([w if w[:1] == "\n" else f" {w}" for w in fresh], add_special_tokens=False)
         self.words.update(zip(fresh, [self._bytes(e.ids) for e in coded], strict=True))
         for w, stem in zip(fine, stems, strict=True):
@@ -102,23 +105,19 @@ class ByteCoder:
             parts = t.replace("\n", " \n").split(" ")
             parts[0] = f"\n{parts[0]}"  # as no space stands before it; the line feed's ids are cut off again
             split.append(parts)
-        met = set().union(*(p for p in split if p))
         if len(self.words) > MAX_WORDS or self.held > MAX_BYTES:
-            self.older = self.words
             self._start()
-        met.difference_update(self.words)
-        if self.older:
-            again = met.intersection(self.older)
-            self.words.update(zip(again, map(self.older.__getitem__, again), strict=True))
-            met.difference_update(again)
-        odd = self._learn(list(met)) if met else set()
-        known, out = self.words.__getitem__, []
+        met, words = set(chain.from_iterable(p for p in split if p)), self.words
+        fresh = [w for w in met if w not in words]
+        odd = self._learn(fresh) if fresh else set()
+        known = {w: words[w] for w in met if w not in odd}.__getitem__  # the batch's own words, a table that stays near the processor
+        out = []
         for t, parts in zip(texts, split, strict=True):
             if parts is None or odd and not odd.isdisjoint(parts):
                 out.append(self._bytes(self.library.encode(t, add_special_tokens=False).ids))
             else:
                 out.append(b"".join(map(known, parts))[self.line_feed :])
-        for w in [w for w in met if len(w) > LONG]:
+        for w in [w for w in fresh if len(w) > LONG]:
             self.words.pop(w, None)
             self.words.pop(w[:-1], None)
         return out
@@ -139,19 +138,27 @@ def level_widths(bit_lengths: np.ndarray) -> list[int]:
 
 
 def _packed(values: np.ndarray, width: int) -> bytes:
-    """The lowest `width` bits of each value, one after the other."""
-    shifts, parts = np.arange(width, dtype=values.dtype), []
-    for lo in range(0, len(values), 1 << 16):
-        bits = (values[lo : lo + (1 << 16), None] >> shifts) & 1
-        parts.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes())
-    return b"".join(parts)
-
-
-def _fields(data: bytes, first_bit: int, count: int, width: int) -> np.ndarray:
-    """`count` fields of `width` bits from bit first_bit of data on; data has 8 bytes more than they need."""
-    at = first_bit + np.arange(count, dtype=np.int64) * width
-    windows = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
-    return (windows[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)
+    """The lowest `width` bits of each value, one after the other: eight values are `width` bytes, so each byte has the same shifts all along."""
+    eights = np.zeros((-(-len(values) // 8), 8), np.uint64)
+    eights.reshape(-1)[: len(values)] = values & values.dtype.type((1 << width) - 1)
+    out = np.zeros((len(eights), width), np.uint8)
+    for byte in range(width):
+        for k in range(8 * byte // width, min(8, -(-8 * (byte + 1) // width))):  # the values that reach into it
+            shift = k * width - 8 * byte
+            out[:, byte] |= ((eights[:, k] << np.uint64(shift)) if shift >= 0 else (eights[:, k] >> np.uint64(-shift))).astype(np.uint8)
+    return out.tobytes()[: (len(values) * width + 7) // 8]
+
+
+def _fields(data: bytes, first: int, count: int, width: int) -> np.ndarray:
+    """`count` fields of `width` bits from the first-th (below 8) of data on; data has 8 bytes more than they need."""
+    eights = -(-(first + count) // 8)
+    out = np.empty((eights, 8), np.uint32)
+    data = data + bytes(max(0, eights * width + 8 - len(data)))
+    for k in range(8):  # the k-th of each eight begins at the same bit of every `width` bytes
+        bit = k * width
+        windows = np.ndarray((eights,), "<u8", data, bit // 8, (width,))
+        out[:, k] = (windows >> np.uint64(bit % 8)) & np.uint64((1 << width) - 1)
+    return out.reshape(-1)[first : first + count]
 
 
 def encode_file(doc_ids: list[int | None], ids: list[bytes], kind: str = "<u4") -> bytes:
@@ -242,9 +249,9 @@ class TokenFile:
         for k, level in enumerate(self.levels):
             if lo == hi:
                 break
-            width, first = level["width"], lo * level["width"] // 8
+            width, first = level["width"], lo // 8 * level["width"]
             data = self._part(level["bits"], first, hi * width // 8 + 9)
-            out[at] |= _fields(data, lo * width - 8 * first, hi - lo, width).astype(np.uint32) << np.uint32(shift)
+            out[at] |= _fields(data, lo % 8, hi - lo, width) << np.uint32(shift)
             if k == len(self.levels) - 1:
                 break
             on = np.unpackbits(np.frombuffer(self._part(level["more"], lo // 8, (hi + 7) // 8), np.uint8), bitorder="little")[lo % 8 : lo % 8 + hi - lo].astype(bool)
