@@ -133,6 +133,24 @@ def orphaned(latched: DataFrame, jobs: DataFrame) -> DataFrame:
     return latched.where("forced").join(jobs.where("status in ('pending', 'running')").select("kb_id"), "kb_id", "left_anti")
 
 
+def pending_cleanups(jobs: DataFrame, queued: DataFrame, kind: str = "source_cleanup") -> DataFrame:
+    """(task_id, workspace_id, kb_id, job_id, created_at) of the pending clean-up jobs that the queue doesn't hold: they are given out again, the oldest first.
+
+    jobs: workspace_id, kb_id, job_id, type, status, created_at; queued: task_id. The task's id follows from the job, so a job that is given out twice is one task.
+    """
+    task = F.concat_ws(":", F.lit(kind), F.col("workspace_id").cast("string"), F.col("job_id").cast("string"))
+    waiting = jobs.where((F.col("type") == kind) & (F.col("status") == "pending")).select(task.alias("task_id"), "workspace_id", "kb_id", "job_id", "created_at")
+    return waiting.join(queued.select("task_id"), "task_id", "left_anti")
+
+
+def cleanup_objects(jobs: DataFrame) -> DataFrame:
+    """(job_id, position, store, key): the objects that a clean-up job's JSON payload lists under `objects`. Entries that are no object, or whose key is no text or empty, are passed over; a store that is no text is empty."""
+    listed = F.expr("filter(try_variant_get(try_parse_json(payload), '$.objects', 'array<variant>'), o -> schema_of_variant(variant_get(o, '$.key', 'variant')) = 'STRING')")
+    store = F.expr("if(schema_of_variant(variant_get(o, '$.store', 'variant')) = 'STRING', variant_get(o, '$.store', 'string'), '')")
+    each = jobs.select("job_id", F.posexplode(listed).alias("position", "o"))
+    return each.select("job_id", "position", store.alias("store"), F.expr("variant_get(o, '$.key', 'string')").alias("key")).where("key <> ''")
+
+
 def admitted(due: DataFrame, active: DataFrame, limit: int) -> DataFrame:
     """Due knowledge bases that may start now: at most `limit` jobs a connection with those that are active.
 

@@ -26,7 +26,8 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, transform: Callable[
     """Write transform(batch) of a stream as Parquet under target/rows, each key once, also if a batch is replayed.
 
     Of a batch's rows with one key the first by all columns counts. Known keys stand in target/keys, in folders by hash; a batch reads only those
-    of its own keys. A batch's files go to folders of its own id, which a replay overwrites and doesn't count as known.
+    of its own keys. A batch's files go to folders of its own id, which a replay overwrites and doesn't count as known. Keys are those
+    of the batch, whatever transform makes of its rows: one that it drops is known too.
     """
     spark = stream.sparkSession
     bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(KEY_BUCKETS)).cast("int")
@@ -42,9 +43,7 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, transform: Callable[
         transform(fresh.drop("_b")).write.mode("overwrite").parquet(f"{target}/rows/epoch={epoch}")
         for b in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/keys/_b=*/epoch={epoch}")) or []:
             fs.delete(b.getPath(), True)
-        written = spark.read.parquet(f"{target}/rows/epoch={epoch}")
-        if key in written.columns:
-            written.select(key).distinct().withColumn("_b", bucket).withColumn("epoch", F.lit(epoch)).write.mode("append").partitionBy("_b", "epoch").parquet(f"{target}/keys")
+        fresh.select(key, "_b").withColumn("epoch", F.lit(epoch)).write.mode("append").partitionBy("_b", "epoch").parquet(f"{target}/keys")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
@@ -108,7 +107,8 @@ def schedule(ticks: DataFrame, bases: SnapshotStore, active: Callable[[], DataFr
     """The scheduler as a stream of ticks (tick: timestamp): at each batch the bases that are due at its latest tick are admitted and given to start, and get their next time.
 
     bases: a snapshot store of (kb_id, connection_id, cron, next_at); active: running jobs, (connection_id, n). The latest tick is one value, so the
-    due scan is a filter on next_at. A replayed batch finds its snapshot and does nothing.
+    due scan is a filter on next_at. A replayed batch finds its snapshot and does nothing; one that ended between start and its snapshot
+    starts the same jobs again under the same number, so start must take a job that it has started in this batch once.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
