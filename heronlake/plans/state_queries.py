@@ -263,3 +263,30 @@ def expectations_violations(spark, sf):
     e = _orders_as_entries(table(spark, sf, "orders")).withColumn("embedding", F.when(F.col("id") % 9 != 0, F.lit(1)))
     d = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("document_id"), F.col("c_name").alias("name"))
     return S.expectations(e, d)
+
+
+# Each order is a clean-up job of its customer's workspace; open orders are pending, the queue holds one in four.
+def _cleanup_jobs(spark, sf):
+    o = table(spark, sf, "orders")
+    kind = F.when(F.col("o_orderkey") % 5 == 0, "parse").otherwise("source_cleanup")
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "completed").otherwise("failed")
+    return o.select((F.col("o_custkey") % 25).alias("workspace_id"), F.col("o_custkey").alias("kb_id"), F.col("o_orderkey").alias("job_id"), kind.alias("type"), status.alias("status"), F.col("o_orderdate").alias("created_at"))
+
+
+@query("""SELECT 'source_cleanup:' || (o_custkey % 25) || ':' || o_orderkey AS task_id, o_custkey AS kb_id, o_orderkey AS job_id FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 5 <> 0 AND o_orderkey % 4 <> 0""")
+def cleanup_redispatch(spark, sf):
+    jobs = _cleanup_jobs(spark, sf)
+    queued = jobs.where("job_id % 4 = 0").select(F.concat_ws(":", F.lit("source_cleanup"), "workspace_id", "job_id").alias("task_id"))
+    return D.pending_cleanups(jobs, queued).select("task_id", "kb_id", "job_id")
+
+
+@query("""WITH named AS (SELECT l_orderkey AS job_id, l_linenumber AS n, CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_linenumber % 7 = 0 THEN '' ELSE 'raw/' || l_partkey END AS key, CASE WHEN l_returnflag = 'A' THEN '' ELSE l_returnflag END AS store FROM lineitem)
+SELECT job_id, store, key FROM named WHERE key <> ''""")
+def cleanup_payloads(spark, sf):
+    """The objects in the payloads of clean-up jobs: each order's lines, of which every third has no key."""
+    n = F.col("l_linenumber")
+    key = F.when(n % 3 == 0, None).when(n % 7 == 0, "").otherwise(F.concat(F.lit("raw/"), F.col("l_partkey")))
+    one = F.struct(key.alias("key"), F.when(F.col("l_returnflag") != "A", F.col("l_returnflag")).alias("store"))
+    payload = F.to_json(F.struct(F.collect_list(one).alias("objects")))
+    jobs = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("job_id")).agg(payload.alias("payload"))
+    return D.cleanup_objects(jobs).select("job_id", "store", "key")
