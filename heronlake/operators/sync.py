@@ -59,6 +59,21 @@ def safe_watermark(remote: DataFrame, outcomes: DataFrame, previous: Column, com
     return best.select(F.greatest("t", previous).alias("watermark"))
 
 
+def safe_watermarks(nodes: DataFrame, outcomes: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(root, watermark) of each listed root, as safe_watermark for one: the latest edit time before the first document that failed, never before the previous one; unchanged where the listing is incomplete.
+
+    nodes: root, token, has_document, edit_time; outcomes: root, token, success; snapshots: root, previous, complete, one row for each of a few roots.
+    Nodes without a document or a token don't count; a document without an outcome has failed.
+    """
+    documents = nodes.where(F.col("has_document") & (F.coalesce("token", F.lit("")) != "") & F.col("edit_time").isNotNull())
+    known = documents.join(outcomes.groupBy("root", "token").agg(F.min(F.coalesce("success", F.lit(False))).alias("success")), ["root", "token"], "left")
+    times = known.groupBy("root", "edit_time").agg(F.min(F.coalesce("success", F.lit(False))).alias("good"))
+    bad = times.where("not good").groupBy("root").agg(F.min("edit_time").alias("bad"))
+    best = times.join(F.broadcast(bad), "root", "left").where("bad is null or edit_time < bad").groupBy("root").agg(F.max("edit_time").alias("best"))  # a row a root
+    moved = F.when(F.col("complete"), F.greatest("best", "previous")).otherwise(F.col("previous"))
+    return snapshots.join(best, "root", "left").select("root", moved.alias("watermark"))
+
+
 def content_action(hash_now: Column, hash_then: Column, retry: Column) -> Column:
     """After a fetch: skip an unchanged document, retry an unfinished revision of it, else make a new one."""
     return F.when(hash_now.eqNullSafe(hash_then), F.when(F.coalesce(retry, F.lit(False)), "retry").otherwise("skip")).otherwise("new_revision")

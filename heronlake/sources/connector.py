@@ -28,6 +28,14 @@ class Connector(Protocol):
     def fetch(self, token: str) -> bytes: ...
 
 
+def edit_time(node: dict) -> dt.datetime | None:
+    """A node's edit time with its zone: seconds (none if not positive) or a time, which is UTC if it has no zone."""
+    at = node.get("edit_time")
+    if isinstance(at, int | float):
+        return dt.datetime.fromtimestamp(at, dt.UTC) if at > 0 else None
+    return at.replace(tzinfo=dt.UTC) if at is not None and at.tzinfo is None else at
+
+
 class _Root(InputPartition):
     def __init__(self, root: str):
         super().__init__(root)
@@ -68,9 +76,7 @@ class _Reader(DataSourceReader):
         try:
             for page in connector_of(self.connector).pages(root):
                 for x in page:
-                    at = x.get("edit_time")
-                    if isinstance(at, int | float):
-                        at = dt.datetime.fromtimestamp(at, dt.UTC).replace(tzinfo=None) if at > 0 else None
+                    at = edit_time(x)
                     yield root, x.get("token"), x.get("parent_token"), x.get("title"), bool(x.get("has_document")), at, n, None
                     n += 1
         except Recoverable as e:
