@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from heronlake.functions.text import tokens
 from heronlake.functions.vectors import valid
 from heronlake.operators import retrieval as R
-from heronlake.plans.tables import EDGES, ENTRIES, SEARCH_QUERIES, document_postings, entries, entry_postings, fused_sql, grouped_sql, keyword_sql, publication_index, search_queries, search_sql, stored_vectors, table, vector_sql
+from heronlake.plans.tables import EDGES, ENTRIES, SEARCH_QUERIES, document_postings, entries, entry_postings, fused_sql, grouped_sql, keyword_sql, publication_index, search_queries, search_sql, stored_vectors, table, tenants, vector_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -279,3 +279,12 @@ def scoped_rerank(spark, sf):
 
     score = lambda t: F.round(((F.length(t) * 31 + F.ascii(t)) % 97).cast("double") / 97, 6)
     return search_requests(*_requests(spark, sf), final_k=10, scorer=score)[0].select("query_id", "kb_id", "parent_id", "rerank_score", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+@query(f"{_SCOPED} SELECT kb_id, {_RESULT} FROM res")
+def tenant_search(spark, sf):
+    """The same requests given to each workspace: its own scope answers those of its keys."""
+    asked, *rest = _requests(spark, sf)
+    stored = tenants(spark, sf, "search", lambda: dict(zip(("grants", "bases", "generations", "entries"), rest, strict=True)))
+    found = [stored.within(w).search(asked)[0] for w in (0, 1)]
+    return _result(found[0].unionByName(found[1]), "kb_id")

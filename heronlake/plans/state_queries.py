@@ -290,3 +290,36 @@ def cleanup_payloads(spark, sf):
     payload = F.to_json(F.struct(F.collect_list(one).alias("objects")))
     jobs = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("job_id")).agg(payload.alias("payload"))
     return D.cleanup_objects(jobs).select("job_id", "store", "key")
+
+
+@query("""WITH e AS (SELECT event_type AS root, event_id, ts, event_id % 1000 <> 999 OR event_type = 'click' AS good FROM events WHERE event_id % 4 <> 0),
+bad AS (SELECT root, min(ts) AS bad FROM e WHERE NOT good GROUP BY 1)
+SELECT e.root, CASE WHEN e.root = 'view' THEN 0 ELSE coalesce(max(epoch_us(ts)) FILTER (bad IS NULL OR ts < bad), 0) END AS watermark FROM e LEFT JOIN bad USING (root) GROUP BY 1""")
+def root_watermarks(spark, sf):
+    """Event types as roots, events as documents: one in a thousand fails, but for clicks; the listing of views is incomplete."""
+    n = F.col("event_id")
+    nodes = table(spark, sf, "events").select(F.col("event_type").alias("root"), n.cast("string").alias("token"), (n % 4 != 0).alias("has_document"), F.col("ts").cast("timestamp").alias("edit_time"))
+    outcomes = table(spark, sf, "events").select(F.col("event_type").alias("root"), n.cast("string").alias("token"), ((n % 1000 != 999) | (F.col("event_type") == "click")).alias("success"))
+    roots = nodes.select("root").distinct().select("root", F.timestamp_micros(F.lit(0)).alias("previous"), (F.col("root") != "view").alias("complete"))
+    return D.safe_watermarks(nodes, outcomes, roots).select("root", F.unix_micros("watermark").alias("watermark"))
+
+
+@query("""SELECT o_orderkey AS document_id, CASE WHEN o_custkey % 4 = 2 AND o_orderkey % 3 = 0 AND o_orderstatus = 'F' THEN 'pending' WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'ready' END AS status,
+CASE WHEN o_orderkey % 7 = 0 AND NOT (o_custkey % 4 = 2 AND o_orderkey % 3 = 0) THEN 1 ELSE 0 END AS deleted FROM orders""")
+def tenant_retry(spark, sf):
+    """A retry of one order in three, asked for within workspace 2: other workspaces' documents stay as they are."""
+    from heronlake.operators.lifecycle import retry_documents
+    from heronlake.plans.tables import tenants
+
+    o, names = table(spark, sf, "orders"), ["documents", "revisions", "jobs"]
+
+    def make():
+        failed = F.col("o_orderstatus") == "F"
+        work = o.select((F.col("o_custkey") % 4).alias("workspace_id"), F.col("o_orderkey").alias("document_id"), F.when(failed, "failed").otherwise("ready").alias("status"), F.when(failed, "e").alias("error"))
+        return {"documents": o.select((F.col("o_custkey") % 4).alias("workspace_id"), F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderkey") % 7 == 0, 1).alias("deleted_at")), "revisions": work, "jobs": work}
+
+    stored = tenants(spark, sf, "retry", make)
+    stored.within(2).change(retry_documents, names, names, o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("document_id")))
+    each = [stored.within(w).run(lambda d, j: d.join(j, "document_id"), ["documents", "jobs"]) for w in range(4)]
+    rows = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+    return rows.select("document_id", "status", F.coalesce("deleted_at", F.lit(0)).alias("deleted"))

@@ -50,6 +50,13 @@ def publication_index(spark: SparkSession, sf_dir: str, publications):
     return _once(spark, sf_dir, "publications", build)
 
 
+def tenants(spark: SparkSession, sf_dir: str, name: str, make):
+    """The workspaces' tables that make() gives by name, stored once under a name."""
+    from heronlake.operators.tenants import Tenants
+
+    return _once(spark, sf_dir, name, lambda folder: Tenants(spark, folder).load(**make()))
+
+
 def stored_vectors(spark: SparkSession, sf_dir: str):
     """The stored index of all vectors."""
     from heronlake.operators.vector_index import VectorIndex
