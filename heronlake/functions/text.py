@@ -235,11 +235,13 @@ def cjk_tokens(text: Column, dictionary: list[str] | None = None) -> Column:
     return F.flatten(F.transform(tokens(text), cut))
 
 
-_MARKS = r"([\\`*_{}\[\]<>|~])"
+_MARKS = r"([\\`*_\[\]<>|~])"
+#: A heading, a list's item, or a line that underlines a heading or rules a page off.
+_STARTS = r"#{1,6}(?:[ \t]|$)|[-+](?:[ \t]|$)|[0-9]{1,9}[.)](?:[ \t]|$)|=+[ \t]*$|(?:[ \t]*-){3}[-\t ]*$"
 
 
 def escape_markdown(text: Column) -> Column:
-    """Plain text whose lines read as themselves in Markdown."""
+    """Plain text whose lines, ended by a line feed, read as themselves in Markdown: the parsers' rule (parsers.escape_line) for a whole column."""
     inline = F.regexp_replace(text, _MARKS, r"\\$1")
-    block = F.regexp_replace(inline, r"(?m)^(\s{0,3})([#+-])(?=\s|$)", r"$1\\$2")
-    return F.regexp_replace(block, r"(?m)^(\s{0,3}\d{1,9})([.)])(?=\s|$)", r"$1\\$2")
+    code = F.regexp_replace(F.regexp_replace(inline, "(?md)^\t", "&#9;"), "(?md)^ (?=   )", "&#32;")
+    return F.regexp_replace(code, f"(?md)^( {{0,3}})(?={_STARTS})", r"$1\\")

@@ -27,12 +27,12 @@ def query(sql):
     return add
 
 
-@query(r"""SELECT doc_id, replace(substr(text, 1, 40), chr(10), '|') AS fixed, CASE doc_id % 5 WHEN 0 THEN 'markdown' WHEN 1 THEN 'pdf' WHEN 2 THEN 'csv' WHEN 3 THEN 'docx' ELSE NULL END AS kind, CASE WHEN doc_id % 3 = 0 THEN 'D ' || doc_id WHEN doc_id % 3 = 1 THEN 'second' ELSE '-' END AS shown,
+@query(r"""SELECT doc_id, replace(replace(text, chr(13), chr(10)), chr(10), '|') AS fixed, CASE doc_id % 5 WHEN 0 THEN 'markdown' WHEN 1 THEN 'pdf' WHEN 2 THEN 'csv' WHEN 3 THEN 'docx' ELSE NULL END AS kind, CASE WHEN doc_id % 3 = 0 THEN 'D ' || doc_id WHEN doc_id % 3 = 1 THEN 'second' ELSE '-' END AS shown,
 CASE doc_id % 6 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' ELSE 'bin' END AS ext, 'raw/' || doc_id || '/a_b.txt' AS key, CASE doc_id % 4 WHEN 0 THEN 'revoked' WHEN 1 THEN 'expired' ELSE 'active' END AS key_status,
 CASE WHEN doc_id % 2 = 0 THEN 'candidate_ready' WHEN doc_id % 3 = 0 THEN 'failed' WHEN doc_id % 5 = 0 THEN 'updating' ELSE 'synced' END AS state, CASE WHEN doc_id % 7 = 0 THEN 'remove' ELSE 'keep' END AS policy FROM documents WHERE text IS NOT NULL""")
 def scalar_text(spark, sf):
     k, s = F.col("doc_id"), F.col("doc_id").cast("string")
-    crlf = F.concat(F.lit("﻿"), F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit("\r\n")))
+    crlf = F.concat(F.lit("﻿"), F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n")))
     name = F.when(k % 5 == 0, "x.MD").when(k % 5 == 1, "x.pdf").when(k % 5 == 2, "y.tar.CSV")
     at = lambda x: F.lit(x).cast("timestamp")
     return table(spark, sf, "documents").where("text is not null").select(
@@ -53,14 +53,12 @@ def scalar_sources(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.sync_root(url).alias("kind"), T.sync_token(url).alias("token"), path.alias("path"), T.millis((k * 1000).cast("string")).alias("at"), data.alias("data"))
 
 
-_SHORT = "substr(text, 1, 60)"
-
-
-@query(rf"""WITH d AS (SELECT doc_id, {_SHORT} AS t FROM documents), i AS (SELECT doc_id, regexp_replace(t, '([\\`*_{{}}\[\]<>|~])', '\\\1', 'g') AS t FROM d),
-b AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^(\s{{0,3}})([#+-])(\s|$)', '\1\\\2\3'), '^(\s{{0,3}}\d{{1,9}})([.)])(\s|$)', '\1\\\2\3')) AS ls FROM i)
+@query(r"""WITH i AS (SELECT doc_id, regexp_replace(text, '([\\`*_\[\]<>|~])', '\\\1', 'g') AS t FROM documents),
+b AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda x: CASE WHEN starts_with(x, chr(9)) THEN '&#9;' || substr(x, 2) WHEN starts_with(x, '    ') THEN '&#32;' || substr(x, 2)
+ELSE regexp_replace(x, '^( {0,3})(#{1,6}(?:[ \t]|$)|[-+](?:[ \t]|$)|[0-9]{1,9}[.)](?:[ \t]|$)|=+[ \t]*$|(?:[ \t]*-){3}[-\t ]*$)', '\1\\\2') END) AS ls FROM i)
 SELECT doc_id, array_to_string(ls, chr(10)) AS escaped FROM b""")
 def escape_markdown(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.escape_markdown(F.substring("text", 1, 60)).alias("escaped"))
+    return table(spark, sf, "documents").select("doc_id", T.escape_markdown(F.col("text")).alias("escaped"))
 
 
 @query("""SELECT doc_id, sha256('{"id":' || doc_id || ',"lang":"' || lang || '"}') AS request FROM documents WHERE lang IS NOT NULL""")

@@ -278,3 +278,16 @@ def test_guarded_requests_of_one_target(spark):
     b, c, e, out = lifecycle.publish_edits(bases, chunks, entries, asked)
     assert {r.request_id: r.outcome for r in out.collect()} == {1: "published", 2: "conflict", 3: "not_found"}
     assert b.first().content_version == 5 and c.first().active_revision_id == "r2" and e.first().state == "retired" and e.count() == 1
+
+
+def test_both_escapers_are_one(spark):
+    """The column's form gives for every short line of marks what the parsers give, alone and within a text."""
+    import itertools
+
+    from heronlake.sources.parsers import escape_line
+
+    lines = ["".join(p) for n in range(5) for p in itertools.product(" \t-+#1.=a", repeat=n)] + ["\\`*_[]<>|~{}", "   - x", "123456789. x", "1234567890. x", "####### x", " = = ", "- - -x", "\u2028- x", "a\r- x"]
+    got = {r.t: r.e for r in spark.createDataFrame([(x,) for x in lines], "t string").select("t", T.escape_markdown(F.col("t")).alias("e")).collect()}
+    assert got == {x: escape_line(x) for x in lines}
+    text = "\n".join(lines)
+    assert spark.createDataFrame([(text,), (None,)], "t string").select(T.escape_markdown(F.col("t"))).collect() == [("\n".join(map(escape_line, lines)),), (None,)]
