@@ -129,7 +129,8 @@ class SnapshotStore:
         """Write a snapshot and point to it, if the current one is still the expected one.
 
         The pointer is one empty file, made whole or not at all; a writer that dies before leaves nothing that stops the next. Of two
-        writers of one turn, both of whose pointers then stand there, the one whose name sorts first has won, and the other is told so.
+        writers of one turn, both of whose pointers then stand there, the one whose name sorts first has won, and the other is told so. That
+        needs a file system that makes a file at once and lists it at once; elsewhere let one writer at a time work on a root.
         """
         if self.current() != expected:
             raise RuntimeError("the snapshot that this one rests on is not current")
