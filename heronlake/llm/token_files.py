@@ -25,17 +25,18 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronlake.llm.common import Written, shared_dir, table
+from heronlake.llm.words import coded_together, column, gather, holding, marked, split
 
 END_ID = 0
 #: Ids after which a file is closed, and ids that are decoded at once when files are read back.
@@ -44,11 +45,18 @@ FILE_TOKENS, RUN = 2 << 20, 1 << 20
 RANK_BITS = 512
 #: A worker's table of words holds about so many words and bytes, and starts anew when it is full; longer words aren't kept.
 MAX_WORDS, MAX_BYTES, LONG = 900_000, 128 << 20, 64
+#: Rows, and bytes about, whose words are looked up together: the more, the fewer words come twice.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 MAGIC = b"HLTOKEN1"
-_IRREGULAR = re.compile("[ \n]{3}")
+_IRREGULAR = "[ \n]{3}"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
+def _bound(words: Iterable[str]) -> int:
+    """Bytes that words and their ids take, about: a byte has one id at most."""
+    return 5 * len("\n".join(words).encode("utf-8", "replace"))
+
+
 class ByteCoder:
     """Ids of texts with a byte-level vocabulary, as bytes of `kind`, through a table of words.
 
@@ -67,60 +75,51 @@ class ByteCoder:
         probe = "a  b\nc \nd\n\ne's f."
         if self.library.encode(probe, add_special_tokens=False).ids != [i for w in ("a", " ", " b", "\n", "c", " ", "\n", "d", "\n", "\n", "e", "'s", " f", ".") for i in self.library.encode(w, add_special_tokens=False).ids]:
             raise ValueError("only byte-level vocabularies without a prefix space are supported")
-        self.line_feed = len(self._bytes(self.library.encode("\n", add_special_tokens=False).ids))
-        self.stops = {s: self._bytes(self.library.encode(s, add_special_tokens=False).ids) for s in ".,"}
-        self._start()
-
-    def _start(self) -> None:
-        self.words, self.held = {}, 0
+        self.begins = marked(self.library, lambda t: t.startswith("\u0120"))  # how byte-level vocabularies write a space
+        self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def _learn(self, words: list[str]) -> set[str]:
-        """Code parts (without the space before them) that aren't in the table. Gives those whose ids may depend on what stands around."""
+    def _learn(self, parts: list[str]) -> set[str]:
+        """Code parts that aren't in the table. Gives those whose ids may depend on what stands around."""
         odd = set()
-        if _OTHER_SPACE.search("".join(words)):  # without one, parts hold no white space but a first line feed
-            odd = {w for w in words if (w[:1].isspace() and (w[0] != "\n" or w[1:2].isspace())) or (len(w) > 1 and w[-1].isspace())}
-        fine = [w for w in words if w not in odd] if odd else words
-        stems = [w[:-1] if w[-1:] in self.stops and w[-2:-1].isascii() and w[-2:-1].isalpha() else w for w in fine]
-        fresh = [w for w in set(stems) if w not in self.words]
-        coded = self.library.encode_batch_fast([w if w[:1] == "\n" else f" {w}" for w in fresh], add_special_tokens=False)
-        self.words.update(zip(fresh, [self._bytes(e.ids) for e in coded], strict=True))
-        for w, stem in zip(fine, stems, strict=True):
-            if len(w) != len(stem):
-                self.words[w] = self.words[stem] + self.stops[w[-1]]
-        self.held += 5 * len("\n".join(fine).encode("utf-8", "replace"))
+        if _OTHER_SPACE.search("".join(parts)):  # without one, parts hold no white space but a first space or line feed
+            inner = [p[1:] if p[0] in " \n" else p for p in parts]
+            odd = {p for p, x in zip(parts, inner, strict=True) if x and (x[0].isspace() or x[-1].isspace())}
+        fine = [p for p in parts if p not in odd] if odd else parts
+        words, others = [p for p in fine if p[0] == " " and p != " "], [p for p in fine if p[0] != " " or p == " "]
+        self.words.update(zip(words, coded_together(self.library, words, self._bytes, self.begins, first=True), strict=True))
+        self.words.update(zip(others, [self._bytes(e.ids) for e in self.library.encode_batch_fast(others, add_special_tokens=False)], strict=True))
+        self.held += _bound(fine)
         return odd
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for t in texts:
-            whole = any(s in t for s in self.special) or len(t) > 1 and t[-2:].isspace()
-            if not whole and ("  " in t or "\n\n" in t or " \n" in t or "\n " in t):
-                whole = _IRREGULAR.search(t) is not None
-            if whole:
-                split.append(None)
-                continue
-            parts = t.replace("\n", " \n").split(" ")
-            parts[0] = f"\n{parts[0]}"  # as no space stands before it; the line feed's ids are cut off again
-            split.append(parts)
-        if len(self.words) > MAX_WORDS or self.held > MAX_BYTES:
-            self._start()
-        met, words = set(chain.from_iterable(p for p in split if p)), self.words
-        fresh = [w for w in met if w not in words]
-        odd = self._learn(fresh) if fresh else set()
-        known = {w: words[w] for w in met if w not in odd}.__getitem__  # the batch's own words, a table that stays near the processor
-        out = []
-        for t, parts in zip(texts, split, strict=True):
-            if parts is None or odd and not odd.isdisjoint(parts):
-                out.append(self._bytes(self.library.encode(t, add_special_tokens=False).ids))
-            else:
-                out.append(b"".join(map(known, parts))[self.line_feed :])
-        for w in [w for w in fresh if len(w) > LONG]:
-            self.words.pop(w, None)
-            self.words.pop(w[:-1], None)
-        return out
+    def encode_batch(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = column(texts)
+        whole = holding(texts, self.special) | pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False)
+        whole |= np.array([len(end) > 1 and end.isspace() for end in pc.utf8_slice_codeunits(texts, -2).to_pylist()], bool)
+        parts, numbers, starts = split(texts.filter(pa.array(~whole)) if whole.any() else texts)
+        ids = list(map(self.words.get, parts))
+        if len(self.words) > MAX_WORDS or self.held > MAX_BYTES:  # a new table begins with the batch's own words
+            self.words = {p: x for p, x in zip(parts, ids, strict=True) if x is not None}
+            self.held = _bound(self.words)
+        fresh = [k for k, x in enumerate(ids) if x is None]
+        odd = self._learn([parts[k] for k in fresh]) if fresh else set()
+        for k in fresh:
+            ids[k] = self.words.get(parts[k], b"")
+            if len(parts[k]) > LONG:
+                self.words.pop(parts[k], None)
+        coded = gather(ids, numbers, starts)
+        if odd:
+            hit = np.flatnonzero(np.array([p in odd for p in parts])[numbers.to_numpy()])
+            again = np.unique(np.searchsorted(starts, hit, "right") - 1)
+            whole[np.flatnonzero(~whole)[again]] = True
+            coded = np.delete(np.array(coded, object), again).tolist()
+        if not whole.any():
+            return coded
+        rest, alone = iter(coded), iter(texts.filter(pa.array(whole)).to_pylist())
+        return [self._bytes(self.library.encode(next(alone), add_special_tokens=False).ids) if w else next(rest) for w in whole]
 
 
 def level_widths(bit_lengths: np.ndarray) -> list[int]:
@@ -329,9 +328,10 @@ class TokenFiles:
                 return row
 
             for batch in batches:
-                for lo in range(0, batch.num_rows, 500):
-                    some = batch.slice(lo, 500)
-                    for doc, ids in zip(some.column(0).to_pylist(), coder.encode_batch(some.column(1).to_pylist()), strict=True):
+                many = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+                for lo in range(0, batch.num_rows, many):
+                    some = batch.slice(lo, many)
+                    for doc, ids in zip(some.column(0).to_pylist(), coder.encode_batch(some.column(1)), strict=True):
                         names.append(doc)
                         held.append(ids + end)
                         tokens += len(ids) // size + 1
