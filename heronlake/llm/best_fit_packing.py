@@ -27,10 +27,12 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronlake.llm.common import Written, map_batches, table
+from heronlake.llm.words import coded_together, column, gather, holding, marked, split
 
 LENGTH = 2048
 END_ID = 0
@@ -40,7 +42,6 @@ SALTS, PER_SALT = 64, 200_000
 MAX_WORDS = 900_000
 #: Bytes that one of the two tables holds at most, and the length of words that are kept.
 MAX_BYTES, LONG = 128 << 20, 64
-STOPS = frozenset(".,")
 
 
 class WordCoder:
@@ -57,59 +58,60 @@ class WordCoder:
         self.special = sorted({t.content[:2] for t in self.library.get_added_tokens_decoder().values()})
         if self.library.encode("a b\nc", add_special_tokens=False).ids != [i for w in "abc" for i in self.library.encode(w, add_special_tokens=False).ids]:
             raise ValueError("this vocabulary keeps white space")
-        self.words, self.held = self._start(), 0
+        self.ends = marked(self.library, lambda t: t.endswith("</w>"))
+        self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-
-    def _start(self) -> dict[str, bytes]:
-        """A table with the empty word and the two stops that are coded apart."""
-        return {w: self._bytes(self.library.encode(w, add_special_tokens=False).ids) for w in ("", ".", ",")}
+        self.held = 0
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return array("I", ids).tobytes()
 
     @staticmethod
-    def _stems(words: list[str]) -> tuple[list[str], list[str]]:
-        """Words in small letters, and their stems: without one last stop or comma after an ASCII letter. Many words share a stem."""
-        joined = "\n".join(words)
+    def _small(parts: list[str]) -> list[str]:
+        """Parts in small letters, with a space before each."""
+        joined = "\n".join(parts)
         low = joined.lower().split("\n")
         if "Σ" in joined or "İ" in joined:  # their small letters depend on what stands around
-            low = [w if "Σ" in w or "İ" in w else x for w, x in zip(words, low, strict=True)]
-        return low, [x[:-1] if x[-1] in STOPS and x[-2:-1].isascii() and x[-2:-1].isalpha() else x for x in low]
-
-    def _learn(self, met: set[str]) -> None:
-        """Code the words that aren't in the table."""
-        words = list(met)
-        low, stems = self._stems(words)
-        fresh = list(set(stems).difference(self.words))
-        known = self.words
-        known.update(zip(fresh, [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)], strict=True))
-        for w, x, stem in zip(words, low, stems, strict=True):
-            known[w] = known[stem] if len(x) == len(stem) else known[stem] + known[x[-1]]
-        self.held += 5 * len("\n".join(words).encode("utf-8", "replace"))  # a byte has one id at most
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        split, whole = [], {}
-        for k, t in enumerate(texts):
-            t = t or ""
-            if any(s in t for s in self.special):
-                whole[k] = self._bytes(self.library.encode(t, add_special_tokens=False).ids)
-                t = ""
-            split.append(t.replace("\n", " ").split(" "))
-        met = set().union(*split)
+            low = [p if "Σ" in p or "İ" in p else x for p, x in zip(parts, low, strict=True)]
+        return [x if x[:1] == " " else f" {x}" for x in low]
+
+    def _coded(self, words: list[str]) -> dict[str, bytes]:
+        """The library's ids of words. Those of letters alone (Latin ones, which no normal form changes) end with their only token that ends a word, so many are coded as one text."""
+        letters = [w for w in words if w[1:].isalpha() and max(w) < "\u0250"]
+        out = dict(zip(letters, coded_together(self.library, letters, self._bytes, self.ends, first=False), strict=True))
+        others = [w for w in words if w not in out]
+        return out | {w: self._bytes(e.ids) for w, e in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True)}
+
+    def _learn(self, parts: list[str]) -> None:
+        """Code the parts that aren't in the table."""
+        low = self._small(parts)
+        self.words.update(self._coded([x for x in set(low) if x not in self.words]))
+        self.words.update(zip(parts, map(self.words.__getitem__, low), strict=True))
+        self.held += 5 * len("\n".join(parts).encode("utf-8", "replace"))  # a byte has one id at most
+
+    def encode_batch(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        texts = column(texts)
+        whole = holding(texts, self.special)
+        plain = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts) if whole.any() else texts
+        parts, numbers, starts = split(pc.replace_substring(plain, "\n", " "))
         if len(self.words) > MAX_WORDS or self.held > MAX_BYTES:
-            self.words, self.older, self.held = self._start(), self.words, 0
-        met = {w for w in met if w not in self.words}  # set methods would go through the whole table
+            self.words, self.older, self.held = {}, self.words, 0
+        ids = list(map(self.words.get, parts))
+        unknown = [k for k, x in enumerate(ids) if x is None]
         if self.older:
-            self.words.update([(w, self.older[w]) for w in met if w in self.older])
-            met = {w for w in met if w not in self.words}
-        if met:
-            self._learn(met)
-        known = self.words.__getitem__
-        out = [whole[k] if k in whole else b"".join(map(known, words)) for k, words in enumerate(split)]
-        for w in [w for w in met if len(w) > LONG]:  # words that hardly come again aren't kept
-            self.words.pop(w, None)
-            self.words.pop(w.lower(), None)
+            self.words.update([(parts[k], self.older[parts[k]]) for k in unknown if parts[k] in self.older])
+        fresh = [parts[k] for k in unknown if parts[k] not in self.words]
+        if fresh:
+            self._learn(fresh)
+        for k in unknown:
+            ids[k] = self.words[parts[k]]
+        out = gather(ids, numbers, starts)
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = self._bytes(self.library.encode(texts[k].as_py(), add_special_tokens=False).ids)
+        long = [p for p in fresh if len(p) >= LONG]
+        for p in [*long, *(self._small(long) if long else [])]:  # words that hardly come again aren't kept
+            self.words.pop(p, None)
         return out
 
 
@@ -129,7 +131,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode_batch(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode_batch(batch.column(1)), strict=True):
                 ids += end
                 for k, lo in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[lo : lo + 4 * length]

@@ -7,7 +7,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from heronlake.llm import token_files, words
+from heronlake.llm import best_fit_packing, token_files, words
 
 ODD = [None, "", " ", ".", "\n", "a", "a.", "a.\n", " a, b.", "a. .b", "a..", "3.", "é.", "a.\tb", "\tb. c", "c \t", "x\x85", "a   b.", "a \n b.", "Word, word. WORD.", "it's. s'd,", "<|endoftext|>", "a <|endoftext|>.", "日本. ok,", "é. ́", "ΣΑΣ. İx.", "\xa0 b", "end. ", "end.\n"]
 
@@ -69,3 +69,14 @@ def test_words_that_marks_cannot_part_are_coded_one_by_one():
     want = [coder._bytes(coder.library.encode(w, add_special_tokens=False).ids) for w in given]
     assert words.coded_together(coder.library, given, coder._bytes, coder.begins, first=True) == want
     assert words.coded_together(coder.library, given, coder._bytes, np.zeros_like(coder.begins), first=True) == want
+
+
+@pytest.mark.parametrize("limit", [900_000, 50])
+def test_word_batches_are_the_librarys(monkeypatch, limit):
+    monkeypatch.setattr(best_fit_packing, "MAX_WORDS", limit)
+    agree(best_fit_packing.WordCoder(public_tokenizers.path("word_bpe_49k.json")), "<u4")
+
+
+def test_words_reach_the_library_together():
+    coder = best_fit_packing.WordCoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert reach(coder) < 100 and len(coder.words) < 4100
