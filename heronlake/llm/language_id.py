@@ -10,7 +10,7 @@ have the smallest hashes. Their n-gram counts are summed by Spark; PROFILE rows
 Counting is vectorised in Arrow batches: three letters of 21 bits each fit one 64-bit number, so no n-gram is hashed.
 
 Cases: null text, or one without a letter, gives `und` with score 0; a row without an id is in no fold (not held out, nothing is learnt from it); of rows that repeat an id and language the smallest text is learnt; equal counts rank the smaller n-gram code first, equal
-distances the language that sorts first; null languages are not learnt; without any learnable row all is `und`;
+distances the language that sorts first; null languages are not learnt; of learnt rows bytes that aren't UTF-8 count as U+FFFD; without any learnable row all is `und`;
 repeated rows give repeated results; an empty table gives an empty result; other columns are not read. Very long
 texts are counted in parts of PART letters, each n-gram once.
 """
@@ -118,7 +118,8 @@ def learn(docs: DataFrame, learnable, per_language: int = PER_LANGUAGE) -> Profi
     if chosen.count() <= MOST_BROADCAST:
         chosen = F.broadcast(chosen)
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).join(chosen, "doc_id", "left_semi")
-    rows = rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")  # a repeated id is one document
+    rows = rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # a repeated id is one document
+    rows = rows.select(*(F.make_valid_utf8(c).alias(c) for c in ("lang", "text")))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -170,3 +170,19 @@ def test_repeated_ids_are_learnt_once(spark):
     twice = once.unionByName(spark.createDataFrame([(1, "zz zz zz zz", "x")] * 50, once.schema))
     a, b = (language_id.learn(d, F.lit(True)) for d in (once, twice))
     assert language_id.predict(once, a).collect() == language_id.predict(once, b).collect()
+
+
+def test_texts_that_are_not_utf8_pass_all_stages(spark, tmp_path):
+    """Parquet doesn't check strings: bytes that Python can't decode stop neither the language stage nor its learning, and come back as U+FFFD."""
+    rows = [(k, (f"{PROSE} part {k}").encode() + tail, b"en", b"a\xff") for k, tail in enumerate([b".", b" caf\xe9 ends.", b" half \xed\xa0\x80 pair ends.", b" cut \xf0\x9f\x98"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text binary, lang binary, source binary").select("doc_id", *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")))
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") == 1, F.unhex(F.lit("FE")).cast("string")).otherwise(F.col("lang")))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert df.where("not is_valid_utf8(text)").count() == 3
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        df = stage(spark, df, str(tmp_path))
+    got = {r.doc_id: r for r in df.select("doc_id", "text", F.hex("source").alias("source")).collect()}
+    assert sorted(got) == [0, 1, 2, 3] and got[1].text == f"{PROSE} part 1 caf� ends." and "�" in got[2].text and "�" in got[3].text
+    assert {r.source for r in got.values()} == {"61FF"}  # columns that no stage reads stay as they are
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} <= set(got)
