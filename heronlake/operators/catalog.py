@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from heronlake.functions.text import display_name
 from heronlake.operators.access import visible
-from heronlake.operators.stats import latest
 
 RECENT_JOBS, TOP_BLOCKERS = 5, 20
 
@@ -63,8 +62,11 @@ def reusable_revisions(requests: DataFrame, documents: DataFrame, revisions: Dat
     """
     live = documents.where("deleted_at is null").select("kb_id", "document_id", F.col("active_revision_id").alias("revision_id"))
     ready = revisions.where("status = 'ready'").select("revision_id", "document_id", "content_hash", "created_at")
-    found = requests.join(live.join(ready, ["document_id", "revision_id"]), ["kb_id", "content_hash"])
-    return latest(found, ["request_id"], [F.desc("created_at"), F.desc("revision_id")]).select("request_id", "revision_id")
+    newest = F.max(F.struct("created_at", "revision_id")).alias("_newest")
+    # one candidate for each content of a base: requests must not meet all of its revisions
+    each = live.join(ready, ["document_id", "revision_id"]).groupBy("kb_id", "content_hash").agg(newest)
+    found = requests.join(each, ["kb_id", "content_hash"]).groupBy("request_id").agg(F.max("_newest").alias("_newest"))
+    return found.select("request_id", F.col("_newest")["revision_id"].alias("revision_id"))
 
 
 def published_as(tasks: DataFrame, documents: DataFrame, bases: DataFrame) -> DataFrame:
