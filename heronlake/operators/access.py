@@ -29,19 +29,40 @@ def allowed(bases: DataFrame, grants: DataFrame) -> DataFrame:
     return every.unionByName(named.join(live, ["workspace_id", "kb_id"], "left_semi").select("key_id", "kb_id"))
 
 
-def requested(requests: DataFrame, access: DataFrame) -> DataFrame:
+#: Bases up to which the lists of their workspaces are broadcast.
+MOST_BASES = 2_000_000
+
+
+def allowed_lists(bases: DataFrame, grants: DataFrame) -> DataFrame:
+    """(key_id, allowed): as `allowed`, one row a key with the sorted array of its bases; keys without any are left out. grants: one row a key.
+
+    An unrestricted key takes the list of its workspace, so that keys and bases are never paired.
+    """
+    live = bases.where("deleted_at is null").select("workspace_id", "kb_id")
+    lists = live.groupBy("workspace_id").agg(F.array_sort(F.collect_list("kb_id")).alias("allowed"))
+    lists = F.broadcast(lists) if bases.count() <= MOST_BASES else lists
+    # dealt out by key: what is made of the long lists is then spread over tasks
+    parts = max(int(bases.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    every = grants.where("unrestricted").select("key_id", "workspace_id").repartition(parts, "key_id").join(lists, "workspace_id").select("key_id", "allowed")
+    named = grants.where("not unrestricted").select("key_id", "workspace_id", F.explode(F.array_distinct("kb_ids")).alias("kb_id"))
+    some = named.join(live, ["workspace_id", "kb_id"], "left_semi").groupBy("key_id").agg(F.array_sort(F.collect_list("kb_id")).alias("allowed"))
+    return every.unionByName(some)
+
+
+def requested(requests: DataFrame, access: DataFrame | None = None) -> DataFrame:
     """(request_id, kb_id, position, status) of each request's distinct knowledge bases, in the order of their first mention.
 
-    requests: request_id, key_id, kb_ids (array); access: key_id, kb_id. Access is all or nothing: status is `ok`, or for all bases of the request
+    requests: request_id, key_id, kb_ids (array), and allowed (array, as `allowed_lists` has it) where no access is given; access: key_id, kb_id. Access is all or nothing: status is `ok`, or for all bases of the request
     `not_found` if one of them may not be read (which tells nothing of its existence), `invalid` if there are none or more than MAX_BASES.
     """
-    once = requests.select("request_id", "key_id", F.array_distinct(F.filter("kb_ids", lambda k: k.isNotNull())).alias("ids"))
-    n = F.size("ids")
-    each = once.select("request_id", "key_id", n.alias("n"), F.posexplode_outer("ids").alias("position", "kb_id"))
-    seen = each.join(access.select("key_id", "kb_id", F.lit(True).alias("seen")).distinct(), ["key_id", "kb_id"], "left")
-    bad = seen.groupBy("request_id").agg(F.count_if(F.col("seen").isNull()).alias("bad"))
-    status = F.when((F.col("n") < 1) | (F.col("n") > MAX_BASES), "invalid").when(F.col("bad") > 0, "not_found").otherwise("ok")
-    return seen.join(bad, "request_id").select("request_id", "kb_id", "position", status.alias("status"))
+    if access is not None:
+        requests = requests.join(access.groupBy("key_id").agg(F.collect_set("kb_id").alias("allowed")), "key_id", "left")
+    once = requests.select("request_id", F.array_distinct(F.filter("kb_ids", lambda k: k.isNotNull())).alias("ids"), F.coalesce("allowed", F.array()).alias("allowed"))
+    n = F.coalesce(F.size("ids"), F.lit(-1))
+    bad = F.size(F.array_except("ids", "allowed")) > 0
+    # a request's status is told within its row, so its bases aren't shuffled
+    status = F.when((n < 1) | (n > MAX_BASES), "invalid").when(bad, "not_found").otherwise("ok")
+    return once.select("request_id", "ids", status.alias("status")).select("request_id", F.posexplode_outer("ids").alias("position", "kb_id"), "status").select("request_id", "kb_id", "position", "status")
 
 
 def visible(df: DataFrame, workspace: Column) -> DataFrame:
