@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from heronlake.functions.text import tokens
 from heronlake.functions.vectors import cosine
+from heronlake.operators.term_sets import best_of_texts, few_sets, named_sets, of_queries, round9
 
 #: Defaults and bounds.
 RRF_K, VECTOR_K, KEYWORD_K, FINAL_K, MULTI_FINAL_K, MAX_FINAL_K = 60, 30, 30, 10, 50, 50
@@ -71,6 +72,32 @@ def _blocks(df: DataFrame, id_col: str, groups: list[str]) -> DataFrame:
     return df.select(id_col, "embedding", *groups).mapInArrow(run, f"{kinds + ', ' if kinds else ''}ids binary, vectors binary")
 
 
+#: Blocks of queries whose best rows a task holds at most.
+MOST_HELD = 64
+
+
+def _best_of(s: np.ndarray, ids: np.ndarray, k: int, before: tuple | None) -> tuple:
+    """(number, id, score, least): the best k of each row of scores together with those before; equal rounded scores go by id. least: the k-th score, less what rounding hides."""
+    n = len(s)
+    least = np.full(n, -np.inf) if before is None else before[3]
+    here = np.partition(s, -k, axis=1)[:, -k] - 2e-9 if np.isinf(least).any() and len(ids) > k else np.full(n, -np.inf)
+    number, at = np.nonzero(s >= np.maximum(least, here)[:, None])
+    entry, score = ids[at], s[number, at]
+    if before is not None:
+        if not len(number):
+            return before
+        number, entry, score = (np.concatenate(x) for x in zip(before[:3], (number, entry, score), strict=True))
+    order = np.lexsort((entry, -round9(score), number))
+    number = number[order]
+    first = np.searchsorted(number, np.arange(n))
+    place = np.arange(len(number)) - first[number]
+    keep = order[place < k]
+    last = place == k - 1
+    least = np.full(n, -np.inf)
+    least[number[last]] = score[order[last]] - 2e-9
+    return number[place < k], entry[keep], score[keep], least
+
+
 def vector_top_batch(entries: DataFrame, queries: DataFrame, k: int = VECTOR_K, by: str | None = None, granted: DataFrame | None = None) -> DataFrame:
     """Each query's nearest entries by exact cosine (in each `by` group): query_id, [by], entry_id, score, rank.
 
@@ -85,21 +112,27 @@ def vector_top_batch(entries: DataFrame, queries: DataFrame, k: int = VECTOR_K,
     arrow = [to_arrow_type(entries.schema[g].dataType) for g in groups]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}  # of each block of queries (and group): (number of the query, id, score) of the best so far, and each query's least score that counts
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for (q_ids, *group), (number, entry, score, _) in held.items():
+                rows = [pa.array(np.frombuffer(q_ids, np.int64)[number]), *[pa.array([g] * len(number), a) for g, a in zip(group, arrow, strict=True)], pa.array(entry), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(rows, ["query_id", *groups, "entry_id", "score"])
+            held.clear()
+
         for batch in batches:
-            cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
             for r in range(batch.num_rows):
-                ids, q_ids = (np.frombuffer(cols[c][r], np.int64) for c in ("ids", "q_ids"))
-                v = np.frombuffer(cols["vectors"][r]).reshape(len(ids), -1)
-                w = np.frombuffer(cols["q_vectors"][r]).reshape(len(q_ids), -1)
+                cell = lambda c: batch.column(batch.schema.get_field_index(c))[r].as_py()  # noqa: B023, E731
+                key = (cell("q_ids"), *(cell(g) for g in groups))
+                ids, q_ids = np.frombuffer(cell("ids"), np.int64), np.frombuffer(key[0], np.int64)
+                v = np.frombuffer(cell("vectors")).reshape(len(ids), -1)
+                w = np.frombuffer(cell("q_vectors")).reshape(len(q_ids), -1)
                 if v.shape[1] != w.shape[1]:
                     continue
-                s = w @ v.T
-                n = min(k, len(ids))
-                order = np.argsort(ids, kind="stable")  # equal scores: the smaller id first
-                best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :n]]
-                flat = best.reshape(-1)
-                rows = [pa.array(np.repeat(q_ids, n)), *[pa.array([cols[g][r]] * len(flat), a) for g, a in zip(groups, arrow, strict=True)], pa.array(ids[flat]), pa.array(np.take_along_axis(s, best, 1).reshape(-1))]
-                yield pa.RecordBatch.from_arrays(rows, ["query_id", *groups, "entry_id", "score"])
+                if key not in held and len(held) >= MOST_HELD:
+                    yield from given()
+                held[key] = _best_of(w @ v.T, ids, k, held.get(key))
+        yield from given()
 
     kinds = "".join(f"{g} {entries.schema[g].dataType.simpleString()}, " for g in groups)
     if granted is None:
@@ -168,11 +201,17 @@ def cover_density(hits: DataFrame, keys: list[str]) -> DataFrame:
 def keyword_top(entries: DataFrame, queries: DataFrame, k: int = KEYWORD_K, text_col: str = "text", by: str | None = None, split: Callable[[Column], Column] = tokens, granted: DataFrame | None = None) -> DataFrame:
     """Each query's best entries by cover density: query_id, [by], entry_id, score, rank; of the granted groups (query_id, by) alone, if given. Texts are read and split anew; a stored index (index.Postings) spares that."""
     groups = [by] if by else []
+    order = [F.desc(F.round("score", 9)), "entry_id"]
+    named = named_sets(queries, split)
+    sets = few_sets(named)
+    if sets is not None:
+        found = of_queries(top(best_of_texts(entries, sets, k, text_col, groups, split), ["_set", *groups], order, k), named, groups)
+        return found if granted is None else found.join(granted.select("query_id", by).distinct(), ["query_id", by], "left_semi")
     wanted = query_terms(queries, split)
     hits = positions(entries, text_col, ["entry_id", *groups], split, few_terms(wanted)).join(wanted, "term")
     if granted is not None:
         hits = hits.join(granted.select("query_id", by).distinct(), ["query_id", by], "left_semi")
-    return top(cover_density(hits, ["query_id", *groups, "entry_id"]), ["query_id", *groups], [F.desc(F.round("score", 9)), "entry_id"], k)
+    return top(cover_density(hits, ["query_id", *groups, "entry_id"]), ["query_id", *groups], order, k)
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, rrf_k: int = RRF_K, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
