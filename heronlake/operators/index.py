@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heronlake.functions.text import tokens
-from heronlake.operators.retrieval import KEYWORD_K, VECTOR_K, _blocks, cover_density, few_terms, query_terms, top
+from heronlake.operators.retrieval import KEYWORD_K, MOST_TERMS, VECTOR_K, _blocks, cover_density, few_terms, query_terms, top
+from heronlake.operators.term_sets import best_of_postings, few_sets, named_sets, of_queries
 
 #: Folders of an inverted index; a term lies in one of them.
 BUCKETS = 64
@@ -140,30 +141,46 @@ def block_search(spark: SparkSession, blocks: Callable[[list[str] | None], DataF
     """The best k of each query (in each `by` group) from blocks. live: keeps the postings that count; spare: how many others there may be at most.
 
     One-term queries: the heads of the blocks give a tf that the k best reach, and blocks below it are left out. Other queries hold every term, and read all its blocks.
+    Queries with the same terms are searched once.
     """
     groups, kept = [by] if by else [], [stored_by] if stored_by else []
-    wanted = query_terms(queries, split)
-    few = few_terms(wanted)
-    one, many = wanted.where("n_terms = 1"), wanted.where("n_terms > 1")
-    keys = ["query_id", *groups, "entry_id"]
     order = [F.desc(F.round("score", 9)), "entry_id"]
-    if few is not None:
-        single = [r["term"] for r in one.select("term").distinct().collect()]  # at most MOST_TERMS, as few_terms has them
-        several = [r["term"] for r in many.select("term").distinct().collect()]
-    else:
-        single = several = None
+    named = named_sets(queries, split)
+    sets = few_sets(named)
+    if sets is None:
+        return _joined_search(blocks, queries, k, kept, groups, split, live, spare)
+
+    def with_code(numbers: np.ndarray, of: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+        """Living postings of some terms, with their numbers in sets.terms, in the blocks that `of` keeps."""
+        terms = sets.terms.take(pa.array(numbers))
+        found = blocks(terms.to_pylist() if len(terms) <= MOST_TERMS else None)
+        codes = F.broadcast(spark.createDataFrame(pa.table({"term": terms, "code": pa.array(numbers.astype(np.int32))})))  # at most the terms of MOST_SETS sets
+        found = of(found.join(codes, "term"))
+        return live(exploded(found, ["code", *kept, *(c for c in found.columns if c == "segment")]))
+
     parts = []
-    if single is None or single:
-        needed = needed_blocks(blocks(single), k + spare, groups)
-        hits = live(exploded(needed, ["term", *kept, *(c for c in needed.columns if c == "segment")])).join(one, "term")
-        parts.append(top(hits.select(*keys, (F.col("tf") * F.lit(0.1)).alias("score")), ["query_id", *groups], order, k))
-    if several is None or several:
-        found = blocks(several)
-        hits = live(exploded(found, ["term", *kept, *(c for c in found.columns if c == "segment")])).join(many, "term")
-        parts.append(top(cover_density(hits, keys), ["query_id", *groups], order, k))
-    if not parts:
-        return top(cover_density(exploded(blocks([]), ["term", *kept]).join(wanted, "term"), keys), ["query_id", *groups], order, k)
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    one = sets.sets.get(1)
+    if one is not None:
+        numbers, codes = one[0], one[1][:, 0]
+        mine = F.broadcast(spark.createDataFrame(pa.table({"code": pa.array(codes.astype(np.int32)), "_set": sets.ids.take(pa.array(numbers))})))
+        hits = with_code(codes, lambda found: needed_blocks(found, k + spare, groups)).select("code", *groups, "entry_id", (F.col("tf") * F.lit(0.1)).alias("score"))
+        parts.append(top(hits.join(mine, "code").drop("code"), ["_set", *groups], order, k))
+    many = sets.several()
+    if many is not None or not parts:
+        hits = with_code(many.used() if many is not None else np.empty(0, np.int64)).select("entry_id", *groups, "code", "positions")
+        parts.append(top(best_of_postings(hits, many or sets, k, groups), ["_set", *groups], order, k))
+    return of_queries(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), named, groups)
+
+
+def _joined_search(blocks: Callable[[list[str] | None], DataFrame], queries: DataFrame, k: int, kept: list[str], groups: list[str], split: Callable, live: Callable[[DataFrame], DataFrame], spare: int) -> DataFrame:
+    """The same where the queries' sets of terms are too many to go to tasks: postings are joined with the queries' terms."""
+    wanted, keys, order = query_terms(queries, split), ["query_id", *groups, "entry_id"], [F.desc(F.round("score", 9)), "entry_id"]
+    one, many, found = wanted.where("n_terms = 1"), wanted.where("n_terms > 1"), blocks(None)
+    columns = ["term", *kept, *(c for c in found.columns if c == "segment")]
+    singles = live(exploded(needed_blocks(found.join(one.select("term").distinct(), "term", "left_semi"), k + spare, groups), columns)).join(one, "term")
+    several = live(exploded(found.join(many.select("term").distinct(), "term", "left_semi"), columns)).join(many, "term")
+    first = top(singles.select(*keys, (F.col("tf") * F.lit(0.1)).alias("score")), ["query_id", *groups], order, k)
+    return first.unionByName(top(cover_density(several, keys), ["query_id", *groups], order, k))
 
 
 def needed_blocks(blocks: DataFrame, k: int, groups: list[str]) -> DataFrame:
