@@ -74,10 +74,16 @@ def entry_postings(spark: SparkSession, sf_dir: str):
     return _index(spark, sf_dir, "entry-postings", lambda: (entries(spark, sf_dir), "kb_id"))
 
 
+#: Ids that are broadcast at most.
+MOST_IDS = 2_000_000
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval entries: each vector with its document; four neighbours have one parent; the vector's label is the knowledge base."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entry_id"), "embedding", F.col("label").alias("kb_id"))
+    if vecs.count() <= MOST_IDS:  # texts without a vector are left out before the texts are shuffled
+        docs = docs.join(F.broadcast(vecs.select(F.col("entry_id").alias("doc_id"))), "doc_id", "left_semi")
     return vecs.join(docs, vecs.entry_id == docs.doc_id).select("entry_id", F.expr("entry_id div 4").alias("parent_id"), "kb_id", "text", "embedding")
 
 
