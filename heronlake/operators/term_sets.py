@@ -160,6 +160,14 @@ class Best:
         at = np.minimum(np.searchsorted(self.full, key), len(self.full) - 1)
         return (self.full[at] == key) & (most * 1e9 + 1 < self.least[at])
 
+    def least_of(self, numbers: np.ndarray, group: int) -> np.ndarray:
+        """A score below which no row of these sets and a group is among the best."""
+        if not len(self.full):
+            return np.full(len(numbers), -np.inf)
+        key = (numbers << 32) + group
+        at = np.minimum(np.searchsorted(self.full, key), len(self.full) - 1)
+        return np.where(self.full[at] == key, (self.least[at] - 1) / 1e9, -np.inf)
+
     def add(self, number: np.ndarray, group: np.ndarray, entry: pa.Array, score: np.ndarray) -> None:
         self.parts.append(pa.table({"key": (number << 32) + group, "less": -round9(score), "entry": entry, "score": score}))
         self.rows += len(number)

@@ -22,10 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from heronlake.functions.vectors import cosine
+from heronlake.operators.ancestry import cut
 from heronlake.operators.retrieval import VECTOR_K, top
+from heronlake.operators.term_sets import Best
 
 SAMPLE, MOST_CELLS, ROUNDS = 20_000, 4096, 8
 PART, WORDS, BLOCK = 4, 256, 4096
+#: Queries of a block; entries whose codes are broadcast at most, and queries.
+QUERIES, MOST_CODES, MOST_QUERIES = 128, 2_000_000, 100_000
 #: Dimensions of vectors in one index at most.
 MOST_DIMENSIONS = 16
 
@@ -81,6 +85,18 @@ class Quantiser:
             out += (part @ w.T)[:, column]
         return out
 
+    def table(self, v: np.ndarray) -> list[np.ndarray]:
+        """Products of each query's parts with all codewords."""
+        return [(part @ w.T).astype(np.float32) for part, w in zip(np.split(v, self.ends[:-1], axis=1), self.words, strict=True)]
+
+    @staticmethod
+    def coded(table: list[np.ndarray], mine: np.ndarray, centre: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """As scores, of some queries (rows of table) whose products with the cell's centre are known."""
+        out = np.repeat(centre[:, None].astype(np.float32), len(codes), axis=1)
+        for products, column in zip(table, codes.T, strict=True):
+            out += (products if len(mine) == len(products) else products[mine]).take(column, axis=1)
+        return out
+
     def row(self) -> dict:
         return {"width": self.width, "centres": self.centres.tobytes(), "words": [w.tobytes() for w in self.words]}
 
@@ -169,7 +185,8 @@ class VectorIndex:
 
     def codes(self, width: int, cells: list[int]) -> DataFrame:
         """The blocks of some cells: only their partitions are read."""
-        return self.spark.read.parquet(f"{self.path}/d={width}/codes").where(F.col("cell").isin(cells))
+        stored = self.spark.read.parquet(f"{self.path}/d={width}/codes")
+        return stored if len(cells) == len(self.quantisers[width].centres) else stored.where(F.col("cell").isin(cells))
 
     def asked(self, queries: DataFrame, width: int, probes: int | None = None) -> DataFrame:
         """(query_id, cell, vector): each query of that dimension, once for each cell that it probes."""
@@ -186,36 +203,79 @@ class VectorIndex:
 
         return queries.select("query_id", "embedding").where(F.size("embedding") == width).mapInArrow(run, f"query_id {kind}, cell int, vector binary")
 
+    def _probed(self, queries: DataFrame, width: int) -> list[int]:
+        """The cells that any query probes, at most MOST_CELLS numbers; a job of its own, where some may be spared."""
+        q, many = self.quantisers[width], self.probes
+        if many >= len(q.centres):
+            return list(range(len(q.centres)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(len(q.centres), bool)
+            for batch in batches:
+                seen[np.unique(q.near(unit_rows(batch.column(0), width)[1], many))] = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32))], ["cell"])
+
+        asked = queries.select("embedding").where(F.size("embedding") == width).mapInArrow(run, "cell int")
+        return sorted(r["cell"] for r in asked.distinct().collect())
+
     def _one(self, queries: DataFrame, width: int, k: int, by: str | None) -> DataFrame:
-        asked = self.asked(queries, width)
-        cells = sorted(r["cell"] for r in asked.select("cell").distinct().collect())  # a job of its own; at most MOST_CELLS numbers
+        """Blocks of queries meet blocks of codes; a task keeps the best of each query, so what is shuffled follows the queries alone while the codes are few enough to be broadcast."""
+        cells = self._probed(queries, width)
         blocks = self.codes(width, cells)
-        groups, want = [by] if by else [], self.refine * k
-        probing = asked.groupBy("cell", (F.pmod(F.xxhash64("query_id"), F.lit(64))).alias("part")).agg(F.collect_list("query_id").alias("q_ids"), F.collect_list("vector").alias("vectors")).drop("part")
+        groups, want, many = [by] if by else [], self.refine * k, self.probes
         q, kinds = self.quantisers[width], {n: blocks.schema[n].dataType for n in groups}
         id_kind, q_kind = blocks.schema["ids"].dataType.elementType, queries.schema["query_id"].dataType
-        arrow = [to_arrow_type(kinds[g]) for g in groups]
+        arrow, arrow_id, arrow_q = [to_arrow_type(kinds[g]) for g in groups], to_arrow_type(id_kind), to_arrow_type(q_kind)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good, v = unit_rows(batch.column(1), width)
+                for lo in range(0, len(good), QUERIES):
+                    ids = batch.column(0).take(pa.array(good[lo : lo + QUERIES]))
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([v[lo : lo + QUERIES].tobytes()], pa.binary())], ["q_ids", "q_vectors"])
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, seen, held = ["query_id", *groups, "entry_id", "rough"], None, None
             for batch in batches:
-                cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+                col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
                 for r in range(batch.num_rows):
-                    ids, q_ids = cols["ids"][r], cols["q_ids"][r]
-                    v = np.frombuffer(b"".join(cols["vectors"][r])).reshape(len(q_ids), -1)
-                    s = q.scores(v, cols["cell"][r], np.frombuffer(cols["codes"][r], np.uint8).reshape(len(ids), -1))
-                    best = np.argpartition(-s, want - 1, axis=1)[:, :want] if want < len(ids) else np.tile(np.arange(len(ids)), (len(q_ids), 1))
-                    flat, n = best.reshape(-1), best.shape[1]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x for x in q_ids for _ in range(n)], to_arrow_type(q_kind)), *(pa.array([cols[g][r]] * len(flat), a) for g, a in zip(groups, arrow, strict=True)), pa.array([cols["cell"][r]] * len(flat), pa.int32()), pa.array([ids[i] for i in flat], to_arrow_type(id_kind)), pa.array(np.take_along_axis(s, best, 1).reshape(-1))],
-                        ["query_id", *groups, "cell", "entry_id", "rough"],
-                    )
+                    if (now := (col("q_ids")[r].values.to_pylist(), col("q_vectors")[r].as_py())) != seen:
+                        if held is not None:
+                            yield from held.given()
+                        seen, held = now, Best(want, pa.array(now[0], arrow_q), arrow_id, arrow, names)
+                        v = np.frombuffer(now[1]).reshape(len(now[0]), -1)
+                        probes = np.zeros((len(v), len(q.centres)), bool)
+                        np.put_along_axis(probes, q.near(v, many), True, axis=1)
+                        to_centres, table = v @ q.centres.T, q.table(v)
+                    cell, ids = col("cell")[r].as_py(), col("ids")[r].values
+                    mine = np.flatnonzero(probes[:, cell])
+                    if not len(mine):
+                        continue
+                    rough = q.coded(table, mine, to_centres[mine, cell], np.frombuffer(col("codes")[r].as_py(), np.uint8).reshape(len(ids), -1))
+                    group = int(held.codes([col(g).slice(r, 1) for g in groups], 1)[0])
+                    least = held.least_of(mine, group)
+                    if want < len(ids) and np.isinf(least).any():
+                        least = np.maximum(least, np.partition(rough, -want, axis=1)[:, -want])
+                    number, at = np.nonzero(rough >= least[:, None])
+                    held.add(mine[number], np.full(len(number), group), ids.take(pa.array(at)), rough[number, at].astype(float))
+                    if held.rows > 4 * want * len(v) * len(held.groups):
+                        held.cut()
+            if held is not None:
+                yield from held.given()
 
         columns = "".join(f"`{g}` {kinds[g].simpleString()}, " for g in groups)
-        found = blocks.select(*groups, "cell", "ids", "codes").join(probing, "cell").select(*groups, "cell", "ids", "codes", "q_ids", "vectors").mapInArrow(score, f"query_id {q_kind.simpleString()}, {columns}cell int, entry_id {id_kind.simpleString()}, rough double")
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        asked = queries.select("query_id", "embedding").where(F.size("embedding") == width).mapInArrow(pack, f"q_ids array<{q_kind.simpleString()}>, q_vectors binary").repartition(parts)
+        n = blocks.agg(F.sum(F.size("ids"))).first()[0] or 0
+        pairs = asked.crossJoin(F.broadcast(blocks) if n <= MOST_CODES else blocks).select(*groups, "cell", "ids", "codes", "q_ids", "q_vectors")
+        found = pairs.mapInArrow(score, f"query_id {q_kind.simpleString()}, {columns}entry_id {id_kind.simpleString()}, rough double")
         few = top(found, ["query_id", *groups], [F.desc("rough"), "entry_id"], want, "place").drop("place", "rough")
-        vectors = self.spark.read.parquet(f"{self.path}/d={width}/vectors").where(F.col("cell").isin(cells)).select("cell", "entry_id", "unit")
-        exact = few.join(vectors, ["cell", "entry_id"]).join(queries.select("query_id", "embedding"), "query_id").withColumn("score", cosine(F.col("unit"), F.col("embedding")))
-        return top(exact.drop("unit", "embedding", "cell"), ["query_id", *groups], [F.desc(F.round("score", 9)), "entry_id"], k)
+        vectors = self.spark.read.parquet(f"{self.path}/d={width}/vectors")
+        vectors = (vectors if len(cells) == len(q.centres) else vectors.where(F.col("cell").isin(cells))).select("entry_id", "unit")
+        own = queries.select("query_id", "embedding").where(F.size("embedding") == width)
+        own = F.broadcast(own) if own.count() <= MOST_QUERIES else own
+        exact = few.join(vectors, "entry_id").join(own, "query_id").withColumn("score", cosine(F.col("unit"), F.col("embedding")))
+        return top(exact.drop("unit", "embedding"), ["query_id", *groups], [F.desc(F.round("score", 9)), "entry_id"], k)
 
     def search(self, queries: DataFrame, k: int = VECTOR_K, by: str | None = None) -> DataFrame:
         """(query_id, [by], entry_id, score, rank), as retrieval.vector_top_batch, of the probed cells."""
@@ -227,10 +287,31 @@ class VectorIndex:
             raise ValueError("the index holds no vectors")
         return out
 
+    def _reaching(self, queries: DataFrame, exact: DataFrame, least: float) -> int:
+        """The fewest probes whose cells hold so many of the exact results: counts by the place of an entry's cell among its query's nearest."""
+        reached = np.zeros(max(len(q.centres) for q in self.quantisers.values()), np.int64)
+        for width, q in self.quantisers.items():
+
+            def run(batches: Iterator[pa.RecordBatch], q: Quantiser = q) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    good, v = unit_rows(batch.column(0), q.width)
+                    cell, s = batch.column(1).to_numpy()[good], v @ q.centres.T
+                    own = s[np.arange(len(s)), cell][:, None]
+                    before = (s > own) | ((s == own) & (np.arange(s.shape[1]) < cell[:, None]))
+                    yield pa.RecordBatch.from_arrays([pa.array(before.sum(1).astype(np.int32))], ["place"])
+
+            stored = self.spark.read.parquet(f"{self.path}/d={width}/vectors").select("entry_id", "cell")
+            own = queries.select("query_id", "embedding").where(F.size("embedding") == width)
+            for r in exact.join(stored, "entry_id").join(own, "query_id").select("embedding", "cell").mapInArrow(run, "place int").groupBy("place").count().collect():
+                reached[r["place"]] += r["count"]
+        enough = np.flatnonzero(np.cumsum(reached) >= least)
+        return int(enough[0]) + 1 if len(enough) else len(reached)
+
     def calibrate(self, queries: DataFrame, exact: DataFrame, k: int = VECTOR_K, recall: float = 0.9) -> VectorIndex:
-        """The index with the fewest probes (by doubling) whose results hold this share of the exact ones (query_id, entry_id); where all cells don't, `refine` grows."""
+        """The index with few probes whose results hold this share of the exact ones (query_id, entry_id): as many as reach the cells of so many, then twice as many until a search shows it; where all cells don't, `refine` grows."""
+        exact = cut(exact.select("query_id", "entry_id"))
         want, most = exact.count(), max(len(q.centres) for q in self.quantisers.values())
-        exact, probes, refine = exact.select("query_id", "entry_id"), 1, self.refine
+        probes, refine = self._reaching(queries, exact, recall * want), self.refine
         while True:
             tried = VectorIndex(self.spark, self.path, min(probes, most), refine)
             if tried.search(queries, k).join(exact, ["query_id", "entry_id"], "left_semi").count() >= recall * want or refine > 1000:

@@ -174,3 +174,14 @@ def test_a_publication_shows_in_search(spark, tmp_path):
     before = os.listdir(f"{tmp_path}/live")
     live.apply(*changes(old, new))
     assert {x.entry_id for x in live.search(q).collect()} == {1, 2} and set(before) < set(os.listdir(f"{tmp_path}/live"))
+
+
+def test_calibration_needs_few_searches(spark, tmp_path, monkeypatch):
+    """Vectors without clusters need most cells; these are found by counting, not by searching with more and more of them."""
+    r = np.random.default_rng(7)
+    e = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(1500, 16)))], "entry_id long, embedding array<double>")
+    queries = e.where("entry_id % 50 = 0").select(F.col("entry_id").alias("query_id"), "embedding")
+    exact, seen, search = retrieval.vector_top_batch(e, queries, 10), [], VectorIndex.search
+    monkeypatch.setattr(VectorIndex, "search", lambda self, *a, **b: seen.append(self.probes) or search(self, *a, **b))
+    tuned = VectorIndex.build(e, f"{tmp_path}/v", refine=20).calibrate(queries, exact, 10)
+    assert len(seen) <= 2 and tuned.search(queries, 10).join(exact, ["query_id", "entry_id"], "left_semi").count() >= 0.9 * 10 * 30
